@@ -140,3 +140,32 @@ class Words:
 
 def longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64), pa.int64())
+
+
+def map_rows(docs: DataFrame, make, fields: str, keep: list[str], column: str = "text") -> DataFrame:
+    """``docs[keep]`` with new columns beside them, row by row and without a shuffle.
+
+    ``make()`` runs once in each task and returns a function from a batch to the list of new
+    columns, in the order of the DDL string ``fields``.  ``column`` is the text that steps are cut by.
+    """
+    from pyspark.sql import types as T
+
+    taken = list(dict.fromkeys([*keep, column]))
+    docs = docs.select(*taken)
+    new = T.StructType.fromDDL(fields)
+    if clash := {f.name for f in new} & set(keep):
+        raise ValueError(f"columns are there already: {sorted(clash)}")
+    schema = T.StructType([docs.schema[c] for c in keep] + list(new))
+    names, order = [f.name for f in schema], list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for step in steps(batch, column):
+                yield pa.RecordBatch.from_arrays([*(step.column(c) for c in order), *work(step)], names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def strings(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    return pc.fill_null(batch.column(column), "").to_pylist()

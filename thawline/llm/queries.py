@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -21,9 +28,34 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_texts, split_of
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_texts(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", split_of("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_items
+
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("doc_id", F.inline("hits"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_toxicity": op6_toxicity,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 #: Windows are compared as joined strings here; a window starts at every word that has 49 more after it.
