@@ -34,7 +34,7 @@ arschloch scheisse scheiße dreck dummkopf trottel depp abschaum hurensohn wichs
 estúpido estúpida idiota imbécil mierda puta cabrón gilipollas pendejo asqueroso basura escoria""".split()
 PAIRS = ["shut up", "go die", "drop dead", "kill yourself", "you people", "hate you", "so stupid", "total idiot", "piece of", "fuck off", "screw you", "get lost"]
 PATTERNS = ("shouting", "exclaiming", "masked")
-SLOTS = 4096
+SLOTS = 512
 
 
 @dataclass
@@ -100,13 +100,6 @@ class Features:
         return votes, row, (hashes % np.uint64(SLOTS)).astype(np.int64)
 
 
-def word_matrix(row: np.ndarray, slot: np.ndarray, rows: int) -> np.ndarray:
-    """log(1 + count) of each slot, scaled to length one per row."""
-    flat = np.bincount(row * SLOTS + slot, minlength=rows * SLOTS).reshape(rows, SLOTS)
-    out = np.log1p(flat).astype(np.float32)
-    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-6)
-
-
 def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior probability of the hidden class 1 for each row, from voters and the given noisy labels."""
     v = np.column_stack([votes, given]).astype(np.float64)
@@ -130,22 +123,22 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.nd
     return q
 
 
-def fit_linear(votes: np.ndarray, words: np.ndarray, target: np.ndarray, steps: int = 300) -> Model:
-    """L2-regularised logistic regression by accelerated gradient steps, on soft labels."""
-    v = votes.astype(np.float64)
-    n, prior = len(v), float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
-    a, b, bias = np.zeros(v.shape[1]), np.zeros(words.shape[1]), np.log(prior / (1 - prior))
-    pa_, pb, pbias = a, b, bias
-    ridge_a, ridge_b = 0.002, 0.05
-    rate = 4.0 / (1.0 + np.linalg.norm(v.T @ v, 2) / n + 1.0)
-    for t in range(steps):
-        mom = t / (t + 3)
-        ya, yb, ybias = a + mom * (a - pa_), b + mom * (b - pb), bias + mom * (bias - pbias)
-        p = 1 / (1 + np.exp(-np.clip(v @ ya + words @ yb + ybias, -30, 30)))
-        err = (p - target) / n
-        pa_, pb, pbias = a, b, bias
-        a, b, bias = ya - rate * (v.T @ err + ridge_a * ya), yb - rate * (words.T @ err + ridge_b * yb), ybias - rate * err.sum()
-    return Model(float(bias), a, b)
+def fit_linear(votes: np.ndarray, words: np.ndarray, target: np.ndarray, steps: int = 25) -> Model:
+    """L2-regularised logistic regression by Newton steps, on soft labels."""
+    x = np.column_stack([votes, words, np.ones(len(votes))]).astype(np.float64)
+    ridge = np.concatenate([np.full(votes.shape[1], 0.05), np.full(words.shape[1], 20.0), [1e-6]])
+    prior = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (target - p) - ridge * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(bend, slope)
+        w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    return Model(float(w[-1]), w[: votes.shape[1]], w[votes.shape[1] : -1])
 
 
 def split_of(doc_id) -> F.Column:
