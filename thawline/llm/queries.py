@@ -22,6 +22,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), window=50, with_text=False)
 
 
+def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import learn, predict
+    from .toxicity import split_of
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs, learn(docs.where(~split_of("doc_id"))), ["doc_id"])
+    return found.select("doc_id", split_of("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -36,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", split_of("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_shards import shard_rows
+
+    return shard_rows(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_items
 
@@ -49,13 +70,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_approximate_nearest_neighbours": op3_approximate_nearest_neighbours,
+    "op4_language_id": op4_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_toxicity": op6_toxicity,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_license_scans": op10_license_scans,
 }
 
 #: Windows are compared as joined strings here; a window starts at every word that has 49 more after it.
