@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import base
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def _load() -> None:
+    from . import accuracy, content, equity, ingest, modelling, synthetic  # noqa: F401  each registers its queries
+
+
+_load()
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
