@@ -8,7 +8,8 @@
    each of its parts for its own band and the next; sets that share one are candidates.
    A part that is empty tells nothing, so a band has E parts more than H + 1, and a
    set with over E empty parts emits again under the next seed: two sets that the first seed
-   could miss both have that many empty parts, so both do.  No link is lost.
+   could miss both have that many empty parts, so both do.  Parts of nothing but very common shingles
+   count as empty, lest a line that many texts share ties them together.  No link is lost.
 3. Candidate classes are grouped, and each group is cut into tiles in order of size.  A task
    compares one tile with another: the sizes, then the bit counts of hashed bitmaps bound the overlap
    from above, then sorted arrays are intersected.  Pairs already joined within the task
@@ -32,6 +33,11 @@ from pyspark.sql import functions as F
 from .common import Words, longs, mix64, span_hash, stash, steps
 
 SEEDS = 12
+#: Shingles that tell little: at most so many, each in at least SHARED distinct sets of a step.  They only shape the
+#: candidates; any choice of them gives the same links.
+COMMON, SHARED = 50_000, 3
+#: Share of common shingles up to which a set's parts count only by their other shingles.
+MOSTLY = 0.7
 TILE = 1024
 #: Shingles that a set may have on average in a full tile.
 TILE_WORDS = 2048
@@ -47,16 +53,37 @@ class Bands:
             # sizes a <= b can only link if num * b <= den * a
             starts.append(max(starts[-1] + 1, starts[-1] * den // num + 1))
         self.starts = np.array(starts, np.int64)
+        top = self.starts[1:] - 1
+        differ = 2 * top * (den - num) // (den + num)
+        least = np.concatenate([[1], self.starts[:-2]])  # sets of the band below use the scheme too
+        self.spare = np.array([self._spare(int(d), int(n)) for d, n in zip(differ, least)], np.int64)
+        self.m = differ + 1 + self.spare
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
 
+    @staticmethod
+    def _spare(differ: int, least: int) -> int:
+        """Empty parts to allow for when a set of ``least`` elements falls into differ + 1 + spare parts: few
+        parts, but seldom another seed."""
+        if differ > 200:
+            spare = 0.0
+            for _ in range(20):
+                m = differ + 1 + spare
+                empty = m * math.exp(-least / m)
+                spare = empty + 2.2 * math.sqrt(empty)
+            return math.ceil(spare)
+        cost = {}
+        for spare in range(differ // 2 + 3):
+            m = differ + 1 + spare
+            empty = m * math.exp(-least / m)
+            chance = sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(spare + 1))
+            cost[spare] = m / max(chance, 1e-9)
+        return min(cost, key=cost.get)
+
     def parts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of parts and of empty parts that are allowed, for pairs whose larger set is in ``band``."""
-        top = self.starts[band + 1] - 1
-        differ = 2 * top * (self.den - self.num) // (self.den + self.num)
-        spare = np.where(differ < 9, 0, 1 + differ // 50)
-        return differ + 1 + spare, spare
+        return self.m[band], self.spare[band]
 
     def needed(self, total: np.ndarray) -> np.ndarray:
         """Least intersection of two sets whose sizes add up to ``total``."""
@@ -85,10 +112,12 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def _part_keys(values: np.ndarray, first: np.ndarray, bands: Bands, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of each non-empty part under the scheme of the set's band + shift."""
+def _part_keys(values: np.ndarray, first: np.ndarray, bands: Bands, shift: int, weak: np.ndarray | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of each part under the scheme of the set's band + shift, but for parts that are empty or
+    hold ``weak`` elements only: those count as empty.  ``live``: the rows to take, else all with elements."""
     keys, rows = [], []
-    live = np.flatnonzero(np.diff(first))
+    live = np.flatnonzero(np.diff(first)) if live is None else live
+    scheme = 0 if weak is None else 1 << 40
     for seed in range(SEEDS + 1):
         if not len(live):
             break
@@ -96,7 +125,7 @@ def _part_keys(values: np.ndarray, first: np.ndarray, bands: Bands, shift: int)
         band = bands.band(sizes) + shift
         m, spare = bands.parts(band)
         if seed == SEEDS:  # beyond all odds: one key for all that are left in the band
-            keys.append(mix64(band.astype(np.uint64) + np.uint64(1 << 50)))
+            keys.append(mix64(band.astype(np.uint64) + np.uint64((1 << 50) + scheme)))
             rows.append(live)
             break
         of = np.repeat(np.arange(len(live)), sizes)
@@ -107,9 +136,9 @@ def _part_keys(values: np.ndarray, first: np.ndarray, bands: Bands, shift: int)
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, slot, mix64(mixed))
         filled = np.zeros(base[-1], bool)
-        filled[slot] = True
+        filled[slot if weak is None else slot[~weak[mine]]] = True
         owner = np.repeat(np.arange(len(live)), m)
-        tag = (band[owner] * (SEEDS + 1) + seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+        tag = (band[owner] * (SEEDS + 1) + seed + scheme).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(base[-1]) - base[owner]).astype(np.uint64)
         keys.append(mix64(total[filled] ^ mix64(tag[filled])))
         rows.append(live[owner[filled]])
         empty = m - np.add.reduceat(filled.astype(np.int64), base[:-1])
@@ -118,7 +147,8 @@ def _part_keys(values: np.ndarray, first: np.ndarray, bands: Bands, shift: int)
 
 
 def _signatures(n: int, bands: Bands):
-    """Per row: size of its set, the band of that, and two hashes of the whole set."""
+    """Per row: size of its set, the band of that, and two hashes of the whole set; with the first row of a
+    step, the shingles that several of the step's distinct sets hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,16 +156,29 @@ def _signatures(n: int, bands: Bands):
                 values, first = shingle_sets(Words(step.column("text"), fold=True), n)
                 a, b = _sums(mix64(values), first), _sums(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
                 n_set = np.diff(first)
-                yield pa.RecordBatch.from_arrays([step.column("doc_id"), longs(n_set), longs(bands.band(n_set)), longs(a), longs(b)], ["doc_id", "n", "band", "a", "b"])
+                one = np.zeros(len(a), bool)
+                one[np.unique(a, return_index=True)[1]] = True
+                shared, times = np.unique(values[np.repeat(one, n_set)], return_counts=True)
+                shared, times = shared[times >= SHARED], times[times >= SHARED]
+                pairs = pa.StructArray.from_arrays([longs(shared), longs(times)], ["s", "m"])
+                heavy = pa.ListArray.from_arrays(pa.array([0] + [len(shared)] * len(a), pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([step.column("doc_id"), longs(n_set), longs(bands.band(n_set)), longs(a), longs(b), heavy], ["doc_id", "n", "band", "a", "b", "heavy"])
 
     return run
 
 
-def _keys(n: int, num: int, den: int):
-    """Distinct (part key, class) of each step: copies within it are already merged here."""
+def _keys(n: int, bands: Bands, common: np.ndarray):
+    """Distinct (part key, class) of each step: copies within it are already merged here.
+
+    Sets with a share of common shingles up to MOSTLY take part with weak parts, sets with a share of at
+    least ``low`` with plain ones; the partner of a set beyond MOSTLY has at least ``low``, so each link
+    is met in one of the two.
+    """
+    t = bands.num / (bands.num + bands.den)
+    slope = t - (1 - MOSTLY)
+    low = t + slope * (bands.num / bands.den if slope > 0 else bands.den / bands.num) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
             for step in steps(batch):
                 values, first = shingle_sets(Words(step.column("text"), fold=True), n)
@@ -147,8 +190,12 @@ def _keys(n: int, num: int, den: int):
                 sizes = np.where(picked, np.diff(first), 0)
                 values = values[np.repeat(picked, np.diff(first))]
                 first = np.concatenate([[0], np.cumsum(sizes)])
-                for shift in (0, 1):
-                    key, row = _part_keys(values, first, bands, shift)
+                at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+                weak = common[at] == values if len(common) else np.zeros(len(values), bool)
+                share = np.diff(np.concatenate([[0], np.cumsum(weak)])[first]) / np.maximum(sizes, 1)
+                ways = ((weak, np.flatnonzero((sizes > 0) & (share <= MOSTLY))), (None, np.flatnonzero((sizes > 0) & (share >= low))))
+                for shift, (by, live) in ((s, w) for s in (0, 1) for w in ways):
+                    key, row = _part_keys(values, first, bands, shift, by, live)
                     yield pa.RecordBatch.from_arrays([longs(key), longs(a[row])], ["k", "a"])
 
     return run
@@ -279,10 +326,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     least doc_id reachable by links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bands = Bands(num, den)
-    every = stash(docs.mapInArrow(_signatures(n, bands), "doc_id long, n long, band long, a long, b long"))
+    every = stash(docs.mapInArrow(_signatures(n, bands), "doc_id long, n long, band long, a long, b long, heavy array<struct<s:long,m:long>>"))
+    common = every.select(F.inline("heavy")).groupBy("s").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "s").limit(COMMON)
+    common = np.sort(np.array([r.s for r in common.select("s").collect()], np.int64).view(np.uint64))
+    every = every.drop("heavy")
     classes = every.where("n > 0 and doc_id is not null").groupBy("a", "b", "n", "band").agg(F.min("doc_id").alias("rep"))
 
-    keys = docs.where("doc_id is not null").mapInArrow(_keys(n, num, den), "k long, a long")
+    keys = docs.where("doc_id is not null").mapInArrow(_keys(n, bands, common), "k long, a long")
     stars = keys.repartition("k").sortWithinPartitions("k", "a").mapInArrow(_stars, "u long, v long")
     near = components(stars).withColumnsRenamed({"v": "a", "c": "g"})
 
