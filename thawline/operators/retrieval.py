@@ -14,6 +14,12 @@ def revealed_by_k(reveal: DataFrame, levels: list[int]) -> DataFrame:
     return reveal.select(ks.alias("k"), "user_id", "item_id")
 
 
+def swapped(df: DataFrame) -> DataFrame:
+    """Users and items change places: the item-to-user direction reuses the user-to-item kernels."""
+    names = {"user_id": "item_id", "item_id": "user_id"}
+    return df.select(*(F.col(c).alias(names.get(c, c)) for c in df.columns))
+
+
 def levels_frame(df: DataFrame, levels: list[int]) -> DataFrame:
     return df.select(F.explode(F.array(*map(F.lit, levels))).alias("k"), "*")
 

@@ -8,7 +8,7 @@ from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from ..operators.models import Popularity
 from .base import query
-from .fixtures import POPULARITY_SQL, SPLIT_SQL, items, split
+from .fixtures import POPULARITY_SQL, SPLIT_SQL, items, kept, split
 
 LEVELS = [0, 5, 10, 20]
 K = 20
@@ -25,13 +25,19 @@ SELECT k, metric, round(avg(value), 6) AS value, count(*) AS n_eval FROM (UNPIVO
 """
 
 
-def lists(spark, sf, s=None, levels=LEVELS, n=K):
-    s = s or split(spark, sf)
+def lists(spark, sf, levels=LEVELS, n=K):
+    """(split, scores, seen, lists): persisted, since metrics, AUC and exposure all read the same lists."""
+    return kept(spark, ("lists", sf, tuple(levels), n), lambda: _lists(spark, sf, levels, n))
+
+
+def _lists(spark, sf, levels, n):
+    s = split(spark, sf)
     train, shown = s.train, rt.revealed_by_k(s.reveal, levels)
     users = s.reserved.select("user_id").distinct()
     seen = rt.levels_frame(train.join(users, "user_id", "left_semi"), levels).unionByName(shown.join(users, "user_id", "left_semi"))
-    scores = rt.popularity(train, shown, s.pool_items, levels)
-    return s, scores, seen, rt.recommend_global(scores, users, seen, n)
+    scores = rt.popularity(train, shown, s.pool_items, levels).persist()
+    seen = seen.persist()
+    return s, scores, seen, rt.recommend_global(scores, users, seen, n).persist()
 
 
 @query(P + GAINS_SQL)
@@ -168,8 +174,7 @@ def activity_auc_curve(spark, sf):
     """MET-08, RET-06"""
     s = split(spark, sf)
     scores, shown, _ = activity_lists(s)
-    swap = {"user_id": "item_id", "item_id": "user_id"}
-    auc = rt.popularity_auc(scores.withColumnsRenamed({"user_id": "item_id"}), s.cold_ids.withColumnsRenamed({"item_id": "user_id"}), shown.withColumnsRenamed(swap), s.reserved.withColumnsRenamed(swap))
+    auc = rt.popularity_auc(rt.swapped(scores), rt.swapped(s.cold_ids), rt.swapped(shown), rt.swapped(s.reserved))
     return auc.groupBy("k").agg(F.round(F.avg("auc"), 6).alias("auc"), F.count("auc").alias("n"))
 
 

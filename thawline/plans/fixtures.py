@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.split import Split, make_split
+from ..operators.split import Split, cold_items, make_split, pools, warm_split
 from ..sources.schemas import SplitParams
 
 
@@ -23,8 +23,29 @@ def interactions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, key: tuple, make):
+    """What ``make`` returns, once per application and key: the reuse points of the curves."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[0] != key[0]]:
+            del _KEPT[old]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def split(spark: SparkSession, sf: str, **changes) -> Split:
-    return make_split(interactions(spark, sf), SplitParams(**changes))
+    """The split of the tables in ``sf``; its four relations are persisted, since every curve starts from them."""
+
+    def make() -> Split:
+        s = make_split(interactions(spark, sf), SplitParams(**changes))
+        rows = s.rows.persist()
+        cold = cold_items(rows, s.params).persist()
+        return Split(s.params, rows, cold, pools(rows, cold).persist(), warm_split(rows, cold, s.params).persist())
+
+    return kept(spark, ("split", sf, *sorted(changes.items())), make)
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
