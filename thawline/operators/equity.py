@@ -109,11 +109,8 @@ def merit_guarded(stats: DataFrame, scored_users: DataFrame, held: DataFrame) ->
     return stats.join(odd).select(*(F.when(F.col("odd") == 0, F.col(c)).alias(c) if c in values else F.col(c) for c in stats.columns))
 
 
-def report(recs: DataFrame, providers: DataFrame, by: list[str], names: tuple[str, ...] = DISCOUNTS, k_len: int = 100) -> DataFrame:
-    """(by..., discount, gini, gini_cold, cold_share, top1_share) for every discount at once."""
-    w = weights(recs.sparkSession, names, k_len)
-    keys = [*by, "discount"]
-    full = universe(exposure(exposure_by_rank(recs, providers, by), w, by), providers, keys)
+def report(full: DataFrame, providers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., gini, gini_cold, cold_share, top1_share) for every discount at once, from ``universe``'s rows."""
     shares = full.select(*keys, "provider", "exposure", "cold_exposure", share("exposure", keys).alias("s"))
     cold = full.groupBy(*keys).agg((F.sum("cold_exposure") / F.nullif(F.sum("exposure"), F.lit(0.0))).alias("cold_share"))
     has_cold = providers.where("cold").select("provider").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from ..operators.models import Popularity
+from ..sources.readers import materialise
 from .base import query
 from .fixtures import POPULARITY_SQL, SPLIT_SQL, items, kept, split
 
@@ -26,7 +27,7 @@ SELECT k, metric, round(avg(value), 6) AS value, count(*) AS n_eval FROM (UNPIVO
 
 
 def lists(spark, sf, levels=LEVELS, n=K):
-    """(split, scores, seen, lists): persisted, since metrics, AUC and exposure all read the same lists."""
+    """(split, scores, seen, lists): written once, since metrics, AUC and exposure all read the same lists."""
     return kept(spark, ("lists", sf, tuple(levels), n), lambda: _lists(spark, sf, levels, n))
 
 
@@ -35,9 +36,9 @@ def _lists(spark, sf, levels, n):
     train, shown = s.train, rt.revealed_by_k(s.reveal, levels)
     users = s.reserved.select("user_id").distinct()
     seen = rt.levels_frame(train.join(users, "user_id", "left_semi"), levels).unionByName(shown.join(users, "user_id", "left_semi"))
-    scores = rt.popularity(train, shown, s.pool_items, levels).persist()
-    seen = seen.persist()
-    return s, scores, seen, rt.recommend_global(scores, users, seen, n).persist()
+    scores = materialise(rt.popularity(train, shown, s.pool_items, levels))
+    seen = materialise(seen)
+    return s, scores, seen, materialise(rt.recommend_global(scores, users, seen, n))
 
 
 @query(P + GAINS_SQL)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import equity as eq
+from ..sources.readers import materialise
 from .accuracy import lists
 from .base import query
-from .fixtures import POPULARITY_SQL, SPLIT_SQL, items, providers, split
+from .fixtures import POPULARITY_SQL, SPLIT_SQL, items, kept, providers, split
 
 K = 20
 NAMES = ("uniform@10", "log", "rbp0.90")
@@ -27,10 +28,14 @@ u AS (SELECT k, discount, p.provider, coalesce(exposure, 0) AS exposure, coalesc
 
 
 def _full(spark, sf):
+    return kept(spark, ("exposure", sf), lambda: _exposed(spark, sf))
+
+
+def _exposed(spark, sf):
     s, _, _, recs = lists(spark, sf)
-    prov = providers(spark, sf, s)
+    prov = materialise(providers(spark, sf, s))
     w = eq.weights(spark, NAMES, K)
-    return s, recs, prov, eq.universe(eq.exposure(eq.exposure_by_rank(recs, prov, ["k"]), w, ["k"]), prov, ["k", "discount"])
+    return s, recs, prov, materialise(eq.universe(materialise(eq.exposure(eq.exposure_by_rank(recs, prov, ["k"]), w, ["k"])), prov, ["k", "discount"]))
 
 
 @query("SELECT 'uniform@10' AS discount, i::INT AS rank, (i <= 10)::INT::DOUBLE AS w FROM range(1, 101) a(i) UNION ALL SELECT 'uniform@20', i, (i <= 20)::INT FROM range(1, 101) a(i) UNION ALL SELECT 'uniform@100', i, 1 FROM range(1, 101) a(i) UNION ALL SELECT 'log', i, round(1 / log2(i + 1), 9) FROM range(1, 101) a(i) UNION ALL SELECT 'rbp0.90', i, round(pow(0.9, i - 1), 9) FROM range(1, 101) a(i) UNION ALL SELECT 'rbp0.80', i, round(pow(0.8, i - 1), 9) FROM range(1, 101) a(i) UNION ALL SELECT 'rbp0.95', i, round(pow(0.95, i - 1), 9) FROM range(1, 101) a(i)")
@@ -71,8 +76,8 @@ SELECT k, discount, round(gini, 6) AS gini, round(gini_cold, 6) AS gini_cold, ro
 )
 def gini_curve(spark, sf):
     """EQ-10, EQ-13, WIN-12, WIN-13"""
-    s, _, _, recs = lists(spark, sf)
-    out = eq.report(recs, providers(spark, sf, s), ["k"], NAMES, K)
+    s, recs, prov, full = _full(spark, sf)
+    out = eq.report(full, prov, ["k", "discount"])
     return out.select("k", "discount", *(F.round(c, 6).alias(c) for c in ("gini", "gini_cold", "cold_share", "top1_share")))
 
 

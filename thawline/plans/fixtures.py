@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.split import Split, cold_items, make_split, pools, warm_split
+from ..sources.readers import materialise
 from ..sources.schemas import SplitParams
 
 
@@ -37,13 +38,13 @@ def kept(spark: SparkSession, key: tuple, make):
 
 
 def split(spark: SparkSession, sf: str, **changes) -> Split:
-    """The split of the tables in ``sf``; its four relations are persisted, since every curve starts from them."""
+    """The split of the tables in ``sf``; its four relations are written once, since every curve starts from them."""
 
     def make() -> Split:
         s = make_split(interactions(spark, sf), SplitParams(**changes))
-        rows = s.rows.persist()
-        cold = cold_items(rows, s.params).persist()
-        return Split(s.params, rows, cold, pools(rows, cold).persist(), warm_split(rows, cold, s.params).persist())
+        rows = materialise(s.rows)
+        cold = materialise(cold_items(rows, s.params))
+        return Split(s.params, rows, cold, materialise(pools(rows, cold)), materialise(warm_split(rows, cold, s.params)))
 
     return kept(spark, ("split", sf, *sorted(changes.items())), make)
 

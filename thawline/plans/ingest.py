@@ -116,9 +116,9 @@ def json_field(spark, sf):
 
 
 @query(
-    """WITH k AS (SELECT * FROM documents WHERE lang = 'en'), w AS (SELECT doc_id FROM labels)
-    SELECT (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM w WHERE doc_id IN (SELECT doc_id FROM k)) AS covered,
-    (SELECT count(*) FROM w) AS wanted, round(kept / total, 9) AS kept_frac, round(covered / wanted, 9) AS coverage"""
+    """WITH k AS (SELECT * FROM documents WHERE lang = 'en'), w AS (SELECT doc_id FROM labels),
+    c AS (SELECT (SELECT count(*) FROM k) AS kept, (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM w WHERE doc_id IN (SELECT doc_id FROM k)) AS covered, (SELECT count(*) FROM w) AS wanted)
+    SELECT kept, total, covered, wanted, round(kept / total, 9) AS kept_frac, round(covered / wanted, 9) AS coverage FROM c"""
 )
 def filter_statistics(spark, sf):
     """SRC-18"""

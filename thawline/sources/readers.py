@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,6 +93,19 @@ def filter_stats(before: DataFrame, after: DataFrame, wanted: DataFrame, key: st
     )
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table under spark.checkpoint.dir (a temporary folder only where that is unset) and read it
+    back: later plans start from a scan, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="thawline-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
