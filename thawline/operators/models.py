@@ -185,7 +185,7 @@ def blocked_top(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, blo
 
     groups = 16  # user groups: each meets every item block once
     left = asked.select(F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), F.col("user_id").alias("id"), "v", "m")
-    right = items.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("g"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("side"), F.col("item_id").alias("id"), "v", F.lit(0).cast("long").alias("m"))
+    right = items.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("side"), F.col("item_id").alias("id"), "v", F.lit(0).cast("long").alias("m"))
     found = left.unionByName(right).groupBy("g", "b").applyInArrow(take, "user_id long, item_id long, score double")
     return retrieval.top_k(retrieval.exclude(found, seen, ["user_id", "item_id"]), ["user_id"], "item_id", n)
 

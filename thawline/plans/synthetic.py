@@ -9,13 +9,13 @@ from ..operators import tuning as tn
 from .base import query
 from .fixtures import table
 
-SCORED = "WITH sc AS (SELECT l_partkey % 50 AS item_id, o_custkey AS user_id, round(avg(l_extendedprice) / 10000 - 3, 6) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 20 = 0 GROUP BY 1, 2), pr AS (SELECT user_id, avg(score) AS prior, count(*) AS n, CASE WHEN count(*) > 1 THEN var_samp(score) END AS within FROM sc GROUP BY 1)"
+SCORED = "WITH sc AS (SELECT l_partkey % 50 AS item_id, o_custkey AS user_id, round(avg(l_extendedprice) / 10000 - 3, 3) AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 20 = 0 GROUP BY 1, 2), pr AS (SELECT user_id, avg(score) AS prior, count(*) AS n, CASE WHEN count(*) > 1 THEN var_samp(score) END AS within FROM sc GROUP BY 1)"
 
 
 def _scored(spark, sf):
     rows = table(spark, sf, "lineitem").where("l_partkey % 20 = 0").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     by = rows.groupBy((F.col("l_partkey") % 50).alias("item_id"), F.col("o_custkey").alias("user_id"))
-    return by.agg(F.round(F.avg("l_extendedprice") / 10000 - 3, 6).alias("score"))
+    return by.agg(F.round(F.avg("l_extendedprice") / 10000 - 3, 3).alias("score"))
 
 
 @query(SCORED + "SELECT item_id, user_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, user_id) AS rank FROM sc QUALIFY rank <= 7")
