@@ -11,13 +11,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at once; a longer single document is one step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Texts are long: at most ``rows`` of them travel to a Python worker at once, which bounds
+    the Arrow buffers on both sides.  A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; under a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,6 +104,12 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and after the last one unused Arrow memory goes back: workers outlive their tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def steps(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of about ``limit`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -151,7 +166,7 @@ def map_rows(docs: DataFrame, make, fields: str, keep: list[str], column: str =
     from pyspark.sql import types as T
 
     taken = list(dict.fromkeys([*keep, column]))
-    docs = docs.select(*taken)
+    docs = small_batches(docs).select(*taken)
     new = T.StructType.fromDDL(fields)
     if clash := {f.name for f in new} & set(keep):
         raise ValueError(f"columns are there already: {sorted(clash)}")
@@ -160,7 +175,7 @@ def map_rows(docs: DataFrame, make, fields: str, keep: list[str], column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch, column):
                 yield pa.RecordBatch.from_arrays([*(step.column(c) for c in order), *work(step)], names)
 

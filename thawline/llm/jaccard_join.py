@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, longs, mix64, span_hash, stash, steps
+from .common import Words, longs, mix64, small_batches, span_hash, stash, steps, tidy
 
 SEEDS = 12
 #: Shingles that tell little: at most so many, each in at least SHARED distinct sets of a step.  They only shape the
@@ -151,7 +151,7 @@ def _signatures(n: int, bands: Bands):
     step, the shingles that several of the step's distinct sets hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch):
                 values, first = shingle_sets(Words(step.column("text"), fold=True), n)
                 a, b = _sums(mix64(values), first), _sums(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
@@ -179,7 +179,7 @@ def _keys(n: int, bands: Bands, common: np.ndarray):
     low = t + slope * (bands.num / bands.den if slope > 0 else bands.den / bands.num) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch):
                 values, first = shingle_sets(Words(step.column("text"), fold=True), n)
                 a = _sums(mix64(values), first)
@@ -244,7 +244,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch):
                 values, first = shingle_sets(Words(step.column("text"), fold=True), n)
                 sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), longs(values))
@@ -324,7 +324,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): two documents link when
     den * |intersection| >= num * |union| of their n-word shingle sets; a component is the
     least doc_id reachable by links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bands = Bands(num, den)
     every = stash(docs.mapInArrow(_signatures(n, bands), "doc_id long, n long, band long, a long, b long, heavy array<struct<s:long,m:long>>"))
     common = every.select(F.inline("heavy")).groupBy("s").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "s").limit(COMMON)

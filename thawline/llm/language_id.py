@@ -27,7 +27,7 @@ from .common import map_rows, steps, strings
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -29,7 +29,7 @@ from .common import map_rows, strings
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Segments that a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 @dataclass

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, longs, span_hash, steps
+from .common import Words, longs, small_batches, span_hash, steps, tidy
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def _candidates(words: Words, step: pa.RecordBatch, window: int) -> tuple[np.nda
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch):
                 words = Words(step.column("text"))
                 _, row, anchor = _anchored(words, words.hashes(), window)
@@ -101,7 +101,7 @@ def _anchors(window: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch):
                 words = Words(step.column("text"))
                 _, row, full = _candidates(words, step, window)
@@ -113,7 +113,7 @@ def _windows(window: int):
 
 def _removal(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for step in steps(batch):
                 words = Words(step.column("text"))
                 at, row, full = _candidates(words, step, window)
@@ -146,7 +146,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, with_text: bool = True)
     with ``with_text``, the kept words themselves joined by single spaces."""
     if window < 2:
         raise ValueError("window must be at least 2 words")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pairs = "doc_id long, h long"
 
     firsts = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window), pairs).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
