@@ -33,10 +33,10 @@ def select_floored(spark, sf):
     return sy.select_floored(shifted, 7).select("item_id", "user_id", "rank")
 
 
-@query(SCORED + "SELECT user_id, round(prior, 6) AS prior, n, round(within, 6) AS within FROM pr")
+@query(SCORED + "SELECT user_id, round(prior, 6) AS prior, n, round(within, 9) AS within FROM pr")
 def user_priors(spark, sf):
     """SYN-04, AGG-17"""
-    return sy.user_priors(_scored(spark, sf)).select("user_id", F.round("prior", 6).alias("prior"), "n", F.round("within", 6).alias("within"))
+    return sy.user_priors(_scored(spark, sf)).select("user_id", F.round("prior", 6).alias("prior"), "n", F.round("within", 9).alias("within"))
 
 
 @query(SCORED + ", c AS (SELECT count(*) AS n_users, avg(within) AS var_within, avg(n) FILTER (n > 1) AS n_eff, var_samp(prior) AS var_means FROM pr) SELECT n_users, round(var_within, 6) AS var_within, round(n_eff, 6) AS n_eff, round(var_means, 6) AS var_means, round(var_means - var_within / nullif(n_eff, 0), 6) AS var_between FROM c")
