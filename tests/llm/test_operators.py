@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from thawline.llm import ann, decontamination, hilbert_shards, jaccard_join, language_id, license_scan, secret_scan, sentencepiece_codec, substring_dedup, toxicity
@@ -143,6 +144,27 @@ def test_toxicity(spark):
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in alone)
 
 
+def test_toxicity_learns_beginnings(spark):
+    """A language that the lexicon doesn't know: words of one stem mark the toxic texts; copies of one text teach nothing."""
+    rng = random.Random(4)
+    clean = ["".join(rng.choices("aeioulmnrt", k=7)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(1, 400):
+        words = rng.choices(clean, k=40)
+        if i % 5 == 0:
+            words += ["zork" + rng.choice(clean)[:3] for _ in range(2)]
+        rows.append((i, " ".join(words)))
+    rows += [(i, "copied quuxword again " + rows[0][1]) for i in range(500, 530)]
+    labels = [(i, int(i % 5 == 0 or i >= 500)) for i, _ in rows if i % 3]
+    df, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    found = set(model.learned.tolist())
+    of = lambda word: set(toxicity.beginnings(toxicity.Letters(pa.array([word])))[0].tolist())
+    assert found & of("zork") and not found & of("quuxword")
+    got = {r.doc_id: r.predicted for r in toxicity.score_texts(df, model, ["doc_id"]).where("doc_id < 400").collect()}
+    assert all(got[i] == int(i % 5 == 0) for i in got)
+
+
 def test_shards(spark, texts):
     got = hilbert_shards.shard_rows(frame(spark, texts), 16).collect()
     assert len(got) == len(texts) and {r.law for r in got} == {"rows"}

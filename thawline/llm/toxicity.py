@@ -1,9 +1,12 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier.
 
-Voters are words and word pairs of a lexicon and a few patterns (shouting, exclamation marks, masked words).  The
-label model takes each voter, and the given label where there is one, as a noisy sign of a hidden class and
-estimates prior and rates by expectation maximisation; what pairs of voters
-share beyond the hidden class (their correlation within the classes) lowers their weight.  A
+Voters are words and word pairs of a lexicon, a few patterns (shouting, exclamation marks, masked words), and word
+beginnings that stand in toxic rows of the sample far more often than in its other rows, which covers languages the lexicon
+does not know.  Such a beginning must come from several texts that aren't copies of one another.  The
+label model takes each voter, and the given label, as a noisy sign of a hidden class and
+estimates the voters' rates by expectation maximisation at the prior that the given labels show; what pairs of voters
+share beyond the hidden class (their correlation within the classes) lowers their weight.  A voter that doesn't vote
+abstains, which says nothing: most texts are in a language that most voters don't know.  A
 logistic regression on voters and hashed words is then trained on the model's posterior labels.
 
 The fit uses at most ``max_rows`` labelled rows, taken in hash order of doc_id (a documented bound);
@@ -15,6 +18,7 @@ without doc_id are scored and count as not held out.  Without labelled rows of b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_rows, span_hash, strings, texts_of
+from .common import Words, longs, map_rows, mix64, span_hash, steps, texts_of, tidy
 
 # Insulting words and word pairs that vote for toxic.
 WORDS = """idiot idiots idiotic moron morons moronic stupid scum pathetic loser losers disgusting trash garbage clown clowns
@@ -35,6 +39,12 @@ estúpido estúpida idiota imbécil mierda puta cabrón gilipollas pendejo asque
 PAIRS = ["shut up", "go die", "drop dead", "kill yourself", "you people", "hate you", "so stupid", "total idiot", "piece of", "fuck off", "screw you", "get lost"]
 PATTERNS = ("shouting", "exclaiming", "masked")
 SLOTS = 512
+#: How often a given label says toxic in the hidden class 1 and in class 0.  These two rates are assumed, not estimated: they
+#: hold the hidden class to what the labels mean, while all voters' rates are estimated against it.
+TRUST = (0.95, 0.02)
+#: Beginnings that may become voters: their lengths in bytes, the parts (of 16, by a sketch that copies share) of the toxic
+#: rows that must hold one, the least ratio of its rates in toxic and in other rows, and the most that are taken.
+LENGTHS, PARTS, RATIO, MOST = range(4, 11), 5, 40.0, 256
 
 
 @dataclass
@@ -42,6 +52,7 @@ class Model:
     bias: float
     votes: np.ndarray
     words: np.ndarray
+    learned: np.ndarray  # hashes of the beginnings that vote
 
 
 class Letters(Words):
@@ -59,6 +70,17 @@ class Letters(Words):
         super().__init__(masked)
 
 
+def beginnings(words: Words, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and length of the beginning of each of LENGTHS of each word that is long enough; the hash
+    is that of the beginning without its last ``less`` bytes."""
+    size, row = words.ends - words.starts, words.row()
+    at = [np.flatnonzero(size >= n) for n in LENGTHS]
+    length = np.repeat(np.array(LENGTHS), [len(a) for a in at])
+    at = np.concatenate(at)
+    starts = words.starts[at]
+    return span_hash(words.raw.astype(np.uint64), starts, starts + length - less, "byte"), row[at], length
+
+
 def _hash_of(texts: list[str]) -> np.ndarray:
     words = Words(pa.array(texts, pa.large_string()))
     at = words.first[:-1]
@@ -69,9 +91,9 @@ def _hash_of(texts: list[str]) -> np.ndarray:
 class Features:
     """Votes (rows x voters, 0 or 1) and word slots of a step."""
 
-    def __init__(self) -> None:
-        self.single, self.double = _hash_of(WORDS), _hash_of(PAIRS)
-        self.n_votes = len(WORDS) + len(PAIRS) + len(PATTERNS)
+    def __init__(self, learned: np.ndarray) -> None:
+        self.single, self.double, self.learned = _hash_of(WORDS), _hash_of(PAIRS), learned
+        self.n_votes = len(WORDS) + len(PAIRS) + len(PATTERNS) + len(learned)
 
     @staticmethod
     def _mark(votes: np.ndarray, values: np.ndarray, row: np.ndarray, wanted: np.ndarray, shift: int) -> None:
@@ -97,6 +119,9 @@ class Features:
         votes[:, base] = (letters >= 20) & (2 * upper > letters)
         votes[:, base + 1] = 20 * marks > np.maximum(words.counts, 20)
         votes[:, base + 2] = 10 * stars > np.maximum(words.counts, 20)
+        if len(self.learned):
+            values, of, _ = beginnings(words)
+            self._mark(votes, values, of, self.learned, base + len(PATTERNS))
         return votes, row, (hashes % np.uint64(SLOTS)).astype(np.int64)
 
 
@@ -104,18 +129,20 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.nd
     """Posterior probability of the hidden class 1 for each row, from voters and the given noisy labels."""
     v = np.column_stack([votes, given]).astype(np.float64)
     q = np.clip(given.astype(np.float64), 0.05, 0.95)
-    for k in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+    prior = np.clip(given.mean(), 1e-3, 1 - 1e-3)
+    for _ in range(rounds):
         hit = (v.T @ q + 0.1) / (q.sum() + 1.0)
         false = (v.T @ (1 - q) + 0.1) / ((1 - q).sum() + 10.0)
+        hit[-1], false[-1] = TRUST
         # correlation within the classes: what is left of each vote after its class rate
         rest = v - np.outer(q, hit) - np.outer(1 - q, false)
         scale = np.sqrt((rest * rest).mean(axis=0)) + 1e-3
         shared = np.clip((rest.T @ rest) / len(v) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(shared, 0)
         weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
-        gain, loss = weight * np.log(hit / false), weight * np.log((1 - hit) / (1 - false))
-        logit = np.log(prior / (1 - prior)) + v @ gain + (1 - v) @ loss
+        gain = weight * np.log(hit / false)
+        denied = weight[-1] * np.log((1 - hit[-1]) / (1 - false[-1]))  # the given label never abstains
+        logit = np.log(prior / (1 - prior)) + v @ gain + (1 - v[:, -1]) * denied
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - q).max() < 1e-6:
             break
@@ -123,14 +150,14 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.nd
     return q
 
 
-def fit_linear(votes: np.ndarray, words: np.ndarray, target: np.ndarray, steps: int = 25) -> Model:
-    """L2-regularised logistic regression by Newton steps, on soft labels."""
+def fit_linear(votes: np.ndarray, words: np.ndarray, target: np.ndarray, rounds: int = 25) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias and weights of an L2-regularised logistic regression by Newton steps, on soft labels."""
     x = np.column_stack([votes, words, np.ones(len(votes))]).astype(np.float64)
     ridge = np.concatenate([np.full(votes.shape[1], 0.05), np.full(words.shape[1], 20.0), [1e-6]])
     prior = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     w = np.zeros(x.shape[1])
     w[-1] = np.log(prior / (1 - prior))
-    for _ in range(steps):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (target - p) - ridge * w
         bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
@@ -138,7 +165,7 @@ def fit_linear(votes: np.ndarray, words: np.ndarray, target: np.ndarray, steps:
         w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    return Model(float(w[-1]), w[: votes.shape[1]], w[votes.shape[1] : -1])
+    return float(w[-1]), w[: votes.shape[1]], w[votes.shape[1] : -1]
 
 
 def split_of(doc_id) -> F.Column:
@@ -146,6 +173,62 @@ def split_of(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beginnings of the words of each row, each once a row, with the row's part as a bit."""
+    for batch in tidy(batches):
+        for step in steps(batch):
+            words = Letters(step.column("text"))
+            hashes, row = words.hashes(), words.row()
+            sketch = np.full(len(words.counts), np.iinfo(np.uint64).max)
+            np.minimum.at(sketch, row, mix64(hashes))
+            values, of, length = beginnings(words)
+            parent = beginnings(words, less=1)[0]
+            order = np.lexsort((of, values))
+            new = np.ones(len(of), bool)
+            new[1:] = (np.diff(of[order]) != 0) | (values[order][1:] != values[order][:-1])
+            values, of, length, parent = (x[order[new]] for x in (values, of, length, parent))
+            part = np.left_shift(1, (sketch[of] % np.uint64(16)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([longs(values), longs(parent), pa.array(length, pa.int32()), longs(part)], ["h", "parent", "length", "part"])
+
+
+def learn_beginnings(rows: DataFrame) -> np.ndarray:
+    """Hashes of the beginnings that become voters, from the sampled rows (toxic, text)."""
+    fields = "h long, parent long, length int, part long"
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return np.zeros(0, np.uint64)
+    bad = rows.where("toxic = 1").select("text").mapInArrow(_counted, fields).groupBy("h", "parent", "length")
+    bad = bad.agg(F.count("*").alias("n"), F.bit_count(F.bit_or("part")).alias("parts")).where(F.col("parts") >= PARTS)
+    found = bad.select("h", "parent", "length", "n").toArrow().sort_by([("length", "ascending"), ("h", "ascending")])
+    wanted = found.column("h").to_numpy().view(np.uint64)
+    if not len(wanted):
+        return wanted
+    ranked = np.sort(wanted)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _counted(batches):
+            h = batch.column("h").to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+            values, n = np.unique(h[ranked[at] == h], return_counts=True)
+            yield pa.RecordBatch.from_arrays([longs(values), longs(n)], ["h", "n"])
+
+    good = rows.where("toxic = 0").select("text").mapInArrow(held, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    other = dict(zip(good.column("h").to_numpy().view(np.uint64).tolist(), good.column("n").to_pylist()))
+    hits = found.column("n").to_numpy()
+    misses = np.array([other.get(h, 0) for h in wanted.tolist()])
+    ratio = (hits + 0.5) / (sizes[1] + 1) / ((misses + 0.5) / (sizes[0] + 1))
+    # what the lexicon holds votes already, and a longer beginning must tell much more than the shorter ones
+    best = dict.fromkeys(beginnings(Letters(pa.array(WORDS)))[0].tolist(), np.inf)
+    kept = []
+    for i, (h, parent) in enumerate(zip(wanted.tolist(), found.column("parent").to_numpy().view(np.uint64).tolist())):
+        before = max(best.get(h, 0.0), best.get(parent, 0.0))
+        if ratio[i] >= max(RATIO, 2 * before):
+            kept.append(i)
+            before = ratio[i]
+        best[h] = before
+    return wanted[sorted(kept, key=lambda i: -hits[i])[:MOST]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
     """Learns from labelled rows of docs (doc_id, text) that aren't held out, at most ``max_rows`` of them."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -154,8 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
     chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
+    learned = learn_beginnings(rows)
+
     def make():
-        features = Features()
+        features = Features(learned)
 
         def work(step: pa.RecordBatch) -> list[pa.Array]:
             votes, row, slot = features(step.column("text"))
@@ -167,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
         return work
 
     got = map_rows(rows, make, "votes binary, slots array<int>, counts array<int>", ["doc_id", "toxic"]).toArrow()
-    features = Features()
-    default = Model(-4.0, np.concatenate([np.full(len(WORDS) + len(PAIRS), 6.0), np.zeros(len(PATTERNS))]), np.zeros(SLOTS))
+    features = Features(learned)
+    default = Model(-4.0, np.concatenate([np.full(len(WORDS) + len(PAIRS), 6.0), np.zeros(len(PATTERNS))]), np.zeros(SLOTS), np.zeros(0, np.uint64))
     given = got.column("toxic").to_numpy() if got.num_rows else np.zeros(0)
     if not 0 < given.sum() < len(given):
         return default
@@ -179,14 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
         words[i, s.values.to_numpy()] = np.log1p(c.values.to_numpy())
     words = words[order]
     words /= np.maximum(np.sqrt((words * words).sum(axis=1, keepdims=True)), 1e-6)
-    return fit_linear(votes, words, label_model(votes, given[order]))
+    return Model(*fit_linear(votes, words, label_model(votes, given[order])), learned)
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``docs[keep]`` with score (0 to 1) and predicted (1 if score >= 0.5)."""
 
     def make():
-        features = Features()
+        features = Features(model.learned)
 
         def work(step: pa.RecordBatch) -> list[pa.Array]:
             votes, row, slot = features(step.column("text"))
