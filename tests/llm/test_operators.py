@@ -92,6 +92,15 @@ def test_secrets(spark):
     assert secret_scan.guess_cost("qwertyuiop") < 4 and secret_scan.guess_cost("19991231") < 6 and secret_scan.guess_cost("aaaaaaaaaa") < 4
 
 
+def test_guess_cost_of_long_runs():
+    """Long repeats, blocks and walks stay one cheap segment, in time that grows with the length."""
+    for run in ("a" * 20_000, "ab" * 10_000, "abcdefghijklmnopqrstuvwxyz"):
+        assert secret_scan.guess_cost(run) < 8
+        assert secret_scan.guess_cost("monkey" + run) < 11
+    spans = secret_scan.scan("password='abcdefgh1' " * 2000, 10.0)[0]
+    assert len(spans) == 2000 and all(k == "assign" for _, _, k, _ in spans)
+
+
 def cosine_top(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
@@ -119,11 +128,11 @@ def test_nearest(spark, n, hot):
 def test_language(spark):
     words = {"en": "the cat and this house with that".split(), "de": "der hund und dieses haus mit jenem".split()}
     rng = random.Random(0)
-    rows = [(i, " ".join(rng.choices(words[("en", "de")[i % 2]], k=30))) for i in range(1, 60)] + [(61, None), (63, "123 !!"), (65, "unddieses"), (66, "")]
+    rows = [(i, " ".join(rng.choices(words[("en", "de")[i % 2]], k=30))) for i in range(1, 60)] + [(61, None), (63, "123 !!"), (65, "unddieses"), (66, ""), (67, "½"), (69, "dieses²")]
     df = frame(spark, rows)
     got = {r.doc_id: r for r in language_id.predict(df, language_id.learn(df), ["doc_id"]).collect()}
     assert all(got[i].lang_pred == ("en", "de")[i % 2] and 0 <= got[i].score <= 1 for i in range(1, 60))
-    assert got[61].lang_pred == got[63].lang_pred == got[66].lang_pred == "und" and got[65].lang_pred == "de"
+    assert got[61].lang_pred == got[63].lang_pred == got[66].lang_pred == got[67].lang_pred == "und" and got[65].lang_pred == got[69].lang_pred == "de"
     empty = language_id.predict(df, language_id.learn(df.where("false")), ["doc_id"])
     assert {r.lang_pred for r in empty.collect()} == {"und"}
 

@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 from functools import cache
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +45,8 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmno
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("@431!05$7", "aaeiiosst")
 SEGMENT_COST = math.log10(2)
+#: A repeat or walk that ends at some place starts with its run, or among the first or last NEAR places of it.
+NEAR = 24
 
 
 @cache
@@ -61,6 +64,13 @@ def _char_cost(c: str) -> float:
     return math.log10(33) if ord(c) < 128 else 2.0
 
 
+def _starts(first: int, last: int):
+    """Places from ``first`` to ``last`` (exclusive) where a segment of a run may start: all of them in a short run."""
+    if last - first <= 2 * NEAR:
+        return range(first, last)
+    return chain(range(first, first + NEAR), range(last - NEAR, last))
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``; 0 for an empty one."""
     ranks, longest, near = _tables()
@@ -71,6 +81,7 @@ def guess_cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # cheapest way in which the last segment is a brute-force span
     alike = walk = 1  # lengths of the repeat and of the keyboard walk that end here
+    same = [0] * 17  # for each distance, how many characters in a row equal the one that far before
     ends = {}  # dates by end
     for i in range(n):
         if low[i].isdigit():
@@ -83,11 +94,11 @@ def guess_cost(value: str) -> float:
         found = brute[j]
         alike = alike + 1 if j > 1 and low[j - 1] == low[j - 2] else 1
         if alike >= 3:
-            for start in range(j - alike, j - 2):
+            for start in _starts(j - alike, j - 2):
                 found = min(found, best[start] + step + math.log10(j - start) + SEGMENT_COST)
         walk = walk + 1 if j > 1 and low[j - 2 : j] in near else 1
         if walk >= 3:
-            for start in range(j - walk, j - 2):
+            for start in _starts(j - walk, j - 2):
                 found = min(found, best[start] + math.log10(47 * (j - start)) + SEGMENT_COST)
         for i in range(max(0, j - longest), j - 1):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
@@ -96,13 +107,12 @@ def guess_cost(value: str) -> float:
                 found = min(found, best[i] + math.log10(rank + 1) + varied * math.log10(4) + SEGMENT_COST)
         for start in ends.get(j, ()):
             found = min(found, best[start] + math.log10(200 if j - start == 4 else 73000) + SEGMENT_COST)
-        for size in range(2, min(16, j // 2) + 1):  # blocks repeated twice or more
-            if low[j - size : j] == low[j - 2 * size : j - size]:
-                times, start = 2, j - 2 * size
-                while start >= size and low[start - size : start] == low[j - size : j]:
-                    times, start = times + 1, start - size
+        for size in range(2, min(16, j - 1) + 1):  # blocks repeated twice or more
+            same[size] = same[size] + 1 if low[j - 1] == low[j - 1 - size] else 0
+            if same[size] >= size:
+                times = same[size] // size + 1
                 block = sum(map(_char_cost, value[j - size : j]))
-                found = min(found, best[start] + block + math.log10(times) + SEGMENT_COST)
+                found = min(found, best[j - times * size] + block + math.log10(times) + SEGMENT_COST)
         best[j] = found
     return best[n]
 
@@ -123,14 +133,17 @@ def added_spans(text: str, base: list[tuple[int, int, str, int]], min_guesses: f
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS) and "credentials" not in low:
         return []
-    found = []
+    found, passed = [], 0
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         b -= len(m[1]) - len(m[1].rstrip(".,:!?"))
+        while passed < len(base) and base[passed][1] <= a:
+            passed += 1
         at = a
-        for s, e, _, _ in base:  # ordered by start
-            if s <= at < e:
-                at = e
+        for s, e, _, _ in islice(base, passed, None):  # ordered by start
+            if s > at:
+                break
+            at = max(at, e)
         if at < b and b - a >= 6 and guess_cost(text[a:b]) >= min_guesses:
             found.append((a, b, "guess", a))
     return found
