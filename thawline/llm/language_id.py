@@ -106,7 +106,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         def scored(text: str) -> tuple[str, float]:
             nonlocal table
             words = Counter(WORD.findall(text.lower()))
-            if not width or not any(w.isalpha() for w in words):
+            if not width or not any(any(map(str.isalpha, w)) for w in words):
                 return "und", 0.0
             for w in words:
                 if w not in memory:
