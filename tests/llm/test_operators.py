@@ -267,6 +267,90 @@ def test_licenses(spark):
     assert got[4].sentences == ["MIT_GRANT", "MIT_NOTICE"] and got[7].unmatched == ["GPL_SEE"]
 
 
+GPL_HEADER = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program{2}"""
+APACHE_HEADER = """Copyright 2020 Some Owner, Inc.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD_TEXT = """Copyright (c) 2020, Some Owner
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2) Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Owner, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Owner
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+@pytest.mark.parametrize("before,mark,after", [("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", "\r"), ("", "REM ", "")])
+def test_wrapped_licenses(before, mark, after):
+    """Standard texts, wrapped and in comments, match their longest rule."""
+    rules = license_scan.Rules()
+
+    def said(text):
+        known = rules.identify("import os\n" + before + "\n".join(mark + line for line in text.split("\n")) + after + "\ncode = 1\n")
+        found, rest = rules.match(known)
+        return [n for _, n in known], [x for _, x in found], rest
+
+    gpl = ["GPL_FREE", "GPL_HOPE", "GPL_SEE", "GPL_COPY"]
+    for signs in ((":", ",", ".  If not, see <https://www.gnu.org/licenses/>."), (";", ";", "; if not, write to the Free Software\nFoundation, Inc., 59 Temple Place")):
+        assert said(GPL_HEADER.format(*signs)) == (gpl, ["GPL-or-later"], [])
+    assert said(APACHE_HEADER) == (["APACHE2_REF", "APACHE2_COMPLY", "APACHE2_COPY", "APACHE2_BASIS", "APACHE2_SEE"], ["Apache-2.0"], [])
+    assert said(BSD_TEXT) == (["ALL_RIGHTS", "BSD_REDIST", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE"], ["Proprietary", "BSD-3-Clause"], [])
+    assert said(MIT_TEXT) == (["MIT_REF", "MIT_GRANT", "MIT_NOTICE", "AS_IS_SOFTWARE", "AUTHORS_NOT_LIABLE"], ["MIT", "MIT"], [])
+    assert said("Copyright 2020 A\nLicensed under the MIT License\nAll rights reserved")[0] == ["MIT_REF", "ALL_RIGHTS"]
+    assert said("This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0.")[1] == ["MPL-2.0"]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert substring_dedup.dedup_substrings(none).count() == 0

@@ -1,6 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; each normalised sentence is looked up among known licence sentences and so gets an
+A text is cut into pieces at line ends and after ``.!?;:``; a sentence is one piece or several in a row, up to a
+full stop or an empty line (one of comment marks only is empty too), so wrapped sentences and those with ``;`` or
+``:`` inside are whole.  The longest known licence sentence, in normalised words, that begins at a piece gives an
 identifier.  The identifiers, in order, are matched against licence rules, most specific first: a rule is a
 sequence of identifiers, and what it matches is used up.  Up to ``gap`` unknown sentences may stand
 between two sentences of one rule.  Identifiers that no rule uses are reported as they are.
@@ -98,7 +100,12 @@ RULES = [
 
 #: One of these stands in every known sentence.
 SIGNS = ("licen", "copyright", "rights", "permission", "warrant", "liable", "redistribut", "unencumbered", "proprietary", "prohibited", "endorse", "free software", "gnu", "cc0")
-CUT = re.compile(r"\n+|(?<=[.!?;:])\s+")
+LINE = re.compile(r"\r\n|[\n\r]")
+CUT = re.compile(r"(?<=[.!?;:])\s+")
+#: Comment marks made of letters; all others fall away with the signs.
+MARK = re.compile(r"[\s@]*(?:rem|dnl)\b", re.IGNORECASE)
+END = re.compile(r"(?<!\binc)(?<!\bltd)(?<!\bcorp)(?<!\bco)(?<!\bv)[.!?][)\]\"']*\s*(?:\*+/|-->)?\s*$", re.IGNORECASE)
+LABEL = re.compile(r"\d{1,2} ")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -106,26 +113,85 @@ def fold(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
+def pieces(text: str) -> list[tuple[str, bool]]:
+    """(words, whether the sentence ends there)."""
+    out: list[tuple[str, bool]] = []
+    for line in LINE.split(text):
+        some = [(words, bool(END.search(part))) for part in CUT.split(MARK.sub("", line, count=1)) if (words := fold(part))]
+        if some:
+            out += some
+        elif out:
+            out[-1] = (out[-1][0], True)
+    return out
+
+
 class Rules:
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: list = RULES, gap: int = 2) -> None:
         self.exact = {s: name for name, some in sentences.items() for s in some if "{x}" not in s}
-        self.open = [(name, re.compile(re.escape(s).replace(r"\{x\}", ".+").replace(r"\ ", " "))) for name, some in sentences.items() for s in some if "{x}" in s]
+        self.begun = {s[:i] for s in self.exact for i in range(1, len(s) + 1) if s[i : i + 1] in ("", " ")}
+        self.open = [(name, *(part.strip() for part in s.split("{x}"))) for name, some in sentences.items() for s in some if "{x}" in s]
         self.rules, self.gap = rules, gap
 
+    def spelt(self, parts: list[tuple[str, bool]], i: int) -> tuple[str | None, int]:
+        """Identifier and end of the longest sentence without {x} that begins at piece ``i``."""
+        best, words = (None, i), LABEL.sub("", parts[i][0], count=1) if LABEL.match(parts[i][0]) else parts[i][0]
+        while words in self.begun:
+            i += 1
+            if words in self.exact:
+                best = self.exact[words], i
+            if parts[i - 1][1] or i == len(parts):
+                break
+            words += " " + parts[i][0]
+        return best
+
+    def headed(self, parts: list[tuple[str, bool]], i: int, head: str) -> tuple[list[str], int] | None:
+        """Words after ``head``, if it begins at piece ``i``, and the end of the piece where it ends."""
+        words = LABEL.sub("", parts[i][0], count=1) if LABEL.match(parts[i][0]) else parts[i][0]
+        i += 1
+        while head.startswith(words + " ") and not parts[i - 1][1] and i < len(parts):
+            words += " " + parts[i][0]
+            i += 1
+        return (words[len(head) :].split(), i) if (words + " ").startswith(head + " ") else None
+
+    def filled(self, parts: list[tuple[str, bool]], i: int) -> tuple[str | None, int]:
+        """Identifier and end of a sentence with {x} that begins at piece ``i``.  {x} ends before the next known
+        sentence; at the end of a sentence it may be empty, as what it stands for may follow an empty line."""
+        for name, head, tail in self.open:
+            if not (begun := self.headed(parts, i, head)):
+                continue
+            (rest, j), last = begun, tail.split()
+            while True:
+                if last and len(rest) > len(last) and rest[-len(last) :] == last:
+                    return name, j
+                if parts[j - 1][1] or j == len(parts) or not last and self.spelt(parts, j)[0]:
+                    break
+                if not last and any(self.headed(parts, j, h) for _, h, _ in self.open):
+                    break
+                rest += parts[j][0].split()
+                j += 1
+                if last and rest[-len(last) :] != last and (self.spelt(parts, j - 1)[0] or self.headed(parts, j - 1, head)):
+                    break
+            if not last:
+                return name, j
+        return None, i
+
     def identify(self, text: str) -> list[tuple[int, str]]:
         """(sentence number, identifier) of the known sentences."""
         low = text.lower()
         if not any(s in low for s in SIGNS):
             return []
-        found, number = [], 0
-        for sentence in CUT.split(text):
-            words = fold(sentence)
-            if not words:
-                continue
-            name = self.exact.get(words) or next((n for n, p in self.open if p.fullmatch(words)), None)
+        parts = pieces(text)
+        found, number, within, i = [], 0, False, 0
+        while i < len(parts):
+            name, stop = self.spelt(parts, i)
+            if not name:
+                name, stop = self.filled(parts, i)
             if name:
+                number += within
                 found.append((number, name))
-            number += 1
+            within = not name and not parts[i][1]
+            number += not within
+            i = stop if name else i + 1
         return found
 
     def match(self, known: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
