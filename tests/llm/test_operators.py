@@ -92,6 +92,16 @@ def test_secrets(spark):
     assert secret_scan.guess_cost("qwertyuiop") < 4 and secret_scan.guess_cost("19991231") < 6 and secret_scan.guess_cost("aaaaaaaaaa") < 4
 
 
+@pytest.mark.parametrize("lead", ['{"pass": "', "db_pass = ", "pass => ", "pass is ", "pass_prod: ", "PASS := ", "passphrase: ", "passwd_x: ", "my pwd is: "])
+def test_secrets_after_any_context(lead):
+    """No other credential word stands in the text: the words that let a text in are no narrower than the pattern."""
+    value = "xK9$vQ2!mZ7#pL4&"
+    text = f"so {lead}{value}"
+    assert secret_scan.CONTEXT.search(text)
+    _, spans = secret_scan.scan(text, 10.0)
+    assert value not in secret_scan.redact(text, spans, "[X]")
+
+
 def test_guess_cost_of_long_runs():
     """Long repeats, blocks and walks stay one cheap segment, in time that grows with the length."""
     for run in ("a" * 20_000, "ab" * 10_000, "abcdefghijklmnopqrstuvwxyz"):

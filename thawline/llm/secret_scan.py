@@ -27,7 +27,8 @@ ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT_WORDS = (*ASSIGN_WORDS, "pwd", "passphrase", "credential", "private_key", "access_key", "auth_key", "pass:", "pass=")
+#: One of these stands in every match of CONTEXT; "pass" also for passphrase.
+CONTEXT_WORDS = (*ASSIGN_WORDS, "pwd", "pass", "credential", "private_key", "access_key", "auth_key")
 CONTEXT = re.compile(
     r"(?:password|passwd|passphrase|pwd|pass|secret|token|api_?key|credentials?|private_key|access_key|auth_key)(?:_[a-z0-9]{1,12})?[\"']?\s{0,4}(?:[:=]|=>|:=|\bis\b:?)\s{0,4}[\"'`]?([^\s\"'`<>(){},;]{6,})",
     re.ASCII | re.IGNORECASE,
