@@ -135,6 +135,26 @@ def test_nearest(spark, n, hot):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_nearest_repeated_ids(spark, block):
+    """Copies of one id, more than k of them and nearest to all queries, take one place."""
+    rng = np.random.default_rng(2)
+    center = np.ones(16)
+    near = lambda s: [float(x) for x in center + s * rng.normal(size=16)]
+    rows = [(i, near(0.2)) for i in range(60)] + [(777, near(0.001)) for _ in range(40)] + [(778, [1.0] * 16)] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, "vec_id % 50 = 0", k=5, block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    best = {}
+    for i, v in rows:
+        for q in (0, 50):
+            x, y = np.array(rows[q][1]), np.array(v)
+            best[q, i] = max(best.get((q, i), -2), x @ y / np.sqrt((x @ x) * (y @ y)))
+    want = {q: sorted((i for p, i in best if p == q and i != q), key=lambda i: (-best[q, i], i))[:5] for q in (0, 50)}
+    assert got == want
+
+
 def test_language(spark):
     words = {"en": "the cat and this house with that".split(), "de": "der hund und dieses haus mit jenem".split()}
     rng = random.Random(0)

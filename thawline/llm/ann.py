@@ -102,11 +102,15 @@ def _hashed(tables: int, hashes: int, probes: int, seed: int):
     return run
 
 
-def nearest(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact cosines of the k best rows.  ``rough`` scores only choose what is measured exactly."""
-    if not len(rough):
+def nearest(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, rough: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact cosines of the k best ids.  ``rough`` scores only choose what is measured exactly; rows of
+    one id are neighbours, from each of ``starts`` on, and count by their best.  A row scored -inf takes no part."""
+    best = np.maximum.reduceat(rough, starts) if len(rough) else rough
+    taking = np.count_nonzero(best > -np.inf)
+    if not taking:
         return np.zeros(0, np.int64), np.zeros(0)
-    floor = np.partition(rough, len(rough) - min(k, len(rough)))[len(rough) - min(k, len(rough))] - 1e-9
+    place = len(best) - min(k, taking)
+    floor = np.partition(best, place)[place] - 1e-9
     at = np.flatnonzero(rough >= floor)
     some = rows[at]
     norm = np.sqrt((some * some).sum(axis=1)) * np.sqrt((query * query).sum())
@@ -124,11 +128,13 @@ def _ranked(k: int):
         x = np.stack([np.frombuffer(b) for b in v])
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         # rows that share an id may fill the k places of a block, so they are told apart first
-        rows, row_ids, out = x[~asks], ids[~asks], []
-        rough = unit[asks] @ unit[~asks].T
+        by_id = np.flatnonzero(~asks)[np.argsort(ids[~asks], kind="stable")]
+        rows, row_ids, out = x[by_id], ids[by_id], []
+        starts = np.flatnonzero(np.diff(row_ids, prepend=row_ids[:1] - 1))
+        rough = unit[asks] @ unit[by_id].T
         for q, query_id in enumerate(ids[asks].tolist()):
-            other = row_ids != query_id
-            near, score = nearest(rows[other], row_ids[other], x[asks][q], rough[q][other], k)
+            rough[q, np.searchsorted(row_ids, query_id) : np.searchsorted(row_ids, query_id, "right")] = -np.inf
+            near, score = nearest(rows, row_ids, x[asks][q], rough[q], starts, k)
             out += [(query_id, i, s) for i, s in zip(near.tolist(), score.tolist())]
         columns = list(zip(*out)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
