@@ -37,3 +37,10 @@ def test_whole_arms(spark, name):
         return
     assert "% 20 = 0" not in registry.ORACLE_SQL[name] and "% 50" not in registry.ORACLE_SQL[name]
     test_twin(spark, name)
+
+
+def test_word_windows_whole(spark):
+    """A digest of each whole window of 750 words, 100 shared, at most 4; some documents have a second window."""
+    test_twin(spark, "word_windows_whole")
+    got = registry.QUERIES["word_windows_whole"](spark, SF).collect()
+    assert all(len(r.digests.split(",")) == r.n_windows for r in got) and max(r.n_windows for r in got) > 1

@@ -117,6 +117,13 @@ def word_windows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(w).alias("n_windows"), F.substring(w[0], 1, 40).alias("head"))
 
 
+@query("SELECT doc_id, len(w) AS n_windows, array_to_string(list_transform(w, lambda x: md5(x)), ',') AS digests FROM (SELECT doc_id, CASE WHEN len(x) <= 750 THEN [text] ELSE list_transform(list_slice(range(0, len(x), 650), 1, 4), lambda i: array_to_string(list_slice(x, i + 1, i + 750), ' ')) END AS w FROM (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda y: y <> '') AS x FROM documents))")
+def word_windows_whole(spark, sf):
+    """FN-10: the operator's own sizes, and a digest of each whole window"""
+    w = fx.windows("text")
+    return table(spark, sf, "documents").select("doc_id", F.size(w).alias("n_windows"), F.array_join(F.transform(w, F.md5), ",").alias("digests"))
+
+
 @query("SELECT conv_id, turn, role, CASE WHEN text ILIKE '%answer%' THEN lower(text) END AS answer FROM conversations WHERE false UNION ALL SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END FROM conversations")
 def parsed_answers(spark, sf):
     """FN-15, FN-16"""
