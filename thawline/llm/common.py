@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at once; a longer single document is one step.
@@ -28,14 +29,24 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; under a local one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir; under a local one only where that is unset and all of Spark is on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="thawline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/thawline-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/thawline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; frames that rest on them can't be read any more."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/thawline-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -60,6 +71,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring hashes, in this order."""
+    return mix64(mix64(a + _LEFT) ^ (b * _RIGHT))
+
+
+_LEFT, _RIGHT, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: For a block that holds n more bytes of a span: the bits that count.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans beyond so many bytes are hashed one by one.
+LONG_SPAN = 64
+
+
+def byte_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of raw[start:end] for every span: its length, then blocks of eight bytes, each mixed in turn.  Spans
+    of up to eight bytes and equal length never collide.  Another ``seed`` gives an independent hash."""
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * _SIZE + mix64(np.array([seed + 1], np.uint64)))
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(live):
+        block = blocks[starts[live] + done].view(np.uint64)[:, 0] & _MASKS[np.minimum(size[live] - done, 8)]
+        out[live] = mix64((out[live] ^ block) + _LEFT)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed))
+    return out
+
+
+def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n consecutive hashes, by doubling: a run of twice the length is two runs, and the last step
+    joins two that overlap."""
+    at, length = hashes, 1
+    while 2 * length <= n:
+        at = _paired(at[: max(len(at) - length, 0)], at[length:])
+        length *= 2
+    if length < n:
+        at = _paired(at[: max(len(at) - (n - length), 0)], at[n - length :])
+    return mix64(at ^ np.uint64((n * int(_SIZE)) % (1 << 64)))
+
+
 class _Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
 
@@ -137,9 +190,12 @@ class Words:
         self.ends = np.flatnonzero(word & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, self.offsets)  # words of row i: first[i]:first[i+1]
         self.counts = np.diff(self.first)
+        self.known: dict[int, np.ndarray] = {}
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(self.raw.astype(np.uint64), self.starts, self.ends, "byte")
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        if seed not in self.known:
+            self.known[seed] = byte_hash(self.raw, self.starts, self.ends, seed)
+        return self.known[seed]
 
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

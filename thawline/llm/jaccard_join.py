@@ -1,19 +1,18 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersection.
 
 1. Each text becomes the set of its distinct word shingles (64-bit hashes).  Texts with
-   one and the same set are one *class* from here on.
-2. Sizes fall into bands whose ratio is at most the threshold, so partners lie in the same or the
-   next band.  Two sets of a band pair differ in at most H elements; hashing the elements
-   into more than H parts leaves some part equal in both (pigeonhole).  Each set emits the hash of
-   each of its parts for its own band and the next; sets that share one are candidates.
-   A part that is empty tells nothing, so a band has E parts more than H + 1, and a
-   set with over E empty parts emits again under the next seed: two sets that the first seed
-   could miss both have that many empty parts, so both do.  Parts of nothing but very common shingles
-   count as empty, lest a line that many texts share ties them together.  No link is lost.
-3. Candidate classes are grouped, and each group is cut into tiles in order of size.  A task
-   compares one tile with another: the sizes, then the bit counts of hashed bitmaps bound the overlap
-   from above, then sorted arrays are intersected.  Pairs already joined within the task
-   are skipped, so groups of near copies need few exact intersections.
+   one and the same set are one *class* from here on (128-bit sums of the set, and its size).
+2. Candidates come from prefixes.  In any one order of all shingles, two sets of similarity t or more share one of
+   their first ``n - ceil(t * n) + 1``, n the set's own size.  The order here: shingles that stand in very many sets come
+   last; before them hash ranges, and within a range the rarer ones first.  A set sends only the ranges that its prefix
+   reaches into, about twice the prefix, and the sets that meet in a shingle give its frequency.  A shingle that one set
+   alone has sent can't be shared, so prefixes of texts that are nobody's copy come out empty.  No link is lost, whatever
+   the frequencies are.
+3. Classes whose prefixes meet are grouped.  A group of a tile's size goes to one task.  In a larger one every
+   class is first compared with a few leaders of its own and the neighbouring size bands; what they join into the group's
+   greatest component needn't be compared among itself.  All else is cut into tiles by size band, since partners lie in
+   the same or the next band.  A task compares one tile with another: sizes, then the bit counts of hashed
+   bitmaps bound the overlap from above, then sorted arrays are intersected.  Pairs already joined within the task are skipped.
 
 Defined results: texts without words, and null texts, have the empty set and link with nothing.  Rows with
 a null doc_id are returned with a null component and link nothing.  doc_id names a row: identical repeated rows get
@@ -30,74 +29,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, longs, mix64, small_batches, span_hash, stash, steps, tidy
+from .common import Words, longs, mix64, run_hash, small_batches, stash, steps, tidy
 
-SEEDS = 12
-#: Shingles that tell little: at most so many, each in at least SHARED distinct sets of a step.  They only shape the
-#: candidates; any choice of them gives the same links.
+#: Shingles that come last in the order: at most so many, each in at least SHARED distinct sets of a step.  They only
+#: shape the candidates; any choice of them gives the same links.
 COMMON, SHARED = 50_000, 3
-#: Share of common shingles up to which a set's parts count only by their other shingles.
-MOSTLY = 0.7
+#: Sets of one very common shingle that meet in one task.
+SALTED = 2048
 TILE = 1024
 #: Shingles that a set may have on average in a full tile.
 TILE_WORDS = 2048
+#: Candidates are sent with their sets by a broadcast of their ids up to so many, by a shuffle of the texts beyond.
+FEW = 500_000
 
 
 class Bands:
-    """Size bands for 'part * intersection >= whole_part * union' with threshold num/den, in integers."""
+    """Size bands for 'den * intersection >= num * union', in integers: sets that link lie in one band or in neighbouring ones."""
 
     def __init__(self, num: int, den: int) -> None:
+        if not 0 < num <= den:
+            raise ValueError("the threshold must be in (0, 1]")
         self.num, self.den = num, den
         starts = [1]
         while starts[-1] < 1 << 40:
             # sizes a <= b can only link if num * b <= den * a
             starts.append(max(starts[-1] + 1, starts[-1] * den // num + 1))
         self.starts = np.array(starts, np.int64)
-        top = self.starts[1:] - 1
-        differ = 2 * top * (den - num) // (den + num)
-        least = np.concatenate([[1], self.starts[:-2]])  # sets of the band below use the scheme too
-        self.spare = np.array([self._spare(int(d), int(n)) for d, n in zip(differ, least)], np.int64)
-        self.m = differ + 1 + self.spare
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
 
-    @staticmethod
-    def _spare(differ: int, least: int) -> int:
-        """Empty parts to allow for when a set of ``least`` elements falls into differ + 1 + spare parts: few
-        parts, but seldom another seed."""
-        if differ > 200:
-            spare = 0.0
-            for _ in range(20):
-                m = differ + 1 + spare
-                empty = m * math.exp(-least / m)
-                spare = empty + 2.2 * math.sqrt(empty)
-            return math.ceil(spare)
-        cost = {}
-        for spare in range(differ // 2 + 3):
-            m = differ + 1 + spare
-            empty = m * math.exp(-least / m)
-            chance = sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(spare + 1))
-            cost[spare] = m / max(chance, 1e-9)
-        return min(cost, key=cost.get)
-
-    def parts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of parts and of empty parts that are allowed, for pairs whose larger set is in ``band``."""
-        return self.m[band], self.spare[band]
+    def prefix(self, sizes: np.ndarray) -> np.ndarray:
+        """How many leading shingles of a set tell all its partners."""
+        return sizes - -(-self.num * sizes // self.den) + 1
 
     def needed(self, total: np.ndarray) -> np.ndarray:
         """Least intersection of two sets whose sizes add up to ``total``."""
         return -(-self.num * total // (self.num + self.den))
 
+    def ranges(self) -> np.ndarray:
+        """Ends of the hash ranges as fractions: the first is twice a prefix, so most sets need no other."""
+        gap = max((self.den - self.num) / self.den, 0.02)
+        return np.append(np.arange(2 * gap, 1 - 1e-9, gap), 1.0)
+
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each row, and the first of each row (n_rows + 1 offsets)."""
     hashes = words.hashes()
     at, row = words.windows(n)
-    values = span_hash(hashes, at, at + n, "word")
-    short = np.flatnonzero((words.counts > 0) & (words.counts < n))
-    whole = span_hash(hashes, words.first[:-1][short], words.first[1:][short], "word")
-    values, row = np.concatenate([values, whole]), np.concatenate([row, short])
+    values, rows = [run_hash(hashes, n)[at]], [row]
+    for less in range(1, n):  # fewer words: the whole sequence is one shingle
+        short = np.flatnonzero(words.counts == less)
+        if len(short):
+            values.append(run_hash(hashes, less)[words.first[:-1][short]])
+            rows.append(short)
+    values, row = np.concatenate(values), np.concatenate(rows)
     order = np.lexsort((values, row))
     values, row = values[order], row[order]
     new = np.ones(len(row), bool)
@@ -112,40 +98,6 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def _part_keys(values: np.ndarray, first: np.ndarray, bands: Bands, shift: int, weak: np.ndarray | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of each part under the scheme of the set's band + shift, but for parts that are empty or
-    hold ``weak`` elements only: those count as empty.  ``live``: the rows to take, else all with elements."""
-    keys, rows = [], []
-    live = np.flatnonzero(np.diff(first)) if live is None else live
-    scheme = 0 if weak is None else 1 << 40
-    for seed in range(SEEDS + 1):
-        if not len(live):
-            break
-        sizes = first[live + 1] - first[live]
-        band = bands.band(sizes) + shift
-        m, spare = bands.parts(band)
-        if seed == SEEDS:  # beyond all odds: one key for all that are left in the band
-            keys.append(mix64(band.astype(np.uint64) + np.uint64((1 << 50) + scheme)))
-            rows.append(live)
-            break
-        of = np.repeat(np.arange(len(live)), sizes)
-        base = np.concatenate([[0], np.cumsum(m)])
-        mine = np.repeat(first[live] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(of))
-        mixed = mix64(values[mine] + np.uint64((seed * 0x632BE59BD9B4E019 + 1) & (2**64 - 1)))
-        slot = base[of] + (((mixed >> np.uint64(32)) * m[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, slot, mix64(mixed))
-        filled = np.zeros(base[-1], bool)
-        filled[slot if weak is None else slot[~weak[mine]]] = True
-        owner = np.repeat(np.arange(len(live)), m)
-        tag = (band[owner] * (SEEDS + 1) + seed + scheme).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(base[-1]) - base[owner]).astype(np.uint64)
-        keys.append(mix64(total[filled] ^ mix64(tag[filled])))
-        rows.append(live[owner[filled]])
-        empty = m - np.add.reduceat(filled.astype(np.int64), base[:-1])
-        live = live[empty > spare]
-    return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
 def _signatures(n: int, bands: Bands):
     """Per row: size of its set, the band of that, and two hashes of the whole set; with the first row of a
     step, the shingles that several of the step's distinct sets hold."""
@@ -160,75 +112,103 @@ def _signatures(n: int, bands: Bands):
                 one[np.unique(a, return_index=True)[1]] = True
                 shared, times = np.unique(values[np.repeat(one, n_set)], return_counts=True)
                 shared, times = shared[times >= SHARED], times[times >= SHARED]
-                pairs = pa.StructArray.from_arrays([longs(shared), longs(times)], ["s", "m"])
+                pairs = pa.StructArray.from_arrays([longs(shared), longs(times)], ["k", "m"])
                 heavy = pa.ListArray.from_arrays(pa.array([0] + [len(shared)] * len(a), pa.int32()), pairs)
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), longs(n_set), longs(bands.band(n_set)), longs(a), longs(b), heavy], ["doc_id", "n", "band", "a", "b", "heavy"])
 
     return run
 
 
-def _keys(n: int, bands: Bands, common: np.ndarray):
-    """Distinct (part key, class) of each step: copies within it are already merged here.
-
-    Sets with a share of common shingles up to MOSTLY take part with weak parts, sets with a share of at
-    least ``low`` with plain ones; the partner of a set beyond MOSTLY has at least ``low``, so each link
-    is met in one of the two.
-    """
-    t = bands.num / (bands.num + bands.den)
-    slope = t - (1 - MOSTLY)
-    low = t + slope * (bands.num / bands.den if slope > 0 else bands.den / bands.num) - 1e-9
+def _keys(n: int, bands: Bands, common: np.ndarray, salts: np.ndarray):
+    """(k, s, a, surplus): the shingles k that the class a sends, each class once a step.  Common ones have a salt s from 1 on.
+    Where k lies in the last range that is sent, ``surplus`` is how many of that range's shingles lie beyond the prefix,
+    elsewhere -1."""
+    ends = bands.ranges()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
             for step in steps(batch):
                 values, first = shingle_sets(Words(step.column("text"), fold=True), n)
                 a = _sums(mix64(values), first)
-                one = np.unique(a, return_index=True)[1]
-                one = one[np.diff(first)[one] > 0]
                 picked = np.zeros(len(a), bool)
-                picked[one] = True
+                picked[np.unique(a, return_index=True)[1]] = True
                 sizes = np.where(picked, np.diff(first), 0)
                 values = values[np.repeat(picked, np.diff(first))]
-                first = np.concatenate([[0], np.cumsum(sizes)])
+                row = np.repeat(np.arange(len(a)), sizes)
                 at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
-                weak = common[at] == values if len(common) else np.zeros(len(values), bool)
-                share = np.diff(np.concatenate([[0], np.cumsum(weak)])[first]) / np.maximum(sizes, 1)
-                ways = ((weak, np.flatnonzero((sizes > 0) & (share <= MOSTLY))), (None, np.flatnonzero((sizes > 0) & (share >= low))))
-                for shift, (by, live) in ((s, w) for s in (0, 1) for w in ways):
-                    key, row = _part_keys(values, first, bands, shift, by, live)
-                    yield pa.RecordBatch.from_arrays([longs(key), longs(a[row])], ["k", "a"])
+                late = common[at] == values if len(common) else np.zeros(len(values), bool)
+                part = (mix64(values ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+                place = np.searchsorted(ends, part, side="right") + len(ends) * late
+                held = np.bincount(row * 2 * len(ends) + place, minlength=len(a) * 2 * len(ends)).reshape(len(a), -1).cumsum(axis=1)
+                want = bands.prefix(sizes)
+                last = (held >= want[:, None]).argmax(axis=1)
+                surplus = held[np.arange(len(a)), last] - want
+                sent = place <= last[row]
+                row, place, at, late = row[sent], place[sent], at[sent], late[sent]
+                salt = np.zeros(len(row), np.int64)
+                if late.any():
+                    salt[late] = 1 + (a[row[late]] % salts[at[late]]).astype(np.int64)
+                beyond = np.where(place == last[row], surplus[row], -1)
+                yield pa.RecordBatch.from_arrays([longs(values[sent]), pa.array(salt, pa.int32()), longs(a[row]), pa.array(beyond, pa.int32())], ["k", "s", "a", "surplus"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (k, a): an edge from each class to the least class that shares a key with it."""
-    last_k = last_a = None
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input sorted by (k, s, a): the distinct rows of each shingle that several classes sent, with their number d; common
+    shingles (s > 0) pass in any case, and count as most frequent.  A shingle's rows may span batches."""
+    rest: tuple[np.ndarray, ...] | None = None
+
+    def told(k: np.ndarray, s: np.ndarray, a: np.ndarray, surplus: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1]) | (a[1:] != a[:-1])
+        k, s, a, surplus = k[new], s[new], a[new], surplus[new]
+        head = np.ones(len(k), bool)
+        head[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+        of = np.cumsum(head) - 1
+        d = np.where(s > 0, 1 << 60, np.bincount(of)[of] if len(of) else 0)
+        on = d > 1
+        return pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(s[on]), pa.array(a[on]), pa.array(surplus[on]), longs(d[on])], ["k", "s", "a", "surplus", "d"])
+
     for batch in batches:
-        k, a = (batch.column(i).to_numpy() for i in (0, 1))
-        if not len(k):
+        if not batch.num_rows:
             continue
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        new[0] = last_k is None or k[0] != last_k
-        head = np.where(new, np.arange(len(k)), -1)
-        np.maximum.accumulate(head, out=head)
-        least = np.where(head >= 0, a[head], last_a if last_a is not None else 0)
-        last_k, last_a = k[-1], least[-1]
-        edge = least != a
-        if edge.any():
-            pairs = np.unique(np.stack([least[edge], a[edge]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+        columns = tuple(batch.column(i).to_numpy() for i in range(4))
+        if rest is not None:
+            columns = tuple(np.concatenate(x) for x in zip(rest, columns))
+        k, s = columns[:2]
+        cut = int(np.flatnonzero((k != k[-1]) | (s != s[-1]))[-1]) + 1 if (k[0] != k[-1] or s[0] != s[-1]) else 0
+        rest = tuple(c[cut:].copy() for c in columns)
+        if cut:
+            yield told(*(c[:cut] for c in columns))
+    if rest is not None:
+        yield told(*rest)
+
+
+def _prefix_edges(sent: DataFrame) -> DataFrame:
+    """(u, v): each class and the least class that meets it in a shingle of both prefixes, from what the classes sent."""
+    met = sent.repartition("k", "s").sortWithinPartitions("k", "s", "a").mapInArrow(_met, "k long, s int, a long, surplus int, d long")
+    # the most frequent shingles of the last range stand beyond the prefix; two classes of one 64-bit sum keep what either needs
+    last = Window.partitionBy("a", F.col("surplus") >= 0)
+    place = F.row_number().over(last.orderBy(F.desc("d"), F.desc("k")))
+    kept = met.withColumns({"place": place, "least": F.min("surplus").over(last)}).where("surplus < 0 or place > least")
+    kept = stash(kept.select("k", "s", "a"))
+    first = kept.groupBy("k", "s").agg(F.min("a").alias("u"))
+    stars = kept.join(first, ["k", "s"]).select("u", F.col("a").alias("v"))
+    salted = first.where("s > 0")
+    over = salted.join(salted.groupBy("k").agg(F.min("u").alias("top")), "k").select(F.col("top").alias("u"), F.col("u").alias("v"))
+    return stars.unionByName(over).where("u <> v")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(v, c): the least node that each node of the edges (u, v) reaches.  Each round hooks nodes to
     the least neighbour's label and halves the paths, so rounds grow with the logarithm of the
-    diameter; each is a written table, so nothing is recomputed after a loss."""
+    diameter, and go on until no label changes; each is a written table, so nothing is recomputed after a loss.  Joins on a
+    node of very many edges are cut by adaptive execution."""
     edges = stash(edges.where("u <> v").select("u", "v").distinct())
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     label = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("c")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, "v").groupBy("u").agg(F.min("c").alias("m"))
         hooked = label.join(near.withColumnRenamed("u", "v"), "v").select("v", "c", F.least("c", "m").alias("m"))
         # the old root learns the new label too, then every node follows its label's label
@@ -239,7 +219,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         label = after.select("v", "c")
         if not after.where("was <> c").limit(1).count():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _sets(n: int):
@@ -320,43 +299,75 @@ def _tiles(num: int, den: int):
     return run
 
 
+def _compared(work: DataFrame, docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """(u, v): verified links of the tile pairs in work (g, i, j, tile, rep)."""
+    wanted = work.select("rep").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    sets = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text").mapInArrow(_sets(n), "rep long, n long, s array<long>")
+    return work.join(sets, "rep").select("g", "i", "j", "tile", "rep", "s").groupBy("g", "i", "j").applyInArrow(_tiles(bands.num, bands.den), "u long, v long")
+
+
+def _led(large: DataFrame, tile: int) -> DataFrame:
+    """Work for large groups: all classes, cut into tiles, against two leaders of their own band and of its neighbours."""
+    drawn = F.struct(F.xxhash64("rep").alias("x"), F.col("rep").alias("rep"))
+    ends = large.groupBy("g", "band").agg(F.min(drawn).alias("a"), F.max(drawn).alias("z"))
+    leaders = ends.select("g", "band", F.explode(F.array_distinct(F.array("a.rep", "z.rep"))).alias("rep"))
+    cut = large.groupBy("g", "band").agg(F.ceil(F.count("*") / tile).alias("cuts"))
+    at = lambda band, part: band * F.lit(1 << 40) + part + 1  # noqa: E731  tile 0 holds the leaders
+    members = large.join(cut, ["g", "band"]).select("g", "rep", at(F.col("band"), F.pmod(F.xxhash64("rep", F.lit(1)), "cuts")).alias("i"))
+    members = members.select("g", "rep", "i", F.lit(0).cast("long").alias("j"), F.col("i").alias("tile"))
+    near = leaders.select("g", "rep", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    near = near.join(cut, ["g", "band"]).select("g", "rep", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("part"))
+    near = near.select("g", "rep", at(F.col("band"), F.col("part")).alias("i"))
+    return members.unionByName(near.select("g", "rep", "i", F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("tile")))
+
+
+def _tiled(large: DataFrame, weight) -> DataFrame:
+    """Work for large groups: all pairs of tiles of one band or of neighbouring ones, but for pairs within ``closed``."""
+    cut = large.groupBy("g", "band", "closed").agg(F.ceil(weight).alias("cuts"))
+    tile_id = lambda band, closed, at: band * F.lit(1 << 40) + closed.cast("long") * F.lit(1 << 39) + at
+    placed = large.join(cut, ["g", "band", "closed"]).select("g", "rep", tile_id(F.col("band"), F.col("closed"), F.pmod(F.xxhash64("rep"), "cuts")).alias("tile"))
+    edge = cut.select("g", "band", "closed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("at"))
+    edge = edge.select("g", "band", "closed", tile_id(F.col("band"), F.col("closed"), F.col("at")).alias("tile"))
+    x, y = edge.withColumnsRenamed({"tile": "i", "closed": "closed_i"}), edge.withColumnsRenamed({"band": "over", "tile": "j"})
+    y = y.withColumn("band", F.explode(F.array("over", F.col("over") - 1)))
+    pairs = x.join(y, ["g", "band"]).where("(over > band or i <= j) and not (closed and closed_i)").select("g", "i", "j")
+    tiled = pairs.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    return placed.join(tiled, ["g", "tile"]).select("g", "rep", "i", "j", "tile")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): two documents link when
     den * |intersection| >= num * |union| of their n-word shingle sets; a component is the
     least doc_id reachable by links."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bands = Bands(num, den)
-    every = stash(docs.mapInArrow(_signatures(n, bands), "doc_id long, n long, band long, a long, b long, heavy array<struct<s:long,m:long>>"))
-    common = every.select(F.inline("heavy")).groupBy("s").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "s").limit(COMMON)
-    common = np.sort(np.array([r.s for r in common.select("s").collect()], np.int64).view(np.uint64))
+    every = stash(docs.mapInArrow(_signatures(n, bands), "doc_id long, n long, band long, a long, b long, heavy array<struct<k:long,m:long>>"))
+    common = every.select(F.inline("heavy")).groupBy("k").agg(F.sum("m").alias("m")).orderBy(F.desc("m"), "k").limit(COMMON).collect()
+    common = sorted((r.k % (1 << 64), 1 + r.m // SALTED) for r in common)
+    names, salts = (np.array(x, np.uint64) for x in (zip(*common) if common else ((), ())))
     every = every.drop("heavy")
     classes = every.where("n > 0 and doc_id is not null").groupBy("a", "b", "n", "band").agg(F.min("doc_id").alias("rep"))
 
-    keys = docs.where("doc_id is not null").mapInArrow(_keys(n, bands, common), "k long, a long")
-    stars = keys.repartition("k").sortWithinPartitions("k", "a").mapInArrow(_stars, "u long, v long")
-    near = components(stars).withColumnsRenamed({"v": "a", "c": "g"})
+    sent = docs.where("doc_id is not null").mapInArrow(_keys(n, bands, names, salts), "k long, s int, a long, surplus int")
+    near = components(_prefix_edges(sent)).withColumnsRenamed({"v": "a", "c": "g"})
 
-    # candidate groups of a tile's size go to one task; larger ones are cut by size band, and bands into tiles
+    # candidate groups of a tile's size go to one task; larger ones are led, then cut by size band, and bands into tiles
     member = stash(classes.join(near, "a").select("g", "rep", "n", "band"))
     weight = (F.count("*") / tile + F.sum("n") / (tile * TILE_WORDS)).alias("weight")
-    sized = member.join(member.groupBy("g").agg(weight), "g")
-    small = sized.where("weight <= 1").select("g", "rep", *(F.lit(0).cast("long").alias(c) for c in ("tile", "i", "j")))
-    large = sized.where("weight > 1").drop("weight")
-    cut = large.groupBy("g", "band").agg(F.ceil(weight).alias("cuts"))
-    tile_id = lambda band, at: band * F.lit(1 << 40) + at
-    large = large.join(cut, ["g", "band"]).select("g", "rep", tile_id(F.col("band"), F.pmod(F.xxhash64("rep"), "cuts")).alias("tile"))
-    edge = cut.select("g", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("at"))
-    x, y = edge.alias("x"), edge.select("g", F.col("band").alias("over"), F.col("at").alias("to")).alias("y")
-    y = y.withColumn("band", F.explode(F.array("over", F.col("over") - 1)))
-    pairs = x.join(y, ["g", "band"]).where("over > band or at <= to")
-    pairs = pairs.select("g", tile_id(F.col("band"), F.col("at")).alias("i"), tile_id(F.col("over"), F.col("to")).alias("j"))
-    tiled = pairs.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    work = stash(small.unionByName(large.join(tiled, ["g", "tile"]).select("g", "rep", "tile", "i", "j")))
-
-    wanted = work.select("rep").distinct()
-    sets = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text").mapInArrow(_sets(n), "rep long, n long, s array<long>")
-    links = work.join(sets, "rep").select("g", "i", "j", "tile", "rep", "s").groupBy("g", "i", "j").applyInArrow(_tiles(num, den), "u long, v long")
-    joined = components(links).withColumnsRenamed({"v": "rep", "c": "component"})
+    sized = stash(member.join(member.groupBy("g").agg(weight), "g"))
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    work = sized.where("weight <= 1").select("g", "rep", zero("i"), zero("j"), zero("tile"))
+    large, links = sized.where("weight > 1").select("g", "rep", "n", "band"), None
+    if large.limit(1).count():
+        links = stash(_compared(stash(_led(large, tile)), docs, n, bands))
+        joined = components(links).withColumnsRenamed({"v": "rep"})
+        parted = large.join(joined, "rep", "left")
+        most = parted.where("c is not null").groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", "m").alias("most"))
+        parted = parted.join(most, "g", "left").select("g", "rep", "n", "band", F.coalesce(F.col("c") == F.col("most"), F.lit(False)).alias("closed"))
+        work = work.unionByName(_tiled(stash(parted), weight))
+    found = _compared(stash(work), docs, n, bands)
+    joined = components(found if links is None else found.unionByName(links)).withColumnsRenamed({"v": "rep", "c": "component"})
 
     final = classes.join(joined, "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component_id"))
     copies = every.join(final, ["a", "b", "n"], "left")
