@@ -390,3 +390,95 @@ def test_empty_tables(spark):
     assert sentencepiece_codec.encode_texts(none, ["doc_id"]).count() == 0
     assert license_scan.scan_licenses(none, ["doc_id"]).count() == 0
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").count() == 0
+
+
+def brute_components(rows, n, num):
+    sets, root = {}, {}
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets[i] = {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+        root[i] = i
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(i for i in sets if i is not None)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i) if i is not None else None) for i in sets}
+
+
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_jaccard_hot_groups(spark, tile):
+    """A class copied over all partitions, a passage in most sets, a template that fills over 70 % of each of many sets, and
+    chains of near copies whose ends don't link."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    say = lambda k: rng.choices(vocabulary, k=k)
+    template, passage, copied = say(80), say(20), " ".join(say(70))
+    rows = [(i, copied) for i in range(60)] + [(100 + i, " ".join(passage + say(60))) for i in range(60)]
+    rows += [(200 + i, " ".join(template + say(rng.randrange(4, 30)))) for i in range(60)]
+    for c in range(3):
+        words = say(100)
+        for i in range(12):
+            words = words[: 8 * i] + say(8) + words[8 * i + 8 :]
+            rows.append((300 + 20 * c + i, " ".join(words)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows).repartition(7), 5, 80, 100, tile).collect()}
+    want = brute_components(rows, 5, 80)
+    assert got == want and len({c for _, c in want.values()}) < 150
+
+
+def thue_morse(k, a, b):
+    out = [0]
+    while len(out) < k:
+        out += [1 - x for x in out]
+    return [(a, b)[x] for x in out[:k]]
+
+
+def test_hash_traps(spark):
+    """Words that differ by a NUL and a letter, and sequences on which polynomial hashes modulo 2**64 agree."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    rng = random.Random(2)
+    tail = [f"t{i}" for i in range(60)]
+    nul = [rng.choice(["cat", "bat\0", "bat", "cat\0"]) for _ in range(61)]
+    twin = [{"cat": "bat\0", "bat\0": "cat", "bat": "cat\0", "cat\0": "bat"}[w] for w in nul]
+    words = ["".join(x), "".join(y)]
+    rows = [(1, " ".join(nul)), (2, " ".join(twin)), (3, " ".join(x[:1024])), (4, " ".join(y[:1024])), (5, " ".join([words[0], *tail])), (6, " ".join([words[1], *tail]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(frame(spark, rows), 50).collect()}
+    assert got == {i: want[:2] for i, want in brute_removals(rows, 50).items()}
+    for n in (1, 4):
+        linked = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows), n, 85, 100).collect()}
+        assert linked == brute_components(rows, n, 85)
+
+
+def brute_removals(rows, window):
+    """n_words, n_removed and digest of each row with a doc_id of its own."""
+    seen, out = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for p in range(len(w) - window + 1):
+            if i is not None:
+                k = tuple(w[p : p + window])
+                seen[k] = min(seen.get(k, i), i)
+    for i, t in rows:
+        w, gone = (t or "").encode().split(), set()
+        for p in range(len(w) - window + 1):
+            if i is not None and seen[tuple(w[p : p + window])] < i:
+                gone |= set(range(p, p + window))
+        out[i] = (len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("window,base", [(50, 7), (20, 3), (9, 2), (400, 25)])
+def test_substring_levels(spark, texts, window, base):
+    """More levels than one, windows that aren't powers of two, and a window that nothing repeats."""
+    assert substring_dedup.levels(window, base)[-1] == window and all(b <= 2 * a for a, b in zip(substring_dedup.levels(window, base), substring_dedup.levels(window, base)[1:]))
+    rows = [(i, t) for i, t in texts if i is not None and i != 70]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(frame(spark, rows), window, base=base).collect()}
+    assert got == brute_removals(rows, window)

@@ -113,41 +113,6 @@ def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(at ^ np.uint64((n * int(_SIZE)) % (1 << 64)))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def __reduce__(self):  # tables are rebuilt where they are needed, not shipped
-        return _Powers, (self.base,)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            one = np.ones(1, np.uint64)
-            self.up = np.concatenate([one, np.cumprod(np.full(size, self.base, np.uint64))])
-            self.down = np.concatenate([one, np.cumprod(np.full(size, self.inverse, np.uint64))])
-        return self.up, self.down
-
-
-_BYTE = _Powers(0x9E3779B97F4A7C15)
-_WORD = _Powers(0xC2B2AE3D27D4EB4F)
-
-
-def _powers(kind: str) -> _Powers:
-    return _BYTE if kind == "byte" else _WORD
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
-    """Mixed polynomial hash of values[start:end] for every span, from one prefix sum."""
-    up, down = _powers(kind).upto(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n+1 offsets of its rows; null is an empty text."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -1,16 +1,17 @@
 """Substring dedup by level-wise doubling.
 
 A window of ``window`` words is removed from a document when the same word sequence
-also starts in a document with a smaller doc_id.  Level one looks at runs of half that
-length, and at one of them for each full window only (the one with the least hash, which
-two equal windows pick alike); only windows whose half-length run repeats in another
-document are extended to twice the length and compared there.  ``levels=2`` is a window of
-two halves; longer repeats are unions of windows, so no further level can remove more.
-
-Both levels aggregate before they shuffle, and each document learns only which hashes it
-*owns* (is the first to hold), so a passage shared by a third of all rows costs one row a
-task and never gathers its holders in one place.  Windows are compared by 64-bit hashes: with
-n windows compared, a given window meets a false partner with probability n / 2**64.
+also starts in a document with a smaller doc_id.  The levels are run lengths, each at most twice the one before, from
+``base`` words up to the window (25 and 50 by default).  A level below the last looks at one run for each full window
+only (the one with the least hash, which two equal windows pick alike); only windows whose run repeats in another
+document are extended to the next length, until the window is reached or none survives.  Longer repeats are unions of
+windows, so no length beyond the window can remove more.
+
+All levels aggregate before they shuffle, and each document learns only which hashes it
+is alone with, or *owns* (is the first to hold), so a passage shared by a third of all rows costs one row a
+task and never gathers its holders in one place.  Runs below the window are told apart by 64 bits, where a false match only
+lets a window through to the next level; whole windows by 128, so with n windows compared, a given one
+meets a false partner with probability n / 2**128.
 
 Defined results: null or empty text: no words, nothing removed.  Null doc_id: neither source
 nor target of a removal.  Rows with equal doc_id don't remove each other.  Extra columns are ignored.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, longs, small_batches, span_hash, steps, tidy
+from .common import Words, longs, run_hash, small_batches, stash, steps, tidy
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -40,14 +41,20 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def _anchored(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the full windows, their rows, and for each the least hash of its half-length runs."""
-    half = window // 2
+def levels(window: int, base: int) -> list[int]:
+    """Run lengths, the last one the window: each at most twice the one before, the first at least ``base`` where the window allows it."""
+    out = [window]
+    while out[0] > max(base, 1) and (out[0] + 1) // 2 >= base:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def _anchored(words: Words, hashes: np.ndarray, window: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the full windows, their rows, and for each the least hash of its runs of ``length`` words."""
     at, row = words.windows(window)
     if not len(at):
         return at, row, np.zeros(0, np.uint64)
-    runs = np.arange(len(hashes) - half + 1)
-    return at, row, _least(span_hash(hashes, runs, runs + half, "word"), window - half + 1)[at]
+    return at, row, _least(run_hash(hashes, length), window - length + 1)[at]
 
 
 def _changes(row: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -73,25 +80,35 @@ def _within(values: np.ndarray, row: np.ndarray, column: pa.Array) -> np.ndarray
     return np.isin(_salted(values, row), _salted(listed, of)) if len(values) else np.zeros(0, bool)
 
 
-def _candidates(words: Words, step: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level two: hashes of the full windows whose half-length run isn't this document's alone."""
+def _surviving(words: Words, step: pa.RecordBatch, window: int, below: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and rows of the full windows whose run of every length ``below`` isn't this document's alone."""
     hashes = words.hashes()
-    at, row, anchor = _anchored(words, hashes, window)
-    new = _changes(row, anchor)
-    single = _within(anchor[new], row[new], step.column("alone"))
-    keep = ~single[np.cumsum(new) - 1] if len(at) else np.zeros(0, bool)
-    known = ~np.asarray(step.column("doc_id").is_null())
-    keep &= known[row]
-    at, row = at[keep], row[keep]
-    return at, row, span_hash(hashes, at, at + window, "word")
+    at, row = words.windows(window)
+    keep = ~np.asarray(step.column("doc_id").is_null())[row]
+    for length in below:
+        anchor = _anchored(words, hashes, window, length)[2]
+        new = _changes(row, anchor)
+        single = _within(anchor[new], row[new], step.column(f"alone_{length}"))
+        keep &= ~single[np.cumsum(new) - 1] if len(at) else keep
+    return at[keep], row[keep]
+
 
+def _whole(words: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the windows that start at ``at``."""
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return run_hash(words.hashes(), window)[at], run_hash(words.hashes(1), window)[at]
+
+
+def _anchors(window: int, length: int, below: list[int]):
+    """(doc_id, h): anchors at ``length`` of the windows that survive the levels below."""
 
-def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
             for step in steps(batch):
                 words = Words(step.column("text"))
-                _, row, anchor = _anchored(words, words.hashes(), window)
+                at, row = _surviving(words, step, window, below)
+                anchor = _least(run_hash(words.hashes(), length), window - length + 1)[at] if len(at) else np.zeros(0, np.uint64)
                 new = _changes(row, anchor)
                 ids = step.column("doc_id").take(pa.array(row[new]))
                 yield pa.RecordBatch.from_arrays([ids, longs(anchor[new])], ["doc_id", "h"])
@@ -99,25 +116,27 @@ def _anchors(window: int):
     return run
 
 
-def _windows(window: int):
+def _windows(window: int, below: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
             for step in steps(batch):
                 words = Words(step.column("text"))
-                _, row, full = _candidates(words, step, window)
+                at, row = _surviving(words, step, window, below)
+                h, i = _whole(words, at, window)
                 ids = step.column("doc_id").take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, longs(full)], ["doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([ids, longs(h), longs(i)], ["doc_id", "h", "i"])
 
     return run
 
 
-def _removal(window: int, with_text: bool):
+def _removal(window: int, below: list[int], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
             for step in steps(batch):
                 words = Words(step.column("text"))
-                at, row, full = _candidates(words, step, window)
-                hit = at[~_within(full, row, step.column("owned"))]
+                at, row = _surviving(words, step, window, below)
+                h, i = _whole(words, at, window)
+                hit = at[~(_within(h, row, step.column("owned_h")) & _within(i, row, step.column("owned_i")))]
                 edge = np.zeros(len(words.starts) + 1, np.int64)
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + window, -1)
@@ -141,20 +160,26 @@ def _removal(window: int, with_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = 50, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 50, with_text: bool = True, base: int = 25) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): word counts, the digest of the kept words and,
     with ``with_text``, the kept words themselves joined by single spaces."""
-    if window < 2:
-        raise ValueError("window must be at least 2 words")
+    if window < 2 or base < 1:
+        raise ValueError("window must be at least 2 words, base at least 1")
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = "doc_id long, h long"
-
-    firsts = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window), pairs).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    alone = firsts.where("a = z").groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("h").alias("alone"))
-
-    level1 = docs.join(alone, "doc_id", "left")
-    owners = level1.mapInArrow(_windows(window), pairs).groupBy("h").agg(F.min("doc_id").alias("a"))
-    owned = owners.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("h").alias("owned"))
+    lengths = levels(window, base)
+    below: list[int] = []
+    for length in lengths[:-1]:
+        named = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors(window, length, list(below)), "doc_id long, h long")
+        firsts = named.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
+        if len(lengths) > 2:
+            firsts = stash(firsts)
+        alone = firsts.where("a = z").groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("h").alias(f"alone_{length}"))
+        docs = docs.join(alone, "doc_id", "left")
+        below.append(length)
+        if len(lengths) > 2 and not firsts.where("a < z").limit(1).count():
+            break  # no window survives: the last level finds none either
+    owners = docs.mapInArrow(_windows(window, below), "doc_id long, h long, i long").groupBy("h", "i").agg(F.min("doc_id").alias("a"))
+    owned = owners.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("h").alias("owned_h"), F.collect_list("i").alias("owned_i"))
 
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return level1.join(owned, "doc_id", "left").mapInArrow(_removal(window, with_text), out)
+    return docs.join(owned, "doc_id", "left").mapInArrow(_removal(window, below, with_text), out)

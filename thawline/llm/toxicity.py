@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, longs, map_rows, mix64, span_hash, steps, texts_of, tidy
+from .common import Words, byte_hash, longs, map_rows, mix64, run_hash, steps, texts_of, tidy
 
 # Insulting words and word pairs that vote for toxic.
 WORDS = """idiot idiots idiotic moron morons moronic stupid scum pathetic loser losers disgusting trash garbage clown clowns
@@ -78,14 +78,14 @@ def beginnings(words: Words, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.
     length = np.repeat(np.array(LENGTHS), [len(a) for a in at])
     at = np.concatenate(at)
     starts = words.starts[at]
-    return span_hash(words.raw.astype(np.uint64), starts, starts + length - less, "byte"), row[at], length
+    return byte_hash(words.raw, starts, starts + length - less), row[at], length
 
 
 def _hash_of(texts: list[str]) -> np.ndarray:
+    """Hashes of single words, or of pairs of words."""
     words = Words(pa.array(texts, pa.large_string()))
-    at = words.first[:-1]
-    hashes = words.hashes()
-    return np.array([span_hash(hashes, at[i : i + 1], words.first[i + 1 : i + 2], "word")[0] if words.counts[i] > 1 else hashes[at[i]] for i in range(len(texts))], np.uint64)
+    hashes, at = words.hashes(), words.first[:-1]
+    return np.where(words.counts > 1, np.append(run_hash(hashes, 2), np.uint64(0))[at], hashes[at])
 
 
 class Features:
@@ -109,7 +109,7 @@ class Features:
         votes = np.zeros((len(words.counts), self.n_votes), np.uint8)
         self._mark(votes, hashes, row, self.single, 0)
         at, of = words.windows(2)
-        self._mark(votes, span_hash(hashes, at, at + 2, "word"), of, self.double, len(WORDS))
+        self._mark(votes, run_hash(hashes, 2)[at], of, self.double, len(WORDS))
         ends = words.offsets
         total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[ends])
         low = (words.raw >= 97) & (words.raw <= 122)
