@@ -2,16 +2,21 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from thawline.functions import text as fx
+from thawline.operators import content as ct
 from thawline.operators import equity as eq
 from thawline.operators import metrics as mt
+from thawline.operators import models as md
 from thawline.operators import retrieval as rt
 from thawline.operators import split as sp
 from thawline.operators import synthetic as sy
 from thawline.operators import tuning as tn
+from thawline.operators.ranking import running
+from thawline.sources import readers
 from thawline.sources.schemas import SplitParams
 
 
@@ -26,8 +31,8 @@ def test_creators(spark, raw, want):
 
 
 def test_prices(spark):
-    df = spark.createDataFrame([("12.5",), ("from 4.95",), ("—",), (None,)], "p string")
-    assert [None if r.p is None else round(r.p, 2) for r in df.select(fx.price("p").alias("p")).collect()] == [12.5, 4.95, None, None]
+    df = spark.createDataFrame([("12.5",), ("from 4.95",), ("—",), (None,), ("1e3",), ("from 2E-1",), ("12f",)], "p string")
+    assert [None if r.p is None else round(r.p, 2) for r in df.select(fx.price("p").alias("p")).collect()] == [12.5, 4.95, None, None, 1000.0, 0.2, None]
 
 
 def test_blocked_creator(spark):
@@ -46,8 +51,16 @@ def test_sections(spark):
 
 def test_answers(spark):
     assert one(spark, fx.answer("s"), s="So Answer: No, then Answer: yes") == "yes"
+    assert one(spark, fx.answer("s"), s="no answer: nothing") == "no" and one(spark, fx.answer("s"), s="Answer: **yes**") == ""
     odds = lambda **kv: one(spark, fx.answer_log_odds(F.create_map(*(F.lit(x) for p in kv.items() for x in p))))
     assert abs(odds(yes=-0.1, no=-2.4) - 2.3) < 1e-9 and abs(odds(yes=-0.1, maybe=-5.0) - 4.9) < 1e-9
+    assert abs(odds(**{" YES": -0.1, "no": -2.4}) - 2.3) < 1e-9 and abs(odds(**{"Yes": -0.1, " NO": -2.4}) - 2.3) < 1e-9 and odds(maybe=-1.0) is None
+
+
+def test_prompts(spark):
+    text = one(spark, fx.prompt(F.array(*(F.lit(f"t{i}") for i in range(12))), F.lit("new"), reasoning=True))
+    assert "- t9\n" in text and "t10" not in text and "Answer: yes" in text
+    assert "(no prior history)" in one(spark, fx.prompt(F.lit(None).cast("array<string>"), F.lit("new")))
 
 
 def test_discounts(spark):
@@ -134,3 +147,212 @@ def test_queue(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing left
         score_queue(spark, f"{tmp_path}/pairs", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20
+
+
+def factors(spark, rows, name):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], f"{name} long, v array<double>")
+
+
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_blocked_top(spark, rows):
+    """Against all scores, with ties and seen items, in blocks of any size."""
+    rng = np.random.default_rng(0)
+    u, i = rng.integers(-2, 3, (9, 3)), rng.integers(-2, 3, (14, 3))
+    seen = [(a, b) for a in range(9) for b in range(14) if (a * 7 + b) % 4 == 0] + [(0, b) for b in range(13)]
+    got = {}
+    top = md.blocked_top(factors(spark, enumerate(u), "user_id"), factors(spark, enumerate(i), "item_id"), spark.createDataFrame(seen, "user_id long, item_id long"), 4, rows)
+    for r in top.orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append((r.item_id, r.score))
+    score = u @ i.T
+    for a in range(9):
+        want = sorted(((b, float(score[a, b])) for b in range(14) if (a, b) not in seen), key=lambda x: (-x[1], x[0]))[:4]
+        assert got.get(a, []) == want
+
+
+@pytest.fixture(scope="module")
+def small_split(spark):
+    rng = np.random.default_rng(3)
+    data = [(u, int(i), int(d), 5) for u in range(60) for d, i in enumerate(rng.choice(40, 24, replace=False))]
+    s = sp.make_split(rows(spark, data), SplitParams(min_interactions=25, min_warm=2))
+    return s, md.ALS(rank=4, rounds=6, reg=0.05).fit(s)
+
+
+def test_fold_in_is_the_training_rule(spark, small_split):
+    """Training solves the users last, on the final item factors: solving them again by the fold-in's rule, users and items swapped, gives the very
+    factors that training gave."""
+    s, model = small_split
+    mirrored = md.ALS(rank=4, reg=0.05, users=model.items.withColumnRenamed("item_id", "user_id"))
+    again = {r.item_id: np.array(r.v) for r in mirrored.solve(rt.swapped(s.train)).collect()}
+    trained = {r.user_id: np.array(r.v) for r in model.users.collect()}
+    assert again.keys() == trained.keys() and all(np.abs(again[u] - trained[u]).max() < 1e-5 for u in trained)
+
+
+def test_hybrid(spark, small_split):
+    """Weight 0 ranks as ALS alone; the additive score is both halves over their scales; a fold-in leaves profiles as they are."""
+    s, als = small_split
+    space = factors(spark, [(i, np.eye(8)[i % 8]) for i in range(40)], "item_id")
+    users = s.reserved.select("user_id").distinct()
+    shared = md.Content.of(s.train, space, users)
+    base = md.Hybrid(als, shared).fit(s)
+    seen = s.train.unionByName(s.revealed_at(5))
+    order = lambda m: [tuple(r)[:3] for r in m.top(users, s.pool_items, seen, 5).select("user_id", "rank", "item_id").orderBy("user_id", "rank").collect()]
+    folded = base.fold_in(s, 5)
+    assert order(folded.with_weight(0.0)) == order(folded.cf) and folded.content is base.content and base.fold_in(s, 5).cf is folded.cf
+    cf = {(r.user_id, r.item_id): r.score for r in folded.cf.scores(users, s.pool_items).collect()}
+    cb = {}
+    for r in s.train.join(users, "user_id", "left_semi").collect():
+        cb.setdefault(r.user_id, []).append(np.eye(8)[r.item_id % 8])
+    both = folded.with_weight(2.0).scores(users, s.pool_items).collect()
+    assert both and all(abs(r.score - (cf.get((r.user_id, r.item_id), 0.0) / base.cf_scale + 2.0 * np.mean(cb[r.user_id], axis=0)[r.item_id % 8] / shared.scale)) < 1e-9 for r in both)
+    loose = md.Hybrid(als, shared, frozen=False).fit(s).fold_in(s, 5)
+    assert loose.content is not shared
+    models = md.seed_ensemble(s, shared, [0, 1], rank=4, rounds=2)
+    assert models[0].content is models[1].content and models[0].cf_scale != models[1].cf_scale
+
+
+def test_augmented_folds_are_apart(spark, small_split):
+    s, als = small_split
+    made = s.cold_ids.select(F.lit(1).cast("long").alias("user_id"), "item_id")
+    assert als.fold_in(s, 0) is als.fold_in(s, 0) and als.fold_in(s.augmented(made), 0) is not als.fold_in(s, 0)
+    assert s.augmented(made).revealed_at(0).count() == 0
+
+
+def test_model_contract():
+    md.check_model(md.ALS())
+    md.check_model(md.Popularity())
+    with pytest.raises(TypeError):
+        md.check_model(object())
+    with pytest.raises(NotImplementedError):
+        md.Activity().recommend()
+
+
+def test_rank_auc(spark):
+    """The block kernel against a count of pairs, with ties, seen rows and a positive outside the pool."""
+    rng = np.random.default_rng(5)
+    u, i = rng.integers(-1, 2, (6, 2)), rng.integers(-1, 2, (12, 2))
+    positive, seen = {(a, (a * 5 + k) % 13) for a in range(6) for k in range(3)}, {(a, (a * 3) % 12) for a in range(5)}
+    frame = lambda pairs: spark.createDataFrame(sorted(pairs), "id long, other long")
+    side = lambda x: ct.as_space(factors(spark, enumerate(x), "item_id"))
+    got = {r.id: r.auc for r in rt.rank_auc(side(u), side(i), frame(positive), frame(seen)).collect()}
+    for a in range(6):
+        left = [b for b in range(12) if (a, b) not in seen]
+        p, n = ([float(u[a] @ i[b]) for b in left if ((a, b) in positive) is yes] for yes in (True, False))
+        assert abs(got[a] - np.mean([(x > y) + (x == y) / 2 for x in p for y in n])) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["center", "all_but_top", "whiten"])
+def test_transforms(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 4)) @ np.diag([5.0, 2.0, 1.0, 0.5]) + 3
+    got = ct.apply_transform(factors(spark, enumerate(x), "item_id"), ct.fit_transform(factors(spark, enumerate(x[:30]), "item_id"), kind))
+    got = np.array([r.v for r in got.orderBy("item_id").collect()])
+    y = x - x[:30].mean(axis=0)
+    value, vector = np.linalg.eigh(np.cov(x[:30].T))
+    if kind == "all_but_top":
+        y = y - np.outer(y @ vector[:, -1], vector[:, -1])
+    if kind == "whiten":
+        y = y @ (vector / np.sqrt(value))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert np.abs(got @ got.T - y @ y.T).max() < 1e-9  # directions may turn, angles may not
+
+
+def test_space_coercion(spark):
+    assert ct.as_space(factors(spark, [(1, [1.0])], "item_id")).columns == ["id", "v", "k", "w"]
+    with pytest.raises(TypeError):
+        ct.as_space(spark.range(1).withColumnRenamed("id", "item_id"))
+    with pytest.raises(ValueError):
+        ct.build_space(None, None, None, ct.ENCODERS["hashing64"], "other")
+
+
+def test_settings(spark, tmp_path):
+    path = f"file://{tmp_path}/settings"
+    readers.save_config(spark, path, {"weight": 1.5, "note": "two\nlines"}, ["data", 3])
+    assert readers.load_config(spark, path, ["data", 3]) == {"weight": 1.5, "note": "two\nlines"}
+    with pytest.raises(ValueError):
+        readers.load_config(spark, path, ["data", 4])
+    readers.write_text(spark, path, "{}")
+    with pytest.raises(ValueError):
+        readers.load_config(spark, path, ["data", 3])
+
+
+def test_tables_are_built_once(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/t", []
+    assert readers.write_filtered(spark.range(3), spark.range(5), path) and not readers.write_filtered(spark.range(4), spark.range(5), path)
+    assert readers.footer_stats(spark, path).first()[:] == (3, 5, 0.6) and readers.read_stats(spark, f"file://{tmp_path}/none") == {}
+
+    def make():
+        calls.append(1)
+        return spark.range(2)
+
+    kept = readers.Checkpoint(spark, f"file://{tmp_path}/sweep", {"input": 1})
+    assert [kept.get("a", make).count() for _ in range(2)] == [2, 2] and len(calls) == 1
+    readers.Checkpoint(spark, f"file://{tmp_path}/sweep", {"input": 2}).get("a", make)
+    assert len(calls) == 2
+    spark.range(1).write.parquet(f"{tmp_path}/in/x.parquet")
+    mark = readers.input_fingerprint(spark, f"file://{tmp_path}/in", seed=1)
+    spark.range(9).write.mode("overwrite").parquet(f"{tmp_path}/in/x.parquet")
+    assert mark != readers.input_fingerprint(spark, f"file://{tmp_path}/in", seed=1) and run_keys_differ()
+
+
+def run_keys_differ():
+    return readers.run_key({"a": 1}) == readers.run_key({"a": 1}) != readers.run_key({"a": 2})
+
+
+def test_refusals(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, 2, 0.5)], "user_id long, item_id long, score double")
+    sy.export_arms({("a", -1): pairs}, f"file://{tmp_path}/arms", "split 1")
+    assert sy.read_arms(spark, f"file://{tmp_path}/arms", "split 1").count() == 1
+    with pytest.raises(ValueError):
+        sy.read_arms(spark, f"file://{tmp_path}/arms", "split 2")
+    with pytest.raises(ValueError):
+        sy.check_complete(pairs.where("false"), pairs)
+    with pytest.raises(ValueError):
+        readers.check_many_to_one(pairs.unionByName(pairs), ["user_id"])
+    with pytest.raises(ValueError):
+        eq.check_unattributed(spark.createDataFrame([("UNKNOWN",), ("a",)], "provider string"))
+    assert sy.check_complete(pairs, pairs) is pairs
+
+
+def test_progress_of_scoring(spark):
+    done = spark.sparkContext.accumulator(0)
+    pairs = spark.createDataFrame([(u, 1, "") for u in range(7)], "user_id long, item_id long, prompt string")
+    assert sy.score_pairs(pairs, done=done).count() == 7 and done.value == 7
+
+
+def test_queue_starts_again(spark, tmp_path):
+    """A scorer that fails for a while; what is done stays done, and a scorer that never works is given up."""
+    from pyspark.errors import StreamingQueryException
+
+    from thawline.streaming.queue import run_queue
+
+    spark.createDataFrame([(u, 1, "") for u in range(6)], "user_id long, item_id long, prompt string").repartition(3).write.parquet(f"{tmp_path}/pairs")
+    flag = f"{tmp_path}/failed"
+
+    def flaky(users, items, prompts):
+        import os
+
+        if users and not os.path.exists(flag):
+            open(flag, "w").close()
+            raise OSError("not yet")
+        return [0.0] * len(users)
+
+    def broken(users, items, prompts):
+        raise OSError("never")
+
+    assert run_queue(spark, f"{tmp_path}/pairs", f"{tmp_path}/out", f"{tmp_path}/check", flaky, files=1) == 2
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+    with pytest.raises(StreamingQueryException):
+        run_queue(spark, f"{tmp_path}/pairs", f"{tmp_path}/out2", f"{tmp_path}/check2", broken)
+
+
+def test_running(spark):
+    """Ranks and sums over a whole relation against one sorted list."""
+    rng = np.random.default_rng(2)
+    data = [(int(g), float(x), i, int(w)) for i, (g, x, w) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 20, 200), rng.integers(1, 5, 200)))]
+    got = running(spark.createDataFrame(data, "g int, x double, i int, w int"), ["x", "i"], ["g"], "w").collect()
+    for g in range(3):
+        before = 0
+        for _, x, i, w in sorted(r for r in data if r[0] == g):
+            assert next(r for r in got if r.i == i).before == before
+            before += w
+        assert {r.total for r in got if r.g == g} == {before}

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..sources.readers import keep_last
-from ..sources.schemas import DEFAULT_WEIGHTS, ENTITY_ROLES, ROLES
+from ..sources.readers import keep_last, write_once
+from ..sources.schemas import DEFAULT_WEIGHTS, ENTITY_ROLES, ROLES, TEXT_ROLES
+from . import blocks as bl
 from .ranking import top_per_key
 
 
@@ -22,9 +23,11 @@ def documents(items: DataFrame, meta: DataFrame, field_map: dict[str, list[str]]
     return joined.select("item_id", *(fx.first_filled(*(flat(r, c) for c in field_map.get(r, []) if c in types)).alias(r) for r in ROLES))
 
 
-def role_terms(docs: DataFrame, roles: tuple[str, ...] = ROLES) -> DataFrame:
-    """(item_id, role, term, tf): words of prose roles, whole entities of the others."""
-    parts = [F.struct(F.lit(r).alias("role"), (fx.entities(r) if r in ENTITY_ROLES else fx.tokens(r)).alias("terms")) for r in roles]
+def role_terms(docs: DataFrame, roles: tuple[str, ...] = ROLES, analyzers: dict | None = None) -> DataFrame:
+    """(item_id, role, term, tf): words of prose roles, whole entities of the others.  ``analyzers`` names a function from a text column
+    to an array of terms for a role that should be cut otherwise."""
+    cut = {r: fx.entities if r in ENTITY_ROLES else fx.tokens for r in roles} | (analyzers or {})
+    parts = [F.struct(F.lit(r).alias("role"), cut[r](F.col(r)).alias("terms")) for r in roles]
     long = docs.select("item_id", F.inline(F.array(*parts))).select("item_id", "role", F.explode("terms").alias("term"))
     return long.groupBy("item_id", "role", "term").agg(F.count("*").alias("tf"))
 
@@ -55,23 +58,39 @@ def profiles(history: DataFrame, rows: DataFrame) -> DataFrame:
     return share.join(rows, "item_id").groupBy("user_id", "role", "term").agg(F.sum(F.col("w") / F.col("n")).alias("w"))
 
 
-def content_scores(profile: DataFrame, rows: DataFrame) -> DataFrame:
-    """(user_id, item_id, score): profile times item rows; pairs without a common term are absent (score 0)."""
-    left, right = profile.withColumnRenamed("w", "a"), rows.withColumnRenamed("w", "b")
-    return left.join(right, ["role", "term"]).groupBy("user_id", "item_id").agg(F.sum(F.col("a") * F.col("b")).alias("score"))
+SUMS = "item_id long, n long, total double, squares double, spread double, best double"
 
 
-def filter_candidates(profile: DataFrame, cold_rows: DataFrame, n: int = 50) -> DataFrame:
-    """The n users whose profiles lie nearest to each cold item, by cosine (item rows have length one)."""
-    norm = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    near = content_scores(profile, cold_rows).join(norm, "user_id").withColumn("score", F.col("score") / F.nullif("norm", F.lit(0.0)))
-    return top_per_key(near.select("item_id", "user_id", "score"), ["item_id"], [F.desc("score"), "user_id"], n)
+def score_sums(users: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, n, total, squares, spread, best) of the non-zero content scores of each item over all users, from blocks; ``spread`` weighs
+    each score by its user's id modulo 97."""
+    import pyarrow as pa
+
+    def reduce(a, b, score):
+        on = np.abs(score) > 1e-15
+        weight = (b.ids % 97).astype(float)
+        best = np.where(on, score, -np.inf).max(axis=1) if score.shape[1] else np.full(len(a.ids), -np.inf)
+        values = [a.ids, on.sum(axis=1), score.sum(axis=1), (score * score).sum(axis=1), score @ weight, np.where(np.isfinite(best), best, np.nan)]
+        names = ["item_id", "n", "total", "squares", "spread", "best"]
+        return pa.table({c: pa.array(x, pa.int64() if c in ("item_id", "n") else pa.float64(), from_pandas=True) for c, x in zip(names, values)})
+
+    parts = bl.scored(items, users, reduce, SUMS).groupBy("item_id")
+    return parts.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("spread").alias("spread"), F.max("best").alias("best"))
+
+
+def filter_candidates(users: DataFrame, cold: DataFrame, n: int = 50) -> DataFrame:
+    """(item_id, rank, user_id, score): the n users whose profiles lie nearest to each cold item, by cosine (item rows have length
+    one).  ``users`` and ``cold`` are packed rows; each block keeps n users an item."""
+    found = bl.scored(cold, users, bl.best_right(n, cosine=True, digits=9), bl.PAIRS)
+    rows = found.where("score > 0").select(F.col("left_id").alias("item_id"), F.col("right_id").alias("user_id"), "score")
+    return top_per_key(rows, ["item_id"], [F.desc(F.round("score", 9)), "user_id"], n)
 
 
 def neighbours(rows: DataFrame, of: DataFrame, n: int = 10) -> DataFrame:
-    """The n items nearest to each of ``of`` by common weighted terms."""
-    left = rows.join(of.select("item_id"), "item_id", "left_semi").select(F.col("item_id").alias("source_id"), "role", "term", F.col("w").alias("a"))
-    near = left.join(rows, ["role", "term"]).where("source_id <> item_id").groupBy("source_id", "item_id").agg(F.sum(F.col("a") * F.col("w")).alias("score"))
+    """(source_id, rank, item_id, score): the n items nearest to each of ``of`` that share anything with it.  ``rows`` are packed."""
+    left = rows.join(of.select(F.col("item_id").alias("id")), "id", "left_semi")
+    found = bl.scored(left, rows, bl.best_right(n, others_only=True, digits=9), bl.PAIRS)
+    near = found.where("score > 0").select(F.col("left_id").alias("source_id"), F.col("right_id").alias("item_id"), "score")
     return top_per_key(near, ["source_id"], [F.desc(F.round("score", 9)), "item_id"], n)
 
 
@@ -86,6 +105,16 @@ def aligned_vectors(items: DataFrame, vectors: DataFrame, width: int) -> DataFra
     return got.select("item_id", F.coalesce("v", zero).alias("v"), F.col("v").isNull().alias("missing"))
 
 
+def section_vectors(items: DataFrame, vectors: DataFrame, groups: list[str], width: int) -> DataFrame:
+    """(item_id, <group>..., missing): the vector of each section group beside the item list, zeros where an item lacks a group;
+    ``missing`` counts those."""
+    wide = vectors.groupBy("item_id").pivot("section", groups).agg(F.first(F.col("v").cast("array<double>")))
+    got = items.select("item_id").join(wide, "item_id", "left")
+    lacking = sum((F.col(f"`{g}`").isNull().cast("int") for g in groups), F.lit(0))
+    zero = F.array_repeat(F.lit(0.0), width)
+    return got.select("item_id", *(F.coalesce(F.col(f"`{g}`"), zero).alias(g) for g in groups), lacking.alias("missing"))
+
+
 def joint_norm(dense: DataFrame, sparse: DataFrame, dense_weight: float = 1.0) -> DataFrame:
     """(item_id, inv): one factor that brings dense and sparse parts together to length one; 0 for empty rows."""
     d = dense.select("item_id", (dot(F.col("v"), F.col("v")) * dense_weight**2).alias("d"))
@@ -95,12 +124,82 @@ def joint_norm(dense: DataFrame, sparse: DataFrame, dense_weight: float = 1.0) -
     return both.select("item_id", "d", "s", F.coalesce(1 / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("inv"))
 
 
-def pool_windows(chunks: DataFrame) -> DataFrame:
-    """(item_id, v) from (item_id, v, weight): weighted sum of window vectors, at length one."""
-    flat = chunks.select("item_id", "weight", F.posexplode("v").alias("i", "x"))
-    part = flat.groupBy("item_id", "i").agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
-    whole = part.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return whole.select("item_id", F.transform("p", lambda p: F.coalesce(p["x"] / F.nullif("norm", F.lit(0.0)), F.lit(0.0))).alias("v"))
+def pool_windows(chunks: DataFrame, keys: list[str] = ["item_id"]) -> DataFrame:
+    """(keys..., v) from (keys..., v, weight): weighted sum of window vectors, at length one."""
+    flat = chunks.select(*keys, "weight", F.posexplode("v").alias("i", "x"))
+    part = flat.groupBy(*keys, "i").agg(F.sum(F.col("x") * F.col("weight")).alias("x"))
+    whole = part.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return whole.select(*keys, F.transform("p", lambda p: F.coalesce(p["x"] / F.nullif("norm", F.lit(0.0)), F.lit(0.0))).alias("v"))
+
+
+def as_space(space: DataFrame) -> DataFrame:
+    """Whatever represents items, as packed rows (id, v, k, w): long term rows, dense vectors, or packed rows as they are."""
+    have = set(space.columns)
+    if {"id", "v", "k", "w"} <= have:
+        return space.select("id", "v", "k", "w")
+    if {"item_id", "role", "term", "w"} <= have:
+        return bl.packed(space, "item_id")
+    if {"item_id", "v"} <= have:
+        return space.select(F.col("item_id").alias("id"), F.col("v").cast("array<double>").alias("v"), F.array().cast("array<long>").alias("k"), F.array().cast("array<double>").alias("w"))
+    raise TypeError(f"not a representation of items: {sorted(have)}")
+
+
+def joint_space(dense: DataFrame, sparse: DataFrame, width: int) -> DataFrame:
+    """(id, v, k, w): dense (item_id, v) beside long term rows, both as weighted by the caller, divided by one joint length."""
+    zero = F.array_repeat(F.lit(0.0), width)
+    none = lambda t: F.array().cast(f"array<{t}>")
+    terms = bl.packed(sparse, "item_id").select("id", "k", "w")
+    both = dense.select(F.col("item_id").alias("id"), F.col("v").cast("array<double>").alias("v")).join(terms, "id", "full")
+    both = both.select("id", F.coalesce("v", zero).alias("v"), F.coalesce("k", none("long")).alias("k"), F.coalesce("w", none("double")).alias("w"))
+    inv = F.coalesce(1 / F.nullif(F.sqrt(dot(F.col("v"), F.col("v")) + dot(F.col("w"), F.col("w"))), F.lit(0.0)), F.lit(0.0))
+    scaled = lambda c: F.transform(c, lambda x: x * F.col("inv"))
+    return both.withColumn("inv", inv).select("id", scaled("v").alias("v"), "k", scaled("w").alias("w"))
+
+
+#: Weight of the embedded prose where title and blurb would each have weight one.
+TEXT_WEIGHT = 2**0.5
+MODES = ("tfidf", "chunked", "pooled", "sections")
+
+
+def _weighted(v, weight: float):
+    return F.transform(v, lambda x: x * weight)
+
+
+def build_space(docs: DataFrame, description: DataFrame, warm: DataFrame, encoder: Encoder, mode: str = "tfidf", weights: dict[str, float] = DEFAULT_WEIGHTS, text_weight: float = TEXT_WEIGHT, min_df: int = 2) -> DataFrame:
+    """(id, v, k, w) of each item in ``docs`` (item_id and a text a role): title and blurb embedded, entities as TF-IDF fitted on the warm items, and
+    the long ``description`` (item_id, text) by ``mode``: as TF-IDF terms of the role reviews, or embedded in its place - ``chunked``: word windows
+    of the whole; ``pooled``: windows of each section, the sections averaged; ``sections``: a block a section.  The weight of reviews is kept
+    in every mode, so modes differ in nothing else."""
+    if mode not in MODES:
+        raise ValueError(f"no such description mode: {mode}")
+    items, width = docs.select("item_id"), encoder.width
+    prose = docs.select("item_id", fx.join_filled(". ", *(F.col(r) for r in TEXT_ROLES)).alias("text"))
+    blocks = [_weighted(F.col("v"), text_weight)]
+    dense = aligned_vectors(items, encode(prose.where("text <> ''"), encoder), width).select("item_id", "v")
+    roles = [r for r in ROLES if r not in TEXT_ROLES and (mode == "tfidf" or r != "reviews")]
+    share = float(weights.get("reviews", DEFAULT_WEIGHTS["reviews"]))
+    if mode == "chunked":
+        chunk = pool_windows(encode_windows(description, encoder, ["item_id"]))
+        dense = dense.join(aligned_vectors(items, chunk, width).select("item_id", F.col("v").alias("d")), "item_id")
+        blocks.append(_weighted(F.col("d"), share))
+    elif mode in ("pooled", "sections"):
+        parts = description.select("item_id", F.explode(fx.sections("text")).alias("section", "text"))
+        vectors = pool_windows(encode_windows(parts, encoder, ["item_id", "section"]), ["item_id", "section"])
+        groups = list(fx.SECTIONS)
+        wide = section_vectors(items, vectors, groups, width)
+        dense = dense.join(wide, "item_id")
+        if mode == "sections":
+            blocks += [_weighted(F.col(g), share / len(groups) ** 0.5) for g in groups]
+        else:
+            total = F.col(groups[0])
+            for g in groups[1:]:
+                total = F.zip_with(total, F.col(g), lambda x, y: x + y)
+            dense = dense.withColumn("d", total)
+            blocks.append(_weighted(F.transform("d", lambda x: x / F.greatest(F.sqrt(dot(F.col("d"), F.col("d"))), F.lit(1e-12))), share))
+    dense = dense.select("item_id", F.concat(*blocks).alias("v"))
+    terms = role_terms(docs, tuple(roles))
+    sparse = transform(terms, fit_space(terms, warm, min_df), {r: weights.get(r, 0.0) for r in roles}, normalise=False)
+    return joint_space(dense, sparse, width * len(blocks))
 
 
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -124,17 +223,18 @@ def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, outer.reshape(len(mean), len(mean)) / max(n, 1) - np.outer(mean, mean)
 
 
-def fit_transform(vectors: DataFrame, kind: str = "center", remove: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix) fitted on the given (warm) rows: centring, all-but-the-top, or whitening."""
-    _, mean, cov = moments(vectors)
+def fit_transform(vectors: DataFrame, kind: str = "center", remove: int = 1, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, matrix) fitted on the given (warm) rows: ``center``; ``all_but_top``, which also takes out the ``remove`` directions of the
+    greatest variance; ``whiten``, which brings every direction to variance one (those below ``floor`` count as that)."""
+    n, mean, cov = moments(vectors)
     if kind == "center":
         return mean, np.eye(len(mean))
-    value, vector = np.linalg.eigh(cov)
+    value, vector = np.linalg.eigh(cov * n / max(n - 1, 1))
     if kind == "all_but_top":
         top = vector[:, ::-1][:, :remove]
         return mean, np.eye(len(mean)) - top @ top.T
     if kind == "whiten":
-        return mean, vector / np.sqrt(np.maximum(value, 1e-9)) @ vector.T
+        return mean, vector / np.sqrt(np.maximum(value, floor)) @ vector.T
     raise ValueError(f"unknown transform: {kind}")
 
 
@@ -161,33 +261,50 @@ def neighbour_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 class Encoder:
-    """Turns texts into vectors inside the tasks; subclasses override ``encode``.  The default hashes words into
-    ``width`` signed slots and needs no model file."""
+    """Turns texts into vectors inside the tasks; subclasses override ``encode``, which gets ``batch`` texts at most, each after ``prefix``.  The default
+    adds the words into ``width`` signed slots by the first eight hex digits of their md5, and needs no model file."""
 
-    def __init__(self, width: int = 64) -> None:
-        self.width = width
+    def __init__(self, width: int = 64, prefix: str = "", batch: int = 1024) -> None:
+        self.width, self.prefix, self.batch = width, prefix, batch
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import zlib
+        import hashlib
 
         out = np.zeros((len(texts), self.width))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = zlib.crc32(w.encode())
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 out[i, h % self.width] += 1 if h >> 16 & 1 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-ENCODERS: dict[str, Encoder] = {"hashing64": Encoder(64), "hashing256": Encoder(256)}
+ENCODERS: dict[str, Encoder] = {"hashing64": Encoder(64), "hashing256": Encoder(256), "hashing64-query": Encoder(64, prefix="query: ")}
 
 
 def encode(texts: DataFrame, encoder: Encoder) -> DataFrame:
-    """(item_id, v) from (item_id, text)."""
+    """(..., v): each row's ``text`` gives way to its vector; all other columns stay."""
     import pyarrow as pa
 
+    kept = [c for c in texts.columns if c != "text"]
+
     def run(batches):
         for batch in batches:
-            x = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["item_id", "v"])
+            for at in range(0, batch.num_rows, encoder.batch):
+                some = batch.slice(at, encoder.batch)
+                x = encoder.encode([encoder.prefix + (t or "") for t in some.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(x.tolist(), pa.list_(pa.float64()))], [*kept, "v"])
+
+    kinds = dict(texts.dtypes)
+    return texts.select(*kept, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", v array<double>")
+
+
+def encode_windows(texts: DataFrame, encoder: Encoder, keys: list[str]) -> DataFrame:
+    """(keys..., weight, v): a vector for each word window of each text, with its number of words; empty texts have none."""
+    cut = texts.where(F.trim("text") != "").select(*keys, F.explode(fx.windows("text")).alias("text"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("double")
+    return encode(cut.select(*keys, words.alias("weight"), "text"), encoder)
+
 
-    return texts.select("item_id", "text").mapInArrow(run, f"item_id {dict(texts.dtypes)['item_id']}, v array<double>")
+def store_vectors(vectors: DataFrame, path: str, provenance: dict) -> bool:
+    """Writes an embedding store once, with what made it beside it; returns whether it was written now."""
+    return write_once(vectors, path, provenance)

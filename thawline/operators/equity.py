@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DISCOUNTS, discount
+from .ranking import head, running
 
 VERSION = 1
 
@@ -35,10 +36,10 @@ def universe(exposed: DataFrame, providers: DataFrame, by: list[str]) -> DataFra
     return keys.join(names).join(exposed, [*by, "provider"], "left").fillna(0.0, ["exposure", "cold_exposure"])
 
 
-def share(c: str, by: list[str]) -> Column:
-    """Share of the group's total; 0 where that is 0."""
-    total = F.sum(c).over(Window.partitionBy(*by))
-    return F.coalesce(F.col(c) / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+def with_share(rows: DataFrame, c: str, by: list[str], name: str = "share") -> DataFrame:
+    """``rows`` with each one's share of its group's total, 0 where that is 0.  Totals are added up before the shuffle, one row a group."""
+    totals = rows.groupBy(*by).agg(F.sum(c).alias("_total"))
+    return rows.join(totals, by).withColumn(name, F.coalesce(F.col(c) / F.nullif("_total", F.lit(0.0)), F.lit(0.0))).drop("_total")
 
 
 def gini(values: DataFrame, by: list[str], c: str) -> DataFrame:
@@ -48,8 +49,7 @@ def gini(values: DataFrame, by: list[str], c: str) -> DataFrame:
     from position b on add up to n * (2 b + n + 1) / 2.
     """
     tied = values.groupBy(*by, F.col(c).alias("v")).agg(F.count("*").alias("n"))
-    b = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = tied.withColumn("place_sum", F.col("n") * (2 * b + F.col("n") + 1) / 2.0)
+    placed = running(tied, ["v"], by, "n").withColumn("place_sum", F.col("n") * (2 * F.col("before") + F.col("n") + 1) / 2.0)
     out = placed.groupBy(*by).agg(F.sum("n").alias("count"), F.sum(F.col("v") * F.col("n")).alias("total"), F.sum(F.col("v") * F.col("place_sum")).alias("ranked"))
     value = (2 * F.col("ranked") - (F.col("count") + 1) * F.col("total")) / F.nullif(F.col("count") * F.col("total"), F.lit(0.0))
     return out.select(*by, F.coalesce(F.when(F.col("total") > 0, value), F.lit(0.0)).alias("gini"))
@@ -57,9 +57,7 @@ def gini(values: DataFrame, by: list[str], c: str) -> DataFrame:
 
 def top_share(values: DataFrame, by: list[str], c: str, frac: float = 0.01) -> DataFrame:
     """Share of the top ceil(n * frac) providers, at least one."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(c), "provider"))
-    size = F.count("*").over(Window.partitionBy(*by))
-    kept = values.withColumn("place", place).withColumn("size", size).where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("size") * frac)))
+    kept = running(values.select(*by, "provider", c), [F.desc(c), "provider"], by).where(F.col("before") < F.greatest(F.lit(1), F.ceil(F.col("total") * frac)))
     return kept.groupBy(*by).agg(F.sum(c).alias("top_share"))
 
 
@@ -105,13 +103,13 @@ def merit_guarded(stats: DataFrame, scored_users: DataFrame, held: DataFrame) ->
     """Merit statistics are null unless the scored users are just those with held-out rows."""
     a, b = scored_users.select("user_id").distinct(), held.select("user_id").distinct()
     odd = a.join(b, "user_id", "left_anti").union(b.join(a, "user_id", "left_anti")).agg(F.count("*").alias("odd"))
-    values = [c for c, t in stats.dtypes if t == "double"]
+    values = [c for c, t in stats.dtypes if t == "double" or c == "n_scored"]
     return stats.join(odd).select(*(F.when(F.col("odd") == 0, F.col(c)).alias(c) if c in values else F.col(c) for c in stats.columns))
 
 
 def report(full: DataFrame, providers: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., gini, gini_cold, cold_share, top1_share) for every discount at once, from ``universe``'s rows."""
-    shares = full.select(*keys, "provider", "exposure", "cold_exposure", share("exposure", keys).alias("s"))
+    """(keys..., gini, gini_cold, cold_share, top1_share, version) for every discount at once, from ``universe``'s rows."""
+    shares = with_share(full.select(*keys, "provider", "exposure", "cold_exposure"), "exposure", keys, "s")
     cold = full.groupBy(*keys).agg((F.sum("cold_exposure") / F.nullif(F.sum("exposure"), F.lit(0.0))).alias("cold_share"))
     has_cold = providers.where("cold").select("provider").distinct()
     only_cold = shares.join(has_cold, "provider", "left_semi")
@@ -120,13 +118,36 @@ def report(full: DataFrame, providers: DataFrame, keys: list[str]) -> DataFrame:
         .join(gini(only_cold, keys, "cold_exposure").withColumnRenamed("gini", "gini_cold"), keys, "left")
         .join(cold, keys)
         .join(top_share(shares, keys, "s").withColumnRenamed("top_share", "top1_share"), keys)
+        .withColumn("version", F.lit(VERSION))
     )
 
 
-def seed_variance(shares: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, deviation and coefficient of variation of each provider's share over seeds."""
+def ratio_tables(full: DataFrame, providers: DataFrame, held: DataFrame, keys: list[str], names: tuple[str, ...], k_len: int, users: DataFrame) -> DataFrame:
+    """(keys..., reference, ten statistics): exposure against the share of all items (catalog), cold exposure against the share of cold items
+    (cold) and against merit, which is null unless ``users`` (the scored ones) are just those with held-out rows.  ``keys`` has discount."""
+    all_of, cold_of = with_share(full, "exposure", keys, "s"), with_share(full, "cold_exposure", keys, "s")
+    merit = None
+    for name in names:
+        one = merit_share(held, providers, name, k_len).withColumn("discount", F.lit(name))
+        merit = one if merit is None else merit.unionByName(one)
+    merit_rows = cold_of.join(merit, ["discount", "provider"]).select(*keys, "provider", F.col("s").alias("share"), "ref", (F.col("s") / F.nullif("ref", F.lit(0.0))).alias("ratio"))
+    tables = {
+        "catalog": ratio_stats(ratios(all_of, catalog_share(providers), keys, "s"), keys),
+        "cold": ratio_stats(ratios(cold_of, catalog_share(providers, cold_only=True), keys, "s"), keys),
+        "merit": merit_guarded(ratio_stats(merit_rows, keys), users, held),
+    }
+    out = None
+    for name, rows in tables.items():
+        rows = rows.withColumn("reference", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def seed_variance(shares: DataFrame, by: list[str], top_n: int | None = None) -> DataFrame:
+    """Mean, deviation and coefficient of variation of each provider's share over seeds; the ``top_n`` greatest means, if asked."""
     out = shares.groupBy(*by, "provider").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"))
-    return out.withColumn("cv", F.col("std") / F.nullif("mean", F.lit(0.0)))
+    out = out.withColumn("cv", F.col("std") / F.nullif(F.greatest("mean", F.lit(0.0)), F.lit(0.0)))
+    return head(out, [F.desc(F.round("mean", 9)), *by, "provider"], top_n)
 
 
 def coverage_gap(users: DataFrame, covered: DataFrame) -> int:

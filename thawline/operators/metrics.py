@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 METRICS = ("NDCG", "Precision", "Recall", "HitRate")
 
 
@@ -48,8 +50,9 @@ def macro(gained: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
 
 def degree_buckets(degrees: DataFrame, n: int = 3) -> DataFrame:
     """(item_id, degree, bucket from 0): equal counts by (degree, item_id); the first buckets take what is left over."""
-    tile = F.ntile(n).over(Window.orderBy("degree", "item_id"))  # over the cold items alone
-    return degrees.select("item_id", "degree", (tile - 1).alias("bucket"))
+    placed = running(degrees.select("item_id", "degree"), ["degree", "item_id"])
+    bucket = f"CASE WHEN before < (total % {n}) * (total div {n} + 1) THEN before div (total div {n} + 1) ELSE total % {n} + (before - (total % {n}) * (total div {n} + 1)) div greatest(total div {n}, 1) END"
+    return placed.select("item_id", "degree", F.expr(bucket).cast("int").alias("bucket"))
 
 
 def bucket_hits(recs: DataFrame, held: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -88,6 +91,19 @@ def difference_curve(curve: DataFrame, arm: str, base: str, t_value: float) -> D
     return d.select("k", "diff", (F.col("diff") - half).alias("low"), (F.col("diff") + half).alias("high"), (F.abs("diff") > half).alias("clear"))
 
 
+def unpaired_difference(curve: DataFrame, base: str, t_value: float) -> DataFrame:
+    """Per arm and k: the mean over seeds less the base arm's mean, and the interval of the arm's own mean (population deviation)."""
+    one = across_seeds(curve, ["arm", "k"])
+    ref = one.where(F.col("arm") == base).select("k", F.col("mean").alias("base_mean"))
+    half = t_value * F.col("std") / F.sqrt("n")
+    return one.where(F.col("arm") != base).join(ref, "k").select("arm", "k", (F.col("mean") - F.col("base_mean")).alias("diff"), half.alias("half"))
+
+
+def clear_levels(differences: DataFrame) -> DataFrame:
+    """One row: at how many levels the paired interval clears zero, of how many."""
+    return differences.agg(F.count_if("clear").alias("n_clear"), F.count("*").alias("n_levels"))
+
+
 def relative_delta(curve: DataFrame, base: str, by: list[str]) -> DataFrame:
     """Percent difference of every arm from ``base``; null where that is 0."""
     ref = curve.where(F.col("arm") == base).select(*by, F.col("value").alias("base_value"))

@@ -1,18 +1,20 @@
-"""Retrieval models: the contract, popularity, activity, implicit ALS with closed-form fold-in, and the additive hybrid.
+"""Retrieval models: the contract, popularity, activity, implicit ALS with closed-form fold-in, the additive hybrid and its seeds.
 
 User preferences are fitted once and frozen; only a cold item's representation moves with k.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Protocol, runtime_checkable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import retrieval
+from ..sources.readers import materialise
+from . import blocks as bl
+from . import content, retrieval
 from .split import Split
 
 
@@ -80,14 +82,54 @@ class Activity:
         raise NotImplementedError("activity ranks users, not items")
 
 
+SALTS = 16
+SUMS = "item_id long, n long, total array<double>, outer array<double>"
+
+
+def _summed(parts: bool):
+    """Sums over consecutive rows of one item: of v and v vT (rows (item_id, v)), or of partial sums (rows SUMS).  Input is sorted by item, so one
+    item's sums are held at a time, and rows of an item may span batches."""
+    import pyarrow as pa
+
+    def run(batches):
+        item, n, total, outer = None, 0, None, None
+
+        def told():
+            return pa.RecordBatch.from_pydict({"item_id": pa.array([item], pa.int64()), "n": pa.array([n], pa.int64()), "total": pa.array([total.tolist()]), "outer": pa.array([outer.ravel().tolist()])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("item_id").to_numpy()
+            flat = lambda c, r: batch.column(c).flatten().to_numpy().reshape(r, -1)
+            rows = len(ids)
+            x = flat("total" if parts else "v", rows)
+            squares, counts = (flat("outer", rows), batch.column("n").to_numpy()) if parts else (None, np.ones(rows, np.int64))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [rows]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if ids[lo] != item:
+                    if item is not None:
+                        yield told()
+                    item, n, total, outer = int(ids[lo]), 0, 0.0, 0.0
+                n, total = n + int(counts[lo:hi].sum()), total + x[lo:hi].sum(axis=0)
+                outer = outer + (squares[lo:hi].sum(axis=0) if parts else (x[lo:hi].T @ x[lo:hi]).ravel())
+        if item is not None:
+            yield told()
+
+    return run
+
+
 def _solve(gram: np.ndarray, reg: float):
+    """The training rule: an item's regulariser is multiplied by its number of rows."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            total = np.array(batch.column("total").to_pylist(), float).reshape(-1, len(gram))
-            outer = np.array(batch.column("outer").to_pylist(), float).reshape(-1, len(gram), len(gram))
-            x = np.linalg.solve(gram + reg * np.eye(len(gram)) + outer, 2.0 * total[:, :, None])[:, :, 0] if len(total) else total
+            rank = len(gram)
+            total = np.array(batch.column("total").to_pylist(), float).reshape(-1, rank)
+            outer = np.array(batch.column("outer").to_pylist(), float).reshape(-1, rank, rank)
+            weight = reg * batch.column("n").to_numpy()[:, None, None] * np.eye(rank)
+            x = np.linalg.solve(gram + weight + outer, 2.0 * total[:, :, None])[:, :, 0] if len(total) else total
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["item_id", "v"])
 
     return run
@@ -103,15 +145,18 @@ class ALS:
     seed: int = 0
     users: DataFrame | None = None
     items: DataFrame | None = None
+    folds: dict = field(default_factory=dict, repr=False)
 
-    def fit(self, s: Split) -> ALS:
+    def fit(self, s: Split, more: DataFrame | None = None) -> ALS:
+        """On the train rows, and on ``more`` (synthetic rows) if there are any."""
         from pyspark.ml.recommendation import ALS as SparkALS
 
-        rows = s.train.select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"), F.lit(1.0).alias("r"))
+        train = s.train if more is None else s.train.unionByName(more.select("user_id", "item_id")).distinct()
+        rows = train.select(F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"), F.lit(1.0).alias("r"))
         als = SparkALS(rank=self.rank, regParam=self.reg, maxIter=self.rounds, seed=self.seed, implicitPrefs=True, alpha=1.0, userCol="user_id", itemCol="item_id", ratingCol="r")
         model = als.fit(rows)
         factors = lambda df, name: df.select(F.col("id").cast("long").alias(name), F.col("features").cast("array<double>").alias("v"))
-        return replace(self, users=factors(model.userFactors, "user_id"), items=factors(model.itemFactors, "item_id"))
+        return replace(self, users=materialise(factors(model.userFactors, "user_id")), items=materialise(factors(model.itemFactors, "item_id")), folds={})
 
     def gram(self) -> np.ndarray:
         """Sum of u uT over all users: rank * rank numbers, summed in the tasks."""
@@ -121,85 +166,161 @@ class ALS:
         return n * (cov + np.outer(mean, mean))
 
     def solve(self, rows: DataFrame) -> DataFrame:
-        """(item_id, v) of the items in rows (user_id, item_id), confidence 2 on each: the sums over users are
-        aggregated by Spark, and only a rank-sized system per item is solved in Python."""
-        known = rows.join(self.users, "user_id").select("item_id", F.posexplode("v").alias("i", "x"), "v")
-        entry = known.select("item_id", "i", "x", F.posexplode("v").alias("j", "y"))
-        outer = entry.groupBy("item_id", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("o"), F.sum("x").alias("t"))
-        packed = outer.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "o", "t"))).alias("p"))
-        first = F.transform(F.filter("p", lambda e: e["j"] == 0), lambda e: e["t"])
-        sums = packed.select("item_id", first.alias("total"), F.transform("p", lambda e: e["o"]).alias("outer"))
+        """(item_id, v) of the items in rows (user_id, item_id), confidence 2 on each, users frozen.  The sums over users are taken in the tasks:
+        an item's rows go to SALTS tasks at most, which send one partial sum each, so a hot item is no longer one task's work."""
+        known = rows.join(self.users, "user_id").select("item_id", "v", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).alias("salt"))
+        part = known.repartition("item_id", "salt").sortWithinPartitions("item_id").select("item_id", "v").mapInArrow(_summed(False), SUMS)
+        sums = part.repartition("item_id").sortWithinPartitions("item_id").mapInArrow(_summed(True), SUMS)
         return sums.mapInArrow(_solve(self.gram(), self.reg), "item_id long, v array<double>")
 
     def _folded(self, s: Split, rows: DataFrame) -> ALS:
         """Cold items without rows get the zero vector."""
         cold = s.cold_ids.join(self.solve(rows), "item_id", "left").select("item_id", F.coalesce("v", F.array_repeat(F.lit(0.0), self.rank)).alias("v"))
-        return replace(self, items=self.items.join(cold, "item_id", "left_anti").unionByName(cold))
+        return replace(self, items=self.items.join(cold, "item_id", "left_anti").unionByName(cold), folds={})
 
     def fold_in(self, s: Split, k: int) -> ALS:
-        return self._folded(s, s.fold_in_at(k))
+        return self._once(s, k, lambda: self._folded(s, s.fold_in_at(k)))
 
     def fold_in_ceiling(self, s: Split) -> ALS:
-        return self._folded(s, s.ceiling.select("user_id", "item_id"))
+        return self._once(s, "ceiling", lambda: self._folded(s, s.ceiling.select("user_id", "item_id")))
+
+    def _once(self, s: Split, k: int | str, make) -> ALS:
+        """A fold-in of one split at one level is solved and written once; a split with synthetic rows has a key of its own."""
+        key = (id(s.warm), s.population, s.salt, k)
+        if key not in self.folds:
+            folded = make()
+            self.folds[key] = (s, replace(folded, items=materialise(folded.items)))
+        return self.folds[key][1]
 
     def scores(self, users: DataFrame, items: DataFrame) -> DataFrame:
-        """Every pair, for pools of bounded size; ranked lists go through ``blocked_top``."""
-        from .content import dot
+        """Every pair, for pools of bounded size; ranked lists go through ``top``."""
+        left, right = users.join(self.users, "user_id").withColumnRenamed("user_id", "item_id"), items.join(self.items, "item_id")
+        found = bl.scored(content.as_space(left), content.as_space(right), bl.all_pairs, bl.PAIRS)
+        return found.withColumnsRenamed({"left_id": "user_id", "right_id": "item_id"})
+
+    def top(self, users: DataFrame, items: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+        return blocked_top(users.join(self.users, "user_id"), items.join(self.items, "item_id"), seen, n)
 
-        u, i = users.join(self.users, "user_id").withColumnRenamed("v", "a"), items.join(self.items, "item_id").withColumnRenamed("v", "b")
-        return u.join(i).select("user_id", "item_id", dot(F.col("a"), F.col("b")).alias("score"))
 
-    def top(self, users: DataFrame, items: DataFrame, seen: DataFrame, n: int, block: int = 20_000) -> DataFrame:
-        return blocked_top(users.join(self.users, "user_id"), items.join(self.items, "item_id"), seen, n, block)
+def packed_side(rows: DataFrame, name: str) -> DataFrame:
+    """Factors (name, v) or packed rows (id, ...) as packed rows."""
+    return rows if "id" in rows.columns else content.as_space(rows.withColumnRenamed(name, "item_id"))
 
 
-def blocked_top(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, block: int = 20_000) -> DataFrame:
-    """(user_id, rank, item_id, score): the n best unseen items of each user by inner product of ``v``.
+def blocked_top(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, rows: int = bl.ROWS) -> DataFrame:
+    """(user_id, rank, item_id, score): the n best unseen items of each user by inner product.
 
-    Items are cut into blocks of about ``block`` rows; users meet each block in one matrix product
-    and keep n + (what they have seen) of it, so no score relation is ever written.
+    Both sides are cut into blocks of at most about ``rows`` rows whatever their number; each pair of blocks is one matrix product, from which a
+    user keeps n + (what the user has seen) items, so no score relation is ever written.
     """
+    depth = seen.groupBy(F.col("user_id").alias("id")).agg(F.countDistinct("item_id").alias("extra"))
+    left = packed_side(users, "user_id").join(depth, "id", "left").fillna(0, ["extra"])
+    found = bl.scored(left, packed_side(items, "item_id"), bl.best_right(n), bl.PAIRS, rows).withColumnsRenamed({"left_id": "user_id", "right_id": "item_id"})
+    return retrieval.top_k(retrieval.exclude(found, seen, ["user_id", "item_id"]), ["user_id"], "item_id", n)
+
+
+def score_moments(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row (n, mean, std, range) over all cells of left x right, from one small row a pair of blocks."""
     import pyarrow as pa
 
-    m = items.count()
-    blocks = max(1, -(-m // block))
-    depth = seen.groupBy("user_id").agg(F.count("*").alias("m"))
-    asked = users.join(depth, "user_id", "left").select("user_id", "v", F.coalesce("m", F.lit(0)).alias("m"))
-
-    def take(group):
-        side = group.column("side").to_numpy()
-        ids = group.column("id").to_numpy()
-        v = np.array(group.column("v").to_pylist(), float)
-        extra = group.column("m").to_numpy()
-        out = ([], [], [])
-        item_ids, item_v = ids[side == 1], v[side == 1]
-        for u, x, e in zip(ids[side == 0], v[side == 0], extra[side == 0]):
-            if not len(item_ids):
-                break
-            score = item_v @ x
-            best = np.lexsort((item_ids, -score))[: n + int(e)]
-            out[0].extend([u] * len(best))
-            out[1].extend(item_ids[best].tolist())
-            out[2].extend(score[best].tolist())
-        return pa.table({"user_id": pa.array(out[0], pa.int64()), "item_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    groups = 16  # user groups: each meets every item block once
-    left = asked.select(F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"), F.col("user_id").alias("id"), "v", "m")
-    right = items.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("side"), F.col("item_id").alias("id"), "v", F.lit(0).cast("long").alias("m"))
-    found = left.unionByName(right).groupBy("g", "b").applyInArrow(take, "user_id long, item_id long, score double")
-    return retrieval.top_k(retrieval.exclude(found, seen, ["user_id", "item_id"]), ["user_id"], "item_id", n)
+    def reduce(a, b, score):
+        if not score.size:
+            return pa.table({"n": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("s", "q", "lo", "hi")}})
+        return pa.table({"n": pa.array([score.size], pa.int64()), "s": [float(score.sum())], "q": [float((score * score).sum())], "lo": [float(score.min())], "hi": [float(score.max())]})
+
+    one = bl.scored(left, right, reduce, "n long, s double, q double, lo double, hi double").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mean = F.col("s") / F.col("n")
+    return one.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), (F.col("hi") - F.col("lo")).alias("range"))
+
+
+@dataclass
+class Content:
+    """What the hybrid takes from content: user profiles and items as packed rows, and the scale of their scores.  It depends on neither seed nor
+    level, so the models of all seeds share one, written once."""
+
+    users: DataFrame
+    items: DataFrame
+    scale: float = 1.0
+
+    @staticmethod
+    def of(history: DataFrame, space: DataFrame, users: DataFrame, kind: str = "std") -> Content:
+        """Profiles of ``users`` over ``history``, and the scale over users x items."""
+        items = materialise(content.as_space(space))
+        rows = materialise(bl.profiles(history.join(users, "user_id", "left_semi"), items))
+        return Content(rows, items, scale_of(rows, items, kind))
+
+
+def scale_of(left: DataFrame, right: DataFrame, kind: str = "std") -> float:
+    """The deviation or range of all scores, 1 where that is 0."""
+    return float(score_moments(left, right).first()[kind] or 0.0) or 1.0
+
+
+@dataclass
+class Hybrid:
+    """cf / s_cf + weight * content / s_cb, as one inner product of joined rows.  Scales are fitted once on the unfolded model; they divide and never
+    shift.  Folding in moves the factors of cold items alone, unless ``frozen`` is off, where profiles take in the revealed rows too (an
+    ablation)."""
+
+    cf: ALS
+    content: Content
+    weight: float = 1.0
+    cf_scale: float = 1.0
+    frozen: bool = True
+
+    def fit(self, s: Split) -> Hybrid:
+        cf = self.cf if self.cf.users is not None else self.cf.fit(s)
+        users = self.content.users.select(F.col("id").alias("user_id")).join(cf.users, "user_id")
+        return replace(self, cf=cf, cf_scale=scale_of(packed_side(users, "user_id"), packed_side(cf.items, "item_id")))
+
+    def with_weight(self, weight: float) -> Hybrid:
+        return replace(self, weight=weight)
+
+    def _moved(self, cf: ALS, s: Split, shown: DataFrame) -> Hybrid:
+        if self.frozen:
+            return replace(self, cf=cf)
+        history = s.train.unionByName(shown.select("user_id", "item_id"))
+        known = self.content.users.select(F.col("id").alias("user_id"))
+        rows = materialise(bl.profiles(history.join(known, "user_id", "left_semi"), self.content.items))
+        return replace(self, cf=cf, content=replace(self.content, users=rows))
+
+    def fold_in(self, s: Split, k: int) -> Hybrid:
+        return self._moved(self.cf.fold_in(s, k), s, s.revealed_at(k))
+
+    def fold_in_ceiling(self, s: Split) -> Hybrid:
+        return self._moved(self.cf.fold_in_ceiling(s), s, s.ceiling)
+
+    def sides(self, users: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Packed rows whose inner products are the additive scores; a missing half counts as zeros."""
+        zero, none = F.array_repeat(F.lit(0.0), self.cf.rank), lambda t: F.array().cast(f"array<{t}>")
+
+        def joined(ids, factors, rows, name, cf_by, cb_by):
+            out = ids.select(F.col(name).alias("id")).join(factors.withColumnsRenamed({name: "id", "v": "f"}), "id", "left").join(rows.withColumnRenamed("v", "d"), "id", "left")
+            times = lambda c, x: F.transform(c, lambda y: y * x)
+            return out.select("id", F.concat(times(F.coalesce("f", zero), cf_by), times(F.coalesce("d", none("double")), cb_by)).alias("v"), F.coalesce("k", none("long")).alias("k"), times(F.coalesce("w", none("double")), cb_by).alias("w"))
+
+        left = joined(users, self.cf.users, self.content.users, "user_id", 1.0 / self.cf_scale, self.weight / self.content.scale)
+        return left, joined(items, self.cf.items, self.content.items, "item_id", 1.0, 1.0)
+
+    def scores(self, users: DataFrame, items: DataFrame) -> DataFrame:
+        found = bl.scored(*self.sides(users, items), bl.all_pairs, bl.PAIRS)
+        return found.withColumnsRenamed({"left_id": "user_id", "right_id": "item_id"})
+
+    def top(self, users: DataFrame, items: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+        left, right = self.sides(users, items)
+        return blocked_top(left, right, seen, n)
 
 
-def scale(scores: DataFrame, kind: str = "std") -> DataFrame:
-    """One row: the deviation or range of all scores, 1 where that is 0.  Partial sums only."""
-    spread = F.stddev_pop("score") if kind == "std" else F.max("score") - F.min("score")
-    return scores.agg(F.coalesce(F.nullif(spread, F.lit(0.0)), F.lit(1.0)).alias("scale"))
+def seed_ensemble(s: Split, shared: Content, seeds: list[int], weight: float = 1.0, **als) -> list[Hybrid]:
+    """One hybrid a seed; all share the content, each measures its own factors' scale."""
+    return [Hybrid(ALS(seed=seed, **als), shared, weight).fit(s) for seed in seeds]
 
 
-def additive(cf: DataFrame, content: DataFrame, cf_scale: DataFrame, content_scale: DataFrame, weights: list[float]) -> DataFrame:
-    """(weight, user_id, item_id, score): cf / s_cf + weight * content / s_cb for each weight; a missing side counts 0.
-    Scales divide, they never shift."""
-    a = cf.join(cf_scale).select("user_id", "item_id", (F.col("score") / F.col("scale")).alias("a"))
-    b = content.join(content_scale).select("user_id", "item_id", (F.col("score") / F.col("scale")).alias("b"))
-    both = a.join(b, ["user_id", "item_id"], "full").fillna(0.0, ["a", "b"])
-    return both.select(F.explode(F.array(*map(F.lit, map(float, weights)))).alias("weight"), "*").select("weight", "user_id", "item_id", (F.col("a") + F.col("weight") * F.col("b")).alias("score"))
+def users_of_items(model: ALS | Hybrid, s: Split, shown: DataFrame, n: int) -> DataFrame:
+    """(item_id, rank, user_id, score): the n best users of each cold item, those in ``shown`` (user_id, item_id) left out.  An item that
+    has seen too many gets a shorter list."""
+    every = model.cf.users if isinstance(model, Hybrid) else model.users
+    if isinstance(model, Hybrid):
+        right, left = model.sides(every, s.cold_ids)
+    else:
+        right, left = packed_side(every, "user_id"), packed_side(model.items.join(s.cold_ids, "item_id", "left_semi"), "item_id")
+    return retrieval.swapped(blocked_top(left, right, retrieval.swapped(shown.select("user_id", "item_id")), n)).select("item_id", "rank", "user_id", "score")

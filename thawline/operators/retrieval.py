@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as bl
 from .ranking import top_per_key
 
 
@@ -105,3 +106,53 @@ def popularity_auc(scores: DataFrame, users: DataFrame, seen: DataFrame, test: D
     n_neg = F.col("total") - F.coalesce("gone", F.lit(0)) - F.col("n_pos")
     u = F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
     return out.select("k", "user_id", (u / F.nullif(F.col("n_pos") * n_neg, F.lit(0))).alias("auc"))
+
+
+def rank_auc(left: DataFrame, right: DataFrame, positives: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, n_pos, n_neg, auc) of each row of ``left`` (packed rows) that has a positive: Mann-Whitney over the rows of ``right``, those in ``seen``
+    (id, other) left out, tied scores at their average rank; null without a negative.
+
+    Two rounds over the blocks: the first tells the scores of the positives (id, other), the second counts in each block how many
+    candidates score less and as much.  No candidate is ever written.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    listed = lambda df, name: df.groupBy("id").agg(F.collect_set("other").alias(name))
+    asked = left.join(listed(positives.join(seen, ["id", "other"], "left_anti"), "wanted"), "id").join(listed(seen, "gone"), "id", "left")
+
+    def told(a, b, score):
+        order = np.argsort(b.ids)
+        ids, of = a.listed("wanted")
+        at = np.minimum(np.searchsorted(b.ids[order], ids), max(len(order) - 1, 0))
+        on = b.ids[order][at] == ids if len(order) else np.zeros(len(ids), bool)
+        row, column = of[on], order[at[on]] if len(order) else at[on]
+        return pa.table({"id": pa.array(a.ids[row], pa.int64()), "score": pa.array(score[row, column], pa.float64())})
+
+    carry = {"wanted": "array<long>"}
+    marks = bl.scored(asked, right, told, "id long, score double", carry=carry).groupBy("id").agg(F.collect_list("score").alias("marks"))
+
+    def counted(a, b, score):
+        score = score.copy()
+        order = np.argsort(b.ids)
+        ids, of = a.listed("gone")
+        at = np.minimum(np.searchsorted(b.ids[order], ids), max(len(order) - 1, 0))
+        on = b.ids[order][at] == ids if len(order) else np.zeros(len(ids), bool)
+        out = np.zeros_like(score, bool)
+        if len(order):
+            out[of[on], order[at[on]]] = True
+        value, row = a.listed("marks")
+        ranks, totals = np.zeros(len(a.ids)), (~out).sum(axis=1)
+        first = np.searchsorted(row, np.arange(len(a.ids) + 1))
+        for r in range(len(a.ids)):
+            mine, kept = value[first[r] : first[r + 1]], np.sort(score[r][~out[r]])
+            ranks[r] = (np.searchsorted(kept, mine) + np.searchsorted(kept, mine, "right")).sum() / 2.0
+        return pa.table({"id": pa.array(a.ids, pa.int64()), "ranks": pa.array(ranks, pa.float64()), "total": pa.array(totals, pa.int64()), "n_pos": pa.array(np.bincount(row, minlength=len(a.ids)), pa.int64())})
+
+    fields = "id long, ranks double, total long, n_pos long"
+    rows = bl.scored(left.join(marks, "id").join(listed(seen, "gone"), "id", "left"), right, counted, fields, carry={"marks": "array<double>", "gone": "array<long>"})
+    one = rows.groupBy("id").agg(F.sum("ranks").alias("ranks"), F.sum("total").alias("total"), F.max("n_pos").alias("n_pos"))
+    n_neg = F.col("total") - F.col("n_pos")
+    # a positive's rank counts half of its ties, itself among them: (less + not more + 1) / 2
+    u = F.col("ranks") + F.col("n_pos") / 2.0 - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
+    return one.select("id", "n_pos", n_neg.alias("n_neg"), (u / F.nullif(F.col("n_pos") * n_neg, F.lit(0))).alias("auc"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import keep_last
 from ..sources.schemas import SplitParams
-from .ranking import hash_rank
+from .ranking import hash_rank, top_per_key
 
 TIES = ["ts", "order_id", "line", "rating"]
 
@@ -80,6 +80,7 @@ class Split:
     population: str = "test"
     synthetic: DataFrame | None = None
     only_items: DataFrame | None = None
+    salt: str = ""
 
     def part(self, name: str) -> DataFrame:
         return self.warm.where(F.col("split") == name).select("user_id", "item_id")
@@ -132,9 +133,15 @@ class Split:
         """The same warm relations with the other cold population."""
         return replace(self, population="val")
 
-    def augmented(self, synthetic: DataFrame, only_items: DataFrame | None = None) -> Split:
-        """Synthetic rows enter the fold-in alone; what counts as already seen stays as it was."""
-        return replace(self, synthetic=synthetic, only_items=only_items)
+    def augmented(self, synthetic: DataFrame, only_items: DataFrame | None = None, salt: str = "synthetic") -> Split:
+        """Synthetic rows enter the fold-in alone; what counts as already seen stays as it was.  ``salt`` names the rows in the keys of what is
+        kept of fold-ins."""
+        return replace(self, synthetic=synthetic, only_items=only_items, salt=salt)
+
+    def few_users(self, n: int = 5, seed: int | str = 42) -> DataFrame:
+        """(item_id, user_id): n reserved users of each cold item in hash order, drawn once for all levels and seeds."""
+        draw = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.lit(str(seed))))
+        return top_per_key(self.reserved, ["item_id"], [draw, "user_id"], n).select("item_id", "user_id")
 
 
 def make_split(interactions: DataFrame, params: SplitParams = SplitParams()) -> Split:

@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranking import hash_sample, top_per_key
+from ..sources.readers import read_stats, write_text
+from .ranking import hash_sample, running, top_per_key
 
 #: Scores (user_id, item_id, prompt) rows of a batch; the default needs no model.
 PairScorer = Callable[[list[int], list[int], list[str]], list[float]]
 
 
 def hashed_scorer(users: list[int], items: list[int], prompts: list[str]) -> list[float]:
-    """Deterministic stand-in for a language model: log odds in [-4, 4) from a checksum of the pair."""
-    return [(zlib.crc32(f"{u}|{i}".encode()) % 8000) / 1000.0 - 4.0 for u, i in zip(users, items)]
+    """Deterministic stand-in for a language model: log odds in [-4, 4) from the md5 of the pair."""
+    return [(int(hashlib.md5(f"{u}|{i}".encode()).hexdigest()[:8], 16) % 8000) / 1000 - 4 for u, i in zip(users, items)]
 
 
-def score_pairs(pairs: DataFrame, scorer: PairScorer = hashed_scorer) -> DataFrame:
-    """(user_id, item_id, score) from (user_id, item_id, prompt), batch by batch in the tasks."""
+def score_pairs(pairs: DataFrame, scorer: PairScorer = hashed_scorer, done=None) -> DataFrame:
+    """(user_id, item_id, score) from (user_id, item_id, prompt), batch by batch in the tasks.  ``done``, an accumulator of numbers, is told
+    how many pairs are scored: the driver may read it while the job runs."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             u, i = b.column("user_id"), b.column("item_id")
-            yield pa.RecordBatch.from_arrays([u, i, pa.array(scorer(u.to_pylist(), i.to_pylist(), b.column("prompt").to_pylist()), pa.float64())], ["user_id", "item_id", "score"])
+            scores = scorer(u.to_pylist(), i.to_pylist(), b.column("prompt").to_pylist())
+            if done is not None:
+                done.add(len(scores))
+            yield pa.RecordBatch.from_arrays([u, i, pa.array(scores, pa.float64())], ["user_id", "item_id", "score"])
 
     types = dict(pairs.dtypes)
     return pairs.select("user_id", "item_id", "prompt").mapInArrow(run, f"user_id {types['user_id']}, item_id {types['item_id']}, score double")
 
 
+def repair(stored: DataFrame, wanted: DataFrame, scorer: PairScorer = hashed_scorer) -> DataFrame:
+    """(user_id, item_id, score, rescored) of the wanted pairs (user_id, item_id, prompt): stored scores stay, only missing pairs are scored."""
+    keys = ["user_id", "item_id"]
+    stayed = stored.join(wanted.select(*keys), keys, "left_semi").select(*keys, "score", F.lit(False).alias("rescored"))
+    return stayed.unionByName(score_pairs(wanted.join(stored.select(*keys), keys, "left_anti"), scorer).withColumn("rescored", F.lit(True)))
+
+
 def adjusted(scored: DataFrame, priors: DataFrame | None) -> DataFrame:
     """score minus the user's own prior (0 where unknown); NaN scores are undefined."""
     out = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
@@ -46,9 +59,10 @@ def select_top(scored: DataFrame, n: int, priors: DataFrame | None = None) -> Da
     return top_per_key(rows, ["item_id"], [F.desc("score"), "user_id"], n)
 
 
-def select_floored(scored: DataFrame, n: int, priors: DataFrame | None = None, floor: float = 0.0) -> DataFrame:
-    """Top n among the pairs that score above ``floor``; an item may get none."""
-    rows = adjusted(scored, priors).where(F.col("score") > floor)
+def select_floored(scored: DataFrame, n: int, priors: DataFrame | None = None, floor: float = 0.0, digits: int | None = None) -> DataFrame:
+    """Top n among the pairs that score above ``floor``, in ``digits`` decimals if asked; an item may get none."""
+    rows = adjusted(scored, priors)
+    rows = (rows if digits is None else rows.withColumn("score", F.round("score", digits))).where(F.col("score") > floor)
     return top_per_key(rows, ["item_id"], [F.desc("score"), "user_id"], n)
 
 
@@ -97,6 +111,44 @@ def abstentions(scored: DataFrame, n: int) -> DataFrame:
     return out.withColumn("short", F.col("positives") < n)
 
 
+def abstention_rule(counted: DataFrame, most: float = 0.05) -> DataFrame:
+    """One row: items, those that abstain, their share, and whether that is at most ``most``."""
+    one = counted.agg(F.count("*").alias("n_items"), F.count_if("short").alias("n_short"))
+    return one.withColumn("frac_short", F.col("n_short") / F.nullif("n_items", F.lit(0))).withColumn("usable", F.coalesce(F.col("frac_short") <= most, F.lit(False)))
+
+
+def arms_by_n(scored: DataFrame, train: DataFrame, sizes: list[int], seed: int) -> DataFrame:
+    """(n, arm, shared, union, jaccard): each control against the scored arm at each n.  Where n takes in all candidates, jaccard is 1: a check that all
+    arms draw from one pool."""
+    out = None
+    for n in sizes:
+        top = select_top(scored, n)
+        for name, arm in (("random", random_n(scored, n, seed)), ("popularity", popularity_n(scored, train, n))):
+            one = jaccard(top, arm).select(F.lit(n).alias("n"), F.lit(name).alias("arm"), "shared", "union", "jaccard")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def export_arms(arms: dict[tuple[str, int], DataFrame], path: str, fingerprint: str) -> None:
+    """Writes (user_id, item_id) of each (arm, seed) under ``path``, in one table cut by arm and seed; seed -1 for arms that draw nothing.  The
+    fingerprint of the split they belong to is stamped beside it."""
+    out = None
+    for (arm, seed), rows in arms.items():
+        one = rows.select("user_id", "item_id", F.lit(arm).alias("arm"), F.lit(seed).alias("seed"))
+        out = one if out is None else out.unionByName(one)
+    spark = out.sparkSession
+    write_text(spark, f"{path.rstrip('/')}.stats", json.dumps({"fingerprint": fingerprint}))
+    out.write.partitionBy("arm", "seed").mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
+def read_arms(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """Refuses relations that were made from another split."""
+    held = read_stats(spark, path).get("fingerprint")
+    if held != fingerprint:
+        raise ValueError(f"the synthetic relations belong to another split: {held!r}")
+    return spark.read.parquet(path).select("arm", "seed", "user_id", "item_id")
+
+
 def probe_items(warm: DataFrame, n: int, seed: int) -> DataFrame:
     return hash_sample(warm.select("item_id").distinct(), "item_id", n, seed)
 
@@ -117,14 +169,21 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def completeness(scored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Statistics of the assembled scores; ``missing`` must be 0 for a strict reader."""
+    """Statistics of the assembled scores, and how many wanted pairs lack one."""
     missing = wanted.join(scored, ["user_id", "item_id"], "left_anti").agg(F.count("*").alias("missing"))
     return scored.agg(F.count("*").alias("n_pairs"), F.avg((F.col("score") > 0).cast("double")).alias("frac_yes"), F.avg("score").alias("mean_score")).join(missing)
 
 
+def check_complete(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The scores, refused where a wanted pair lacks one."""
+    if missing := completeness(scored, wanted).first()["missing"]:
+        raise ValueError(f"{missing} pairs have no score")
+    return scored
+
+
 def plan_chunks(items: DataFrame, size: int = 64) -> DataFrame:
-    """(item_id, chunk): items in id order, ``size`` to a chunk."""
-    return items.select("item_id", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / size).cast("int").alias("chunk"))
+    """(item_id, chunk): items in id order, ``size`` to a chunk; the same items always make the same chunks."""
+    return running(items.select("item_id"), ["item_id"]).select("item_id", F.floor(F.col("before") / size).cast("int").alias("chunk"))
 
 
 def progress(planned: DataFrame, done: DataFrame) -> DataFrame:

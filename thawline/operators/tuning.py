@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.schemas import DEFAULT_WEIGHTS
+
 
 def objective(curve: DataFrame, by: list[str]) -> DataFrame:
     """Mean over the k levels and the ceiling."""
     return curve.groupBy(*by).agg(F.avg("value").alias("objective"))
 
 
+def field_weights(prose: float, reviews: float) -> dict[str, float]:
+    """Weights of the roles from the weight of the prose as a whole: title and blurb share it so that their squares add up to its square."""
+    return DEFAULT_WEIGHTS | {"title": prose / 2**0.5, "blurb": prose / 2**0.5, "reviews": reviews}
+
+
 def constrained_argmax(points: DataFrame, by: list[str], tolerance: float = 0.02) -> DataFrame:
     """Per group the point of the greatest objective among those whose ``warm`` is within ``tolerance`` of the
     group's best; among all of them where warm is undefined."""

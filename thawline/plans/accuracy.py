@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as mt
 from ..operators import retrieval as rt
-from ..operators.models import Popularity
+from ..operators.models import Activity, Popularity
 from ..sources.readers import materialise
 from .base import query
 from .fixtures import POPULARITY_SQL, SPLIT_SQL, items, kept, split
@@ -92,14 +92,27 @@ def pop_auc_curve(spark, sf):
     return rt.popularity_auc(pool, users, seen, s.reserved).groupBy("k").agg(F.round(F.avg("auc"), 6).alias("auc"), F.count("auc").alias("n"))
 
 
+@query(P.replace("SELECT unnest([0, 5, 10, 20]) AS k", "SELECT 100 AS k").replace("revealed AS (SELECT k, user_id, item_id FROM ks JOIN reveal ON pos < k)", "revealed AS (SELECT k, user_id, item_id FROM ks, ceiling)") + AUC_SQL + "SELECT round(avg(auc), 6) AS auc, count(auc) AS n FROM auc")
+def pop_ceiling_auc(spark, sf):
+    """MET-07: popularity with all rows before the test, over the degree-matched pool"""
+    s = split(spark, sf)
+    users = s.reserved.select("user_id").distinct()
+    shown = s.ceiling.select(F.lit(100).alias("k"), "user_id", "item_id")
+    seen = rt.levels_frame(s.train, [100]).unionByName(shown).join(users, "user_id", "left_semi")
+    pool = rt.popularity(s.train, shown, s.auc_items, [100])
+    return rt.popularity_auc(pool, users, seen, s.reserved).agg(F.round(F.avg("auc"), 6).alias("auc"), F.count("auc").alias("n"))
+
+
 @query(P.replace("[0, 5, 10, 20]", "[20]") + AUC_SQL + "SELECT user_id, round(auc, 6) AS auc FROM auc WHERE auc IS NOT NULL")
 def auc_by_user(spark, sf):
-    """RET-03: the general kernel on explicit candidate scores"""
+    """RET-03, ML-13: the general kernel, block by block; popularity is a factor model of one factor"""
     s, scores, seen, _ = lists(spark, sf, levels=[20])
-    users = s.reserved.select("user_id").distinct()
-    pool = scores.join(s.auc_items, "item_id", "left_semi").join(users)
-    left = rt.exclude(pool, seen, ["k", "user_id", "item_id"])
-    return rt.average_rank_auc(left, s.reserved, ["user_id"], "item_id").where("auc is not null").select("user_id", F.round("auc", 6).alias("auc"))
+    none = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("k", "long"), ("w", "double"))]
+    users = s.reserved.select(F.col("user_id").alias("id")).distinct().select("id", F.array(F.lit(1.0)).alias("v"), *none)
+    pool = scores.join(s.auc_items, "item_id", "left_semi").select(F.col("item_id").alias("id"), F.array(F.col("score").cast("double")).alias("v"), *none)
+    pairs = lambda df: df.select(F.col("user_id").alias("id"), F.col("item_id").alias("other"))
+    out = rt.rank_auc(users, pool, pairs(s.reserved), pairs(seen))
+    return out.where("auc is not null").select(F.col("id").alias("user_id"), F.round("auc", 6).alias("auc"))
 
 
 @query(
@@ -107,15 +120,16 @@ def auc_by_user(spark, sf):
     + "SELECT user_id, rank, item_id, score FROM recs"
 )
 def cold_merge(spark, sf):
-    """TOPK-02, RET-02: cached warm lists and fresh cold scores"""
+    """TOPK-02, RET-02: cached warm lists, and lists of the fresh cold scores; neither forms users x items"""
     s = split(spark, sf)
     users = s.reserved.select("user_id").distinct()
     base = s.train.groupBy("item_id").agg(F.count("*").alias("score"))
     seen = rt.levels_frame(s.train.join(users, "user_id", "left_semi"), [10])
     cached = rt.recommend_global(base.withColumn("k", F.lit(10)), users, seen, 10)
     shown = s.revealed_at(10)
-    cold = s.cold_ids.join(shown.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("score")).join(users)
-    return rt.merge_top(cached, rt.exclude(cold, shown, ["user_id", "item_id"]), ["user_id"], "item_id", 10).select("user_id", "rank", "item_id", "score")
+    cold = s.cold_ids.join(shown.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select(F.lit(10).alias("k"), "item_id", F.coalesce("n", F.lit(0)).alias("score"))
+    fresh = rt.recommend_global(cold, users, rt.levels_frame(shown.join(users, "user_id", "left_semi"), [10]), 10)
+    return rt.merge_top(cached, fresh, ["user_id"], "item_id", 10).select("user_id", "rank", "item_id", "score")
 
 
 DEGREES = "deg AS (SELECT item_id, count(*) + 5 AS degree FROM ceiling GROUP BY 1), bk AS (SELECT item_id, degree, ntile(3) OVER (ORDER BY degree, item_id) - 1 AS bucket FROM deg)"
@@ -151,13 +165,13 @@ cand AS (SELECT ks.k, c.item_id, a.user_id, a.score FROM ks, cold_test c, act a
 
 def activity_lists(s, n=10):
     shown = rt.revealed_by_k(s.reveal, LEVELS)
-    scores = rt.levels_frame(s.train.groupBy("user_id").agg(F.count("*").alias("score")), LEVELS)
+    scores = rt.levels_frame(Activity().fit(s).counts, LEVELS)
     return scores, shown, rt.recommend_global(scores, s.cold_ids, shown, n, entity="user_id", to="item_id")
 
 
 @query(ACTIVITY_SQL + ", recs AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY score DESC, user_id) AS rank FROM cand QUALIFY rank <= 10)" + GAINS_SQL.replace("range(1, 21)", "range(1, 11)").replace("least(rel, 20)", "least(rel, 10)").replace("GROUP BY 1),\nhit", "GROUP BY 1),\nhit").replace("SELECT user_id, count(*) AS rel FROM reserved", "SELECT item_id, count(*) AS rel FROM reserved").replace("r.k, r.user_id, count(*) AS hits", "r.k, r.item_id, count(*) AS hits").replace("rel.user_id,", "rel.item_id,").replace("hit.user_id = rel.user_id", "hit.item_id = rel.item_id").replace("coalesce(hits, 0) / 20", "coalesce(hits, 0) / 10"))
 def activity_curve(spark, sf):
-    """MET-10, MET-02, AGG-05, RET-07, ML-05: lists here always have K users, so both precisions agree"""
+    """MET-10, AGG-05, RET-07, ML-05"""
     s = split(spark, sf)
     _, _, recs = activity_lists(s)
     levels = spark.createDataFrame([(k,) for k in LEVELS], "k int")
@@ -244,3 +258,55 @@ def relative_delta(spark, sf):
     """MET-17"""
     out = mt.relative_delta(_curve(spark, sf), "a", ["k", "seed"])
     return out.select("arm", "k", "seed", F.round("value", 6).alias("value"), F.round("delta_pct", 6).alias("delta_pct"))
+
+
+@query(
+    S
+    + """, ks AS (SELECT unnest([0, 5, 10, 20]) AS k), act AS (SELECT user_id, count(*) AS score FROM train WHERE user_id % 40 = 0 GROUP BY 1), nu AS (SELECT count(*) AS n FROM act),
+few AS (SELECT item_id, user_id FROM reserved QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY md5(user_id::VARCHAR || '|' || item_id::VARCHAR || '|42'), user_id) <= 5),
+cand AS (SELECT ks.k, c.item_id, a.user_id, a.score FROM ks, cold_test c, act a WHERE NOT EXISTS (SELECT 1 FROM reveal s WHERE s.pos < ks.k AND s.item_id = c.item_id AND s.user_id = a.user_id)),
+recs AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY score DESC, user_id) AS rank FROM cand QUALIFY rank <= 400),
+hit AS (SELECT r.k, r.item_id, count(*) AS shown, count(f.user_id) AS hits FROM recs r LEFT JOIN few f ON f.item_id = r.item_id AND f.user_id = r.user_id GROUP BY 1, 2)
+SELECT ks.k, round(avg(coalesce(hits / nullif(shown, 0), 0)), 9) AS precision, count(*) AS n_eval FROM (SELECT DISTINCT item_id FROM few) i CROSS JOIN ks LEFT JOIN hit ON hit.item_id = i.item_id AND hit.k = ks.k GROUP BY 1"""
+)
+def short_lists(spark, sf):
+    """MET-02: lists shorter than K, as few users are known: precision is over the list's own length, not over K = 400"""
+    s = split(spark, sf)
+    scores = rt.levels_frame(s.train.where("user_id % 40 = 0").groupBy("user_id").agg(F.count("*").alias("score")), LEVELS)
+    recs = rt.recommend_global(scores, s.cold_ids, rt.revealed_by_k(s.reveal, LEVELS), 400, entity="user_id", to="item_id")
+    levels = spark.createDataFrame([(k,) for k in LEVELS], "k int")
+    got = mt.by_list_length(mt.gains(recs, s.few_users(5, 42), ["k"], "item_id", "user_id", 400, levels))
+    return got.groupBy("k").agg(F.round(F.avg("Precision"), 9).alias("precision"), F.count("*").alias("n_eval"))
+
+
+@query(
+    SEEDS_SQL
+    + """, m AS (SELECT arm, k, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n FROM c GROUP BY 1, 2)
+    SELECT x.arm, x.k, round(x.mean - y.mean, 6) AS diff, round(3.182 * x.std / sqrt(x.n), 6) AS half FROM m x JOIN m y ON x.k = y.k WHERE x.arm = 'b' AND y.arm = 'a'"""
+)
+def unpaired_difference(spark, sf):
+    """MET-15: against a base arm, with the interval of the arm's own mean"""
+    out = mt.unpaired_difference(_curve(spark, sf), "a", 3.182)
+    return out.select("arm", "k", F.round("diff", 6).alias("diff"), F.round("half", 6).alias("half"))
+
+
+@query(
+    SEEDS_SQL
+    + """, d AS (SELECT x.k, x.value - y.value AS d FROM c x JOIN c y ON x.k = y.k AND x.seed = y.seed WHERE x.arm = 'a' AND y.arm = 'b'),
+    m AS (SELECT k, avg(d) AS diff, 3.182 * stddev_samp(d) / sqrt(count(*)) AS half FROM d GROUP BY 1)
+    SELECT count(*) FILTER (abs(diff) > half) AS n_clear, count(*) AS n_levels FROM m"""
+)
+def clear_levels(spark, sf):
+    """MET-15: at how many levels the paired interval clears zero"""
+    return mt.clear_levels(mt.difference_curve(_curve(spark, sf), "a", "b", 3.182))
+
+
+@query(
+    SEEDS_SQL.replace("AS value FROM orders", "AS v FROM orders").replace("WITH c AS", "WITH c0 AS")
+    + """, c AS (SELECT seed, k, arm, CASE WHEN arm = 'a' AND k = 1995 OR seed = 1 THEN NULL ELSE v END AS value FROM c0) SELECT arm, k, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM c GROUP BY 1, 2"""
+)
+def seed_means_with_gaps(spark, sf):
+    """AGG-13: undefined values don't count; where all are, so is the mean"""
+    gap = ((F.col("arm") == "a") & (F.col("k") == 1995)) | (F.col("seed") == 1)
+    curve = _curve(spark, sf).withColumn("value", F.when(~gap, F.col("value")))
+    return mt.across_seeds(curve, ["arm", "k"]).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))

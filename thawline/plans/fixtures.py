@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.split import Split, cold_items, make_split, pools, warm_split
-from ..sources.readers import materialise
+from ..sources.readers import input_fingerprint, materialise
 from ..sources.schemas import SplitParams
 
 
@@ -28,8 +28,9 @@ _KEPT: dict[tuple, object] = {}
 
 
 def kept(spark: SparkSession, key: tuple, make):
-    """What ``make`` returns, once per application and key: the reuse points of the curves."""
-    key = (spark.sparkContext.applicationId, *key)
+    """What ``make`` returns, once per application and key: the reuse points of the curves.  A key is (name, folder, ...); the files of the folder
+    belong to it, so changed data at the same place are read anew."""
+    key = (spark.sparkContext.applicationId, input_fingerprint(spark, key[1]), *key)
     if key not in _KEPT:
         for old in [k for k in _KEPT if k[0] != key[0]]:
             del _KEPT[old]
@@ -37,6 +38,11 @@ def kept(spark: SparkSession, key: tuple, make):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drops what is kept, for timings that start from nothing."""
+    _KEPT.clear()
+
+
 def split(spark: SparkSession, sf: str, **changes) -> Split:
     """The split of the tables in ``sf``; its four relations are written once, since every curve starts from them."""
 

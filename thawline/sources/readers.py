@@ -66,21 +66,101 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, "best.row.*") if rest else best.select(*keys)
 
 
+def enrich(spine: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Every spine row with its row's columns, the spine's own winning; ``matched`` tells whether there is one.  Many to one: ``rows``
+    are reduced to the last one a key, so a spine row never multiplies."""
+    last = keep_last(rows, keys, order).withColumn("matched", F.lit(True))
+    both = [c for c in last.columns if c in spine.columns and c not in keys]
+    return spine.join(last.drop(*both), keys, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
+def check_many_to_one(rows: DataFrame, keys: list[str]) -> None:
+    """Refuses a right side that would multiply rows."""
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if twice:
+        raise ValueError(f"keys {keys} aren't unique")
+
+
 def titles(meta: DataFrame, order: list[str]) -> DataFrame:
     return keep_last(meta.select(*dict.fromkeys(["parent_asin", "title", *order])), ["parent_asin"], order).select("parent_asin", "title")
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """zstd Parquet; the committer makes it whole or absent, and an existing table is never overwritten."""
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of ``path``: local, distributed and object stores alike."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def is_built(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has finished the table at ``path``."""
+    files, at = _files(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return files.exists(at)
+
+
+def input_fingerprint(spark: SparkSession, path: str, **params) -> tuple:
+    """What a result depends on: name, size and time of each file under ``path``, and the parameters."""
+    files, at = _files(spark, path)
+    listed = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at))
+    inner = [x for f in files.listStatus(at) if f.isDirectory() for x in sorted((y.getPath().getName(), y.getLen()) for y in files.listStatus(f.getPath()))]
+    return (tuple(listed), tuple(inner), tuple(sorted(params.items())))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, through Spark's writer, so that it lands in whatever store ``path`` names."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\x00").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.option("lineSep", "\x00").text(path).first()[0]
+
+
+def write_once(df: DataFrame, path: str, stats: dict | None = None) -> bool:
+    """zstd Parquet, and ``stats`` (row counts, provenance) beside it under ``<path>.stats``.  The committer makes the table
+    whole or absent; one that is finished is never written again.  Returns whether it was written now."""
+    spark = df.sparkSession
+    if is_built(spark, path):
+        return False
+    if stats is not None:  # first, so that a finished table has its statistics
+        write_text(spark, f"{path.rstrip('/')}.stats", json.dumps(stats, sort_keys=True))
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return True
+
+
+def write_filtered(after: DataFrame, before: DataFrame, path: str) -> bool:
+    """``write_once`` with the number of source rows stamped beside the kept ones."""
+    return not is_built(before.sparkSession, path) and write_once(after, path, {"n_source_rows": before.count()})
+
+
+def read_stats(spark: SparkSession, path: str) -> dict:
+    """What was stamped beside a table, without reading its data; {} for a table without it."""
+    at = f"{path.rstrip('/')}.stats"
+    return json.loads(read_text(spark, at)) if is_built(spark, at) else {}
 
 
 def row_count(spark: SparkSession, path: str) -> DataFrame:
-    """Number of rows from the footers: the count is pushed into the scan."""
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    """Number of rows: no column is read, so the scan takes it from the footers."""
     return spark.read.parquet(path).agg(F.count("*").alias("n_rows"))
 
 
+def footer_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: rows now, source rows as stamped, and the share that was kept; no data is read."""
+    source = read_stats(spark, path).get("n_source_rows")
+    return row_count(spark, path).select("n_rows", F.lit(source).cast("long").alias("n_source_rows"), (F.col("n_rows") / F.nullif(F.lit(source), F.lit(0))).alias("kept_frac"))
+
+
+def nunique(df: DataFrame) -> DataFrame:
+    """One row: the number of distinct values of each column; lists count by their text."""
+    kinds = dict(df.dtypes)
+    as_value = lambda c: F.to_json(F.array(c)) if kinds[c].startswith(("array", "struct")) else F.col(c)
+    return df.agg(*(F.countDistinct(as_value(c)).alias(c) for c in df.columns))
+
+
+def appearances(df: DataFrame, column: str) -> DataFrame:
+    """(times, n, n_null): how many values stand in so many rows, and in how many rows there is none."""
+    by = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("times")).groupBy("times").agg(F.count("*").alias("n"))
+    return by.join(df.agg(F.count_if(F.col(column).isNull()).alias("n_null")))
+
+
 def filter_stats(before: DataFrame, after: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """kept and total rows, and how many of the wanted keys are covered, as one row."""
     covered = wanted.join(after.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("covered"))
@@ -94,20 +174,36 @@ def filter_stats(before: DataFrame, after: DataFrame, wanted: DataFrame, key: st
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table under spark.checkpoint.dir (a temporary folder only where that is unset) and read it
-    back: later plans start from a scan, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+    """Write ``df`` as a scratch table and read it back: later plans start from a scan, and a lost executor costs no
+    recomputation."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh place under spark.checkpoint.dir; under a local folder only where that is unset and all of Spark is on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="thawline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/thawline-core-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this application."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        files, at = _files(spark, f"{root.rstrip('/')}/thawline-core-{spark.sparkContext.applicationId}")
+        files.delete(at, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
+    """Metric rows as JSON lines; NaN is written as null, since JSON has no word for it."""
+    kinds = dict(df.dtypes)
+    clean = [F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns]
+    df.select(*clean).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
 def run_key(params: dict) -> str:
@@ -115,15 +211,40 @@ def run_key(params: dict) -> str:
     return hashlib.md5(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
-def save_config(path: str, config: dict, fingerprint: list) -> None:
-    with open(path, "w") as f:
-        json.dump({"fingerprint": fingerprint, "config": config}, f, indent=1, sort_keys=True)
+def memoised(spark: SparkSession, root: str, name: str, params: dict, make) -> DataFrame:
+    """The table that ``make`` returns, written under ``root`` once for each set of parameters and read from there on."""
+    path = f"{root.rstrip('/')}/{name}_{run_key(params)}"
+    if not is_built(spark, path):
+        write_once(make(), path, params)
+    return spark.read.parquet(path)
+
 
+def save_config(spark: SparkSession, path: str, config: dict, fingerprint: list) -> None:
+    write_text(spark, path, json.dumps({"fingerprint": fingerprint, "config": config}, sort_keys=True))
 
-def load_config(path: str, fingerprint: list) -> dict:
-    """Refuses a file that was tuned on other data."""
-    with open(path) as f:
-        held = json.load(f)
+
+def load_config(spark: SparkSession, path: str, fingerprint: list) -> dict:
+    """Refuses settings that were tuned on other data, or that aren't whole."""
+    held = json.loads(read_text(spark, path))
+    if not {"fingerprint", "config"} <= set(held):
+        raise ValueError("the settings file is not whole")
     if held["fingerprint"] != fingerprint:
         raise ValueError("the settings were tuned on other data: tune again")
     return held["config"]
+
+
+class Checkpoint:
+    """Results by key, kept as one small table a key, so that a stopped sweep goes on where it was.  All keys live under the
+    fingerprint of what they depend on; a changed input starts anew."""
+
+    def __init__(self, spark: SparkSession, root: str, depends: dict) -> None:
+        self.spark, self.root = spark, f"{root.rstrip('/')}/{run_key(depends)}"
+
+    def path(self, key: str) -> str:
+        return f"{self.root}/{run_key({'key': key})}"
+
+    def get(self, key: str, make) -> DataFrame:
+        path = self.path(key)
+        if not is_built(self.spark, path):
+            write_once(make(), path, {"key": key})
+        return self.spark.read.parquet(path)

@@ -16,8 +16,10 @@ META_RAW = (
 )
 SPINE_CSV = "user_id string, parent_asin string, rating float, timestamp long"
 
+# Roles, their weights, and the columns that fill them, first choice first.
 ROLES = ("title", "creator", "taxonomy", "blurb", "reviews")
 ENTITY_ROLES = ("creator", "taxonomy")
+TEXT_ROLES = ("title", "blurb")
 DEFAULT_WEIGHTS = {"title": 1.0, "creator": 1.0, "taxonomy": 0.5, "blurb": 1.0, "reviews": 0.5}
 FIELD_MAPS = {
     "books": {"title": ["title"], "creator": ["author_name", "store"], "taxonomy": ["categories"], "blurb": ["features"], "reviews": ["description"]},
