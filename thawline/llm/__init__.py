@@ -3,9 +3,3 @@
 Nothing outside this subpackage imports it.  Each module holds one operator with
 its own general interface; ``queries`` binds them to the contract queries.
 """
-
-import thawline
-from pyspark import cloudpickle
-
-# Workers receive the functions by value, so executors need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(thawline)
