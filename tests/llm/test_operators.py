@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on a small fixture with nulls, empty and long texts, ties, repeats."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -88,8 +89,62 @@ def test_secrets(spark):
     assert got[4].spans == "access:0:16" and got[5].spans == "hex:1:33"
     assert got[6].spans == "guess:5:21" and got[6].redacted == "pwd: [X]" and got[6].n_assign == 0
     assert got[7].n_assign == 1 and got[8].n_assign == 0
-    assert secret_scan.guess_cost("password1") < 4 < secret_scan.guess_cost("xK9$vQ2!mZ7#pL4&")
-    assert secret_scan.guess_cost("qwertyuiop") < 4 and secret_scan.guess_cost("19991231") < 6 and secret_scan.guess_cost("aaaaaaaaaa") < 4
+    cost = lambda value: secret_scan.guess_cost(value, KNOWN)
+    assert cost("password1") < 4 < 10 < cost("xK9$vQ2!mZ7#pL4&")
+    assert cost("qwertyuiop") < 4 and cost("19991231") < 6 and cost("aaaaaaaaaa") < 4
+
+
+KNOWN = secret_scan.known_words()
+
+
+@pytest.mark.parametrize("prose", ["password is incorrect", "The secret is forgiveness", "credentials: https://example.org/docs", "token: required parameter", "the secret is pronunciationally", "password: /etc/company/private.key", "pass: sunshine-monkey"])
+def test_prose_is_no_secret(prose):
+    assert secret_scan.scan(prose, 10.0, KNOWN) == ([], []) or all(k == "assign" for _, _, k, _ in secret_scan.scan(prose, 10.0, KNOWN)[1])
+
+
+def test_address_with_a_password():
+    text = "credentials: https://bob:xK9vQ2mZ7pL4@example.org/docs"
+    assert [k for _, _, k, _ in secret_scan.scan(text, 10.0, KNOWN)[1]] == ["guess"]
+
+
+def all_segmentations(value, words):
+    """Cheapest segmentation with every segment of every kind tried at every place."""
+    import math
+
+    low, seg = value.lower(), secret_scan.SEGMENT_COST
+    plain = low.translate(secret_scan.LEET)
+    cost = lambda i, j: sum(map(secret_scan._char_cost, value[i:j]))
+
+    def segments(i, j):
+        part, n = low[i:j], j - i
+        yield cost(i, j)
+        if n >= 3 and len(set(part)) == 1:
+            yield secret_scan._char_cost(value[j - 1]) + math.log10(n)
+        if n >= 3 and all(part[k : k + 2] in secret_scan.NEAR_PAIRS for k in range(n - 1)):
+            yield math.log10(47 * n)
+        if n >= 2 and (rank := words.ranks.get(part) or words.ranks.get(plain[i:j])):
+            yield math.log10(rank + 1) + (part not in words.ranks or value[i:j] != part) * math.log10(4)
+        if secret_scan.DATE.fullmatch(part) and n in (4, 6, 8, 10):
+            yield math.log10(200 if n == 4 else 73000)
+        for size in range(2, min(secret_scan.BLOCK, n // 2) + 1):
+            if n % size == 0 and part == part[:size] * (n // size):
+                yield cost(j - size, j) + math.log10(n // size)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + seg + min(segments(i, j)) for i in range(j)))
+    return best[-1]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abc", "qwe1", "aq19-", "passwordA0", "0129/"])
+def test_guess_cost_is_the_least(alphabet):
+    """Against all segmentations, with runs longer than any word: the starts that are left out never win."""
+    rng = random.Random(alphabet)
+    words = secret_scan.Words({"ab": 3, "aaa": 2, "qwe": 5, "pass": 1, "word": 4, "abcab": 7}, 5)
+    for _ in range(40):
+        value = "".join(rng.choice(alphabet) * rng.choice([1, 1, 1, 2, 3, 9, 30]) for _ in range(rng.randrange(1, 9)))
+        value += "".join(rng.choice(["abcdefghijkl", "qwertyuiop", "ab" * 13, "19991231", ""]) for _ in range(2))
+        assert abs(secret_scan.guess_cost(value, words) - all_segmentations(value, words)) < 1e-9, value
 
 
 @pytest.mark.parametrize("lead", ['{"pass": "', "db_pass = ", "pass => ", "pass is ", "pass_prod: ", "PASS := ", "passphrase: ", "passwd_x: ", "my pwd is: "])
@@ -98,16 +153,16 @@ def test_secrets_after_any_context(lead):
     value = "xK9$vQ2!mZ7#pL4&"
     text = f"so {lead}{value}"
     assert secret_scan.CONTEXT.search(text)
-    _, spans = secret_scan.scan(text, 10.0)
+    _, spans = secret_scan.scan(text, 10.0, KNOWN)
     assert value not in secret_scan.redact(text, spans, "[X]")
 
 
 def test_guess_cost_of_long_runs():
     """Long repeats, blocks and walks stay one cheap segment, in time that grows with the length."""
     for run in ("a" * 20_000, "ab" * 10_000, "abcdefghijklmnopqrstuvwxyz"):
-        assert secret_scan.guess_cost(run) < 8
-        assert secret_scan.guess_cost("monkey" + run) < 11
-    spans = secret_scan.scan("password='abcdefgh1' " * 2000, 10.0)[0]
+        assert secret_scan.guess_cost(run, KNOWN) < 8
+        assert secret_scan.guess_cost("monkey" + run, KNOWN) < 11
+    spans = secret_scan.scan("password='abcdefgh1' " * 2000, 10.0, KNOWN)[0]
     assert len(spans) == 2000 and all(k == "assign" for _, _, k, _ in spans)
 
 
@@ -165,6 +220,52 @@ def test_language(spark):
     assert got[61].lang_pred == got[63].lang_pred == got[66].lang_pred == got[67].lang_pred == "und" and got[65].lang_pred == got[69].lang_pred == "de"
     empty = language_id.predict(df, language_id.learn(df.where("false")), ["doc_id"])
     assert {r.lang_pred for r in empty.collect()} == {"und"}
+    assert language_id.predict(df.where("false"), language_id.learn(df.where("false")), ["doc_id"]).count() == 0
+    more = frame(spark, [(1, "the " * 100_000), (1, "the cat"), (None, "der hund")])
+    found = language_id.predict(more, language_id.learn(df), ["doc_id", "h"]).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in found) == [(0, "de"), (1, "en"), (1, "en")]
+
+
+def test_language_against_brute_force(spark):
+    """Scores of every text recomputed from plain counts of the whole sample, with many languages."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(7)
+    names = [f"l{i}" for i in range(130)]  # every language stays
+    rows = []
+    for i in range(390):
+        syllables = [f"{a}{chr(97 + i % 26)}" for a in "bdfgk"] + ["ta", "no"]
+        rows.append((i, " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(rng.randrange(0, 12))), names[i % 130]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, language_id.learn(df, per_language=1000), ["doc_id"]).collect()}
+    counts = {(lang, size): Counter() for lang in names for size in range(language_id.LONGEST + 1)}
+    for _, text, lang in rows:
+        for w in language_id.WORD.findall(text):
+            counts[lang, 0][w] += 1
+            for size in range(1, language_id.LONGEST + 1):
+                counts[lang, size].update(language_id.grams(w, size))
+    counts = {k: {t: n for t, n in c.items() if n >= 2} for k, c in counts.items()}
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    penalty = 0.5 + max(math.log10(n) for n in total.values() if n)
+    cost = lambda lang, size, t: math.log10(total[lang, size] / counts[lang, size][t]) if t in counts[lang, size] else penalty
+    taught = sorted(lang for lang in names if any(r[2] == lang for r in rows))
+    for i, text, _ in rows:
+        words, want = language_id.WORD.findall(text), []
+        for lang in taught:
+            whole = 0.0
+            for w in words:
+                sizes = [0] if any(w in counts[x, 0] for x in taught) else [s for s in range(min(language_id.LONGEST, len(w) + 2), 0, -1) if any(g in counts[x, s] for x in taught for g in language_id.grams(w, s))][:1]
+                if not sizes:
+                    whole += penalty
+                elif sizes == [0]:
+                    whole += cost(lang, 0, w)
+                else:
+                    hits = [g for g in language_id.grams(w, sizes[0]) if any(g in counts[x, sizes[0]] for x in taught)]
+                    whole += sum(cost(lang, sizes[0], g) for g in hits) / len(hits)
+            want.append((whole / max(len(words), 1), lang))
+        least = min(c for c, _ in want)
+        assert got[i] in ([lang for c, lang in want if c <= least + 1e-9] if words else ["und"])
 
 
 def test_toxicity(spark):
@@ -183,6 +284,33 @@ def test_toxicity(spark):
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in alone)
 
 
+@pytest.mark.parametrize("voters,hit,false,wrong", [(30, 0.25, 0.01, 0.03), (12, 0.5, 0.02, 0.05), (40, 0.1, 0.002, 0.03)])
+def test_label_model(voters, hit, false, wrong):
+    """On rows drawn from known rates the posterior errs less often than the given labels, and not far from the one that knows the rates."""
+    rng = np.random.default_rng(voters)
+    truth = rng.random(2000) < 0.3
+    votes = (rng.random((2000, voters)) < np.where(truth, hit, false)[:, None]).astype(np.uint8)
+    given = np.where(rng.random(2000) < wrong, ~truth, truth).astype(int)
+    posterior = toxicity.label_model(votes, given)
+    errors = ((posterior >= 0.5) != truth).sum()
+    n = votes.sum(axis=1)
+    known = np.log(0.3 / 0.7) + n * np.log(hit / false) + (voters - n) * np.log((1 - hit) / (1 - false)) + np.where(given, 1, -1) * np.log((1 - wrong) / wrong)
+    best = ((known >= 0) != truth).sum()
+    assert errors < 0.6 * (given != truth).sum() and errors <= best + 25
+
+
+def test_toxicity_edges(spark):
+    """Empty tables, rows of one doc_id, very long texts, columns of clashing names."""
+    none = frame(spark, [])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score_texts(none, toxicity.fit(none, labels), ["doc_id"]).count() == 0
+    df = frame(spark, [(1, "idiot " * 30_000), (1, "idiot moron scum"), (2, "plain words"), (None, "plain words")])
+    got = toxicity.score_texts(df, toxicity.fit(df, labels.where("false")), ["doc_id", "h"]).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    with pytest.raises(ValueError):
+        toxicity.score_texts(df.withColumn("score", df.h), toxicity.fit(df, labels.where("false")), ["score"])
+
+
 def test_toxicity_learns_beginnings(spark):
     """A language that the lexicon doesn't know: words of one stem mark the toxic texts; copies of one text teach nothing."""
     rng = random.Random(4)
@@ -216,6 +344,66 @@ def test_shards(spark, texts):
     assert hilbert_shards.shard_rows(frame(spark, [])).count() == 0
 
 
+def test_shards_against_one_sort(spark, texts):
+    """Places recomputed from one sorted list: the curve's index, then doc_id, checksum, size; nulls first."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(i, t, rng.choice(["en", "de", None, "zh-Hant"]), rng.choice(["src1", "src12", "", None])) for i, t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    number = lambda s: None if s is None else int.from_bytes(s.encode()[:6].ljust(6, b"\0"), "big")
+    ends = {}
+    for name, of in (("l", lambda r: number(r[2])), ("s", lambda r: number(r[3])), ("d", lambda r: r[0])):
+        some = [of(r) for r in rows if of(r) is not None]
+        step = max(1, (max(some) - min(some) + 4096) // 4096)
+        ends[name] = (min(some), step, sorted((x - min(some)) // step for x in some))
+    cell = lambda name, x: 0 if x is None else bisect.bisect_left(ends[name][2], (x - ends[name][0]) // ends[name][1]) * 256 // len(ends[name][2])
+    keyed = []
+    for i, t, lang, source in rows:
+        size = len((t or "").encode()) + 1
+        power = size.bit_length() - 1
+        keyed.append((min(255, power * 8 + ((size * 8 >> power) & 7)), cell("l", number(lang)), cell("s", number(source)), cell("d", i), i, size, zlib.crc32((t or "").encode())))
+    cells = spark.createDataFrame([(*k[:4], n) for n, k in enumerate(keyed)], "a long, b long, c long, d long, n int")
+    index = {r.n: r.h for r in cells.select("n", hilbert_shards.hilbert_index([F.col(x) for x in "abcd"], 8).alias("h")).collect()}
+    order = sorted(range(len(keyed)), key=lambda n: (index[n], keyed[n][4] is not None, keyed[n][4] or 0, keyed[n][6], keyed[n][5]))
+    total = len(order)
+    want = []
+    for p, n in enumerate(order):
+        shard = p * 16 // total
+        want.append((keyed[n][4], keyed[n][5], keyed[n][6], "rows", shard, p - -(-shard * total // 16), None))
+    got = [tuple(r) for r in hilbert_shards.shard_rows(df, 16).collect()]
+    key = lambda r: (r[4], r[5])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_written_shards(spark, texts, tmp_path):
+    """Repeated rows and null ids are written once each, columns with clashing names stay."""
+    df = frame(spark, [*texts, (None, "again"), (70, "again")]).withColumn("shard", F_lit(5)).withColumn("slot", F_lit("x"))
+    hilbert_shards.write_shards(df, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    plain = lambda d: sorted(map(repr, d.select("doc_id", "text", "lang", "source", "n_chars", "h", "shard", "slot").collect()))
+    assert plain(back) == plain(df) and {r.shard_folder for r in back.select("shard_folder").distinct().collect()} == {0, 1, 2, 3}
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_shards_prune(spark):
+    """Ranges of a dimension open fewer shards than an arbitrary order, which opens all of them."""
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.choice([10, 100, 1000, 4000]), rng.choice(["de", "en", "fr", "zh"]), f"src{rng.randrange(20)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = hilbert_shards.shard_rows(df, 64, keep=["doc_id", "lang", "source"])
+    for condition in ("lo_lang <= 'fr' and hi_lang >= 'fr'", "lo_doc_id <= 1000", "lo_source <= 'src5' and hi_source >= 'src5'"):
+        r = hilbert_shards.pruned(placed, condition, ["doc_id", "lang", "source"]).first()
+        assert r.shards == 64 and r.opened <= 40, (condition, r.opened)
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
 def test_hilbert(spark, dims, bits):
     from pyspark.sql import functions as F
@@ -381,6 +569,37 @@ def test_wrapped_licenses(before, mark, after):
     assert said("This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0.")[1] == ["MPL-2.0"]
 
 
+@pytest.mark.parametrize("text,want", [("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", ["GPL-3.0-or-later"]), ("# spdx-license-identifier: 0BSD", ["0BSD"]), ("This work is licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Released under the Eclipse Public License v2.0.\nSo be it.", ["EPL-2.0"]), ("Dual. Licensed under the MIT License.\nLicensed under the Boost Software License, Version 1.0.", ["MIT", "BSL-1.0"]), ("We licensed a song under pressure.", [])])
+def test_named_licenses(text, want):
+    rules = license_scan.Rules()
+    assert [x for _, x in rules.match(rules.identify(text))[0]] == want
+
+
+def test_own_rules_are_not_gated():
+    """Sentences that a caller brings need none of the words of the known ones."""
+    rules = license_scan.Rules({"HELLO": ["hello dear world"], "BYE": ["so long {x} friend"]}, [("greeting", ("HELLO", "BYE"))])
+    assert [x for _, x in rules.match(rules.identify("Hello, dear\nworld! So long, my old friend."))[0]] == ["greeting"]
+    assert all(rules.signs.search(s) for s in ("hello dear world", "so long my friend"))
+
+
+def whole_sentences(text, rules):
+    """Brute force for texts of whole sentences: each maximal run of words between full stops is compared with each known sentence."""
+    out = []
+    for number, sentence in enumerate(x for x in re.split(r"[.!?]+(?:\s+|$)", text) if license_scan.fold(x)):
+        if name := rules.exact.get(license_scan.fold(sentence)):
+            out.append((number, name))
+    return out
+
+
+def test_sentences_against_brute_force():
+    rules, rng = license_scan.Rules(), random.Random(1)
+    known = [s for s in rules.exact if not re.search(r"\bv \d|\d", s)]
+    for _ in range(60):
+        said = [rng.choice([rng.choice(known), "other words stand here", "the license is not named", "copyright of nobody"]) for _ in range(rng.randrange(1, 9))]
+        text = " ".join(s.capitalize() + "." for s in said)
+        assert rules.identify(text) == whole_sentences(text, rules)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert substring_dedup.dedup_substrings(none).count() == 0
@@ -390,6 +609,7 @@ def test_empty_tables(spark):
     assert sentencepiece_codec.encode_texts(none, ["doc_id"]).count() == 0
     assert license_scan.scan_licenses(none, ["doc_id"]).count() == 0
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").count() == 0
+    assert hilbert_shards.shard_rows(none).count() == 0
 
 
 def brute_components(rows, n, num):

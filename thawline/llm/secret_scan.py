@@ -5,18 +5,23 @@ that stands in a credential context - a credential word, a separator and a run o
 non-blank characters - is segmented at minimum guess cost: known words, dates, repeats,
 keyboard walks and brute-force spans, by dynamic programming over the value.  A
 value that takes at least ``10 ** min_guesses`` guesses, and that the base spans don't cover
-already, is a span of kind ``guess``.
+already, is a span of kind ``guess``.  Words and their ranks are common passwords, then the whole words of public
+vocabularies of many languages (``vocabularies``, paths).  Addresses and paths without a password in them count as their costliest part, and
+after "is" a value of letters alone is prose.
 
-Defined results: null text counts as empty, and has no spans.  Offsets are code points, ends exclusive.
+Defined results: null text counts as empty, and has no spans.  Offsets are code points, ends exclusive.  Texts of any length are
+scanned whole.  Repeated rows are scanned each on its own; columns of ``docs`` beyond ``keep`` and text are ignored, and a column to keep
+that bears the name of a result is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from functools import cache
-from itertools import chain, islice
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +35,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: One of these stands in every match of CONTEXT; "pass" also for passphrase.
 CONTEXT_WORDS = (*ASSIGN_WORDS, "pwd", "pass", "credential", "private_key", "access_key", "auth_key")
 CONTEXT = re.compile(
-    r"(?:password|passwd|passphrase|pwd|pass|secret|token|api_?key|credentials?|private_key|access_key|auth_key)(?:_[a-z0-9]{1,12})?[\"']?\s{0,4}(?:[:=]|=>|:=|\bis\b:?)\s{0,4}[\"'`]?([^\s\"'`<>(){},;]{6,})",
+    r"(?:password|passwd|passphrase|pwd|pass|secret|token|api_?key|credentials?|private_key|access_key|auth_key)(?:_[a-z0-9]{1,12})?[\"']?\s{0,4}(?:[:=]|=>|:=|(?P<said>\bis\b):?)\s{0,4}[\"'`]?(?P<value>[^\s\"'`<>(){},;]{6,})",
     re.ASCII | re.IGNORECASE,
 )
 
@@ -46,15 +51,40 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmno
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("@431!05$7", "aaeiiosst")
 SEGMENT_COST = math.log10(2)
-#: A repeat or walk that ends at some place starts with its run, or among the first or last NEAR places of it.
-NEAR = 24
-
-
-@cache
-def _tables() -> tuple[dict[str, int], int, set[str]]:
-    ranks = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-    pairs = {row[i : i + 2] for row in KEY_ROWS for i in range(len(row) - 1)}
-    return ranks, max(map(len, ranks)), pairs | {p[::-1] for p in pairs}
+#: Longest block whose repetition is a segment.
+BLOCK = 16
+#: Public vocabularies whose whole words are known words, most frequent first.
+VOCABULARIES = ("/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/piece_bpe_32k.model")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^@]*|(?:~|\.{0,2})/[^@]*")
+NEAR_PAIRS = {row[i : i + 2] for row in KEY_ROWS for i in range(len(row) - 1)}
+NEAR_PAIRS |= {p[::-1] for p in NEAR_PAIRS}
+
+
+@dataclass
+class Words:
+    """Known words by rank, and the greatest length of one."""
+
+    ranks: dict[str, int]
+    longest: int
+
+
+def known_words(vocabularies: tuple[str, ...] = VOCABULARIES) -> Words:
+    """The common passwords, then the whole words of three letters or more of each vocabulary, in its own order."""
+    words = list(COMMON)
+    for path in vocabularies:
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                tokens = json.load(f)["model"]["vocab"]
+            found = (t.removesuffix("</w>") for t in sorted(tokens, key=tokens.get) if t.endswith("</w>"))
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            names = map(model.id_to_piece, range(model.get_piece_size()))
+            found = (t[1:].lower() for t in names if t.startswith("\u2581"))
+        words += [w for w in found if len(w) >= 3 and w.isalpha()]
+    ranks = {w: i + 1 for i, w in enumerate(dict.fromkeys(words))}
+    return Words(ranks, max(map(len, ranks)))
 
 
 def _char_cost(c: str) -> float:
@@ -65,16 +95,15 @@ def _char_cost(c: str) -> float:
     return math.log10(33) if ord(c) < 128 else 2.0
 
 
-def _starts(first: int, last: int):
-    """Places from ``first`` to ``last`` (exclusive) where a segment of a run may start: all of them in a short run."""
-    if last - first <= 2 * NEAR:
-        return range(first, last)
-    return chain(range(first, first + NEAR), range(last - NEAR, last))
-
+def guess_cost(value: str, words: Words) -> float:
+    """log10 of the guesses for the cheapest segmentation of ``value``; 0 for an empty one.
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``; 0 for an empty one."""
-    ranks, longest, near = _tables()
+    A repeat or walk that ends at some place may start anywhere in its run, but the cheapest one starts at the run's first place or no more
+    than ``reach`` after it: only a segment that straddles the run's beginning can make a later start cheaper than the first, and
+    words, dates and repeated blocks end at most that far inside; a segment that lies in the run costs more than the factor by which it
+    shortens what follows.  So long runs take linear time.
+    """
+    ranks, reach = words.ranks, max(words.longest, BLOCK)
     low, n = value.lower(), len(value)
     if len(low) != n:
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
@@ -82,7 +111,7 @@ def guess_cost(value: str) -> float:
     best = [0.0] + [math.inf] * n
     brute = [math.inf] * (n + 1)  # cheapest way in which the last segment is a brute-force span
     alike = walk = 1  # lengths of the repeat and of the keyboard walk that end here
-    same = [0] * 17  # for each distance, how many characters in a row equal the one that far before
+    same = [0] * (BLOCK + 1)  # for each distance, how many characters in a row equal the one that far before
     ends = {}  # dates by end
     for i in range(n):
         if low[i].isdigit():
@@ -94,21 +123,19 @@ def guess_cost(value: str) -> float:
         brute[j] = min(brute[j - 1], best[j - 1] + SEGMENT_COST) + step
         found = brute[j]
         alike = alike + 1 if j > 1 and low[j - 1] == low[j - 2] else 1
-        if alike >= 3:
-            for start in _starts(j - alike, j - 2):
-                found = min(found, best[start] + step + math.log10(j - start) + SEGMENT_COST)
-        walk = walk + 1 if j > 1 and low[j - 2 : j] in near else 1
-        if walk >= 3:
-            for start in _starts(j - walk, j - 2):
-                found = min(found, best[start] + math.log10(47 * (j - start)) + SEGMENT_COST)
-        for i in range(max(0, j - longest), j - 1):
+        for start in range(j - alike, min(j - 2, j - alike + reach + 1)):
+            found = min(found, best[start] + step + math.log10(j - start) + SEGMENT_COST)
+        walk = walk + 1 if j > 1 and low[j - 2 : j] in NEAR_PAIRS else 1
+        for start in range(j - walk, min(j - 2, j - walk + reach + 1)):
+            found = min(found, best[start] + math.log10(47 * (j - start)) + SEGMENT_COST)
+        for i in range(max(0, j - words.longest), j - 1):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 varied = low[i:j] not in ranks or value[i:j] != low[i:j]
                 found = min(found, best[i] + math.log10(rank + 1) + varied * math.log10(4) + SEGMENT_COST)
         for start in ends.get(j, ()):
             found = min(found, best[start] + math.log10(200 if j - start == 4 else 73000) + SEGMENT_COST)
-        for size in range(2, min(16, j - 1) + 1):  # blocks repeated twice or more
+        for size in range(2, min(BLOCK, j - 1) + 1):  # blocks repeated twice or more
             same[size] = same[size] + 1 if low[j - 1] == low[j - 1 - size] else 0
             if same[size] >= size:
                 times = same[size] // size + 1
@@ -118,6 +145,13 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def value_cost(value: str, words: Words) -> float:
+    """``guess_cost``; of an address or path without a password in it, that of its costliest part."""
+    if ADDRESS.fullmatch(value):
+        return max((guess_cost(part, words) for part in re.split(r"[/?&=#]+", value)), default=0.0)
+    return guess_cost(value, words)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, start of the value), ordered by start, then by kind as listed."""
     spans = []
@@ -130,14 +164,14 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return [(a, b, ("assign", "access", "hex")[k], v) for a, b, k, v in sorted(spans, key=lambda s: (s[0], s[2]))]
 
 
-def added_spans(text: str, base: list[tuple[int, int, str, int]], min_guesses: float) -> list[tuple[int, int, str, int]]:
+def added_spans(text: str, base: list[tuple[int, int, str, int]], min_guesses: float, words: Words) -> list[tuple[int, int, str, int]]:
     low = text.lower()
-    if not any(w in low for w in CONTEXT_WORDS) and "credentials" not in low:
+    if not any(w in low for w in CONTEXT_WORDS):
         return []
     found, passed = [], 0
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        b -= len(m[1]) - len(m[1].rstrip(".,:!?"))
+        a, b = m.span("value")
+        b -= len(m["value"]) - len(m["value"].rstrip(".,:!?"))
         while passed < len(base) and base[passed][1] <= a:
             passed += 1
         at = a
@@ -145,7 +179,8 @@ def added_spans(text: str, base: list[tuple[int, int, str, int]], min_guesses: f
             if s > at:
                 break
             at = max(at, e)
-        if at < b and b - a >= 6 and guess_cost(text[a:b]) >= min_guesses:
+        prose = m["said"] and text[a:b].isalpha()
+        if at < b and b - a >= 6 and not prose and value_cost(text[a:b], words) >= min_guesses:
             found.append((a, b, "guess", a))
     return found
 
@@ -153,9 +188,9 @@ def added_spans(text: str, base: list[tuple[int, int, str, int]], min_guesses: f
 _ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 
 
-def scan(text: str, min_guesses: float) -> tuple[list, list]:
+def scan(text: str, min_guesses: float, words: Words) -> tuple[list, list]:
     base = base_spans(text)
-    more = added_spans(text, base, min_guesses)
+    more = added_spans(text, base, min_guesses, words)
     return base, sorted(base + more, key=lambda s: (s[0], _ORDER[s[2]])) if more else base
 
 
@@ -173,14 +208,15 @@ def redact(text: str, spans: list, mark: str) -> str:
     return "".join(out) + text[last:]
 
 
-def scan_secrets(docs: DataFrame, keep: list[str], min_guesses: float = 10.0, mark: str = "") -> DataFrame:
+def scan_secrets(docs: DataFrame, keep: list[str], min_guesses: float = 10.0, mark: str = "", vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
     """``docs[keep]`` with n_assign, n_access, n_hex, base_sha256 and spans; with a ``mark`` also
     ``redacted``, the text with secrets replaced by it."""
+    words = known_words(vocabularies)  # some ten thousand words, sent with the function
 
     def make():
         def work(step: pa.RecordBatch) -> list[pa.Array]:
             texts = strings(step)
-            found = [scan(t, min_guesses) for t in texts]
+            found = [scan(t, min_guesses, words) for t in texts]
             counts = [[sum(s[2] == kind for s in base) for base, _ in found] for kind in ("assign", "access", "hex")]
             columns = [pa.array(c, pa.int64()) for c in counts]
             columns.append(pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string()))
