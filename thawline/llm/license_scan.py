@@ -7,7 +7,11 @@ identifier.  The identifiers, in order, are matched against licence rules, most
 sequence of identifiers, and what it matches is used up.  Up to ``gap`` unknown sentences may stand
 between two sentences of one rule.  Identifiers that no rule uses are reported as they are.
 
-Defined results: null and empty texts hold no licence.
+Besides the sentences of whole licences there is, for every licence of a list, a set of short sentences that name it ("licensed under
+...", "SPDX-License-Identifier: ..."), made from templates.
+
+Defined results: null and empty texts hold no licence.  Texts of any length are scanned whole.  Repeated rows are scanned each on its
+own; columns of ``docs`` beyond ``keep`` and text are ignored, and a column to keep that bears the name of a result is refused.
 """
 
 from __future__ import annotations
@@ -98,8 +102,27 @@ RULES = [
     ("Proprietary", ("ALL_RIGHTS",)),
 ]
 
-#: One of these stands in every known sentence.
-SIGNS = ("licen", "copyright", "rights", "permission", "warrant", "liable", "redistribut", "unencumbered", "proprietary", "prohibited", "endorse", "free software", "gnu", "cc0")
+# Licence identifiers and the names they go by.
+NAMED = {
+    "0BSD": ["Zero-Clause BSD"], "AFL-3.0": ["Academic Free License 3.0"], "AGPL-3.0": ["GNU Affero General Public License v3.0", "AGPLv3"], "AGPL-3.0-only": [], "AGPL-3.0-or-later": [],
+    "Apache-1.1": ["Apache License 1.1"], "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0"], "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License", "Modified BSD License"],
+    "BSD-4-Clause": ["BSD 4-Clause License", "Original BSD License"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "CC-BY-3.0": ["CC BY 3.0"], "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-NC-4.0": ["CC BY-NC 4.0"], "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0"], "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0"], "CC-BY-ND-4.0": ["CC BY-ND 4.0"],
+    "CC-BY-SA-3.0": ["CC BY-SA 3.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal"], "CDDL-1.0": ["Common Development and Distribution License 1.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0"], "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0"], "EUPL-1.2": ["European Union Public License 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"], "GPL-2.0": ["GNU General Public License v2.0", "GPLv2"], "GPL-2.0-only": [], "GPL-2.0-or-later": ["GPLv2+"],
+    "GPL-3.0": ["GNU General Public License v3.0", "GPLv3"], "GPL-3.0-only": [], "GPL-3.0-or-later": ["GPLv3+"], "ISC": ["ISC License"], "LGPL-2.1": ["GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "LGPL-2.1-only": [], "LGPL-2.1-or-later": [], "LGPL-3.0": ["GNU Lesser General Public License v3.0", "LGPLv3"], "LGPL-3.0-only": [], "LGPL-3.0-or-later": [],
+    "MIT": ["MIT License", "Expat License"], "MIT-0": ["MIT No Attribution"], "MPL-1.1": ["Mozilla Public License 1.1"], "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"],
+    "MS-PL": ["Microsoft Public License"], "ODbL-1.0": ["Open Database License 1.0"], "OFL-1.1": ["SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"], "PostgreSQL": ["PostgreSQL License"],
+    "PSF-2.0": ["Python Software Foundation License Version 2"], "Unlicense": ["The Unlicense"], "WTFPL": ["Do What The F*ck You Want To Public License"], "Zlib": ["zlib License"],
+}
+#: Sentences that name a licence, {} its name.
+TEMPLATES = (
+    "licensed under {}", "licensed under the {}", "released under the {}", "distributed under the {}", "published under the {}", "available under the {}", "this project is licensed under the {}",
+    "this work is licensed under {}", "this work is licensed under the {}", "this software is licensed under the {}", "this file is licensed under the {}", "license {}", "license: {} license",
+)
 LINE = re.compile(r"\r\n|[\n\r]")
 CUT = re.compile(r"(?<=[.!?;:])\s+")
 #: Comment marks made of letters; all others fall away with the signs.
@@ -125,8 +148,37 @@ def pieces(text: str) -> list[tuple[str, bool]]:
     return out
 
 
+def naming_sentences(names: dict[str, list[str]] = NAMED) -> dict[str, str]:
+    """Normalised sentence -> licence, for every licence's own identifier, its names, and the templates."""
+    out: dict[str, str] = {}
+    for licence, also in names.items():
+        out.setdefault(fold(f"SPDX-License-Identifier: {licence}"), licence)
+        for name in [licence, *also]:
+            for template in TEMPLATES:
+                out.setdefault(fold(template.format(name)), licence)
+    return out
+
+
+def library() -> tuple[dict[str, list[str]], list]:
+    """All sentences and rules: those of whole licences first, then one identifier and rule for each licence that is only named.  What a
+    whole licence's own sentences say already stays theirs."""
+    sentences, rules = dict(SENTENCES), list(RULES)
+    known = {s for some in SENTENCES.values() for s in some}
+    for sentence, licence in naming_sentences().items():
+        if sentence not in known:
+            sentences.setdefault(f"NAMED {licence}", []).append(sentence)
+    rules += [(name.removeprefix("NAMED "), (name,)) for name in sentences if name.startswith("NAMED ")]
+    return sentences, rules
+
+
 class Rules:
-    def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: list = RULES, gap: int = 2) -> None:
+    def __init__(self, sentences: dict[str, list[str]] | None = None, rules: list | None = None, gap: int = 2) -> None:
+        if sentences is None or rules is None:
+            own_sentences, own_rules = library()
+            sentences, rules = sentences or own_sentences, rules or own_rules
+        # the longest fixed word of each sentence: a text that holds none of them holds no sentence
+        longest = {max((w for w in s.split() if w != "{x}"), key=len) for some in sentences.values() for s in some}
+        self.signs = re.compile("|".join(sorted(w for w in longest if not any(v != w and v in w for v in longest))))
         self.exact = {s: name for name, some in sentences.items() for s in some if "{x}" not in s}
         self.begun = {s[:i] for s in self.exact for i in range(1, len(s) + 1) if s[i : i + 1] in ("", " ")}
         self.open = [(name, *(part.strip() for part in s.split("{x}"))) for name, some in sentences.items() for s in some if "{x}" in s]
@@ -177,8 +229,7 @@ class Rules:
 
     def identify(self, text: str) -> list[tuple[int, str]]:
         """(sentence number, identifier) of the known sentences."""
-        low = text.lower()
-        if not any(s in low for s in SIGNS):
+        if not self.signs.search(text.lower()):
             return []
         parts = pieces(text)
         found, number, within, i = [], 0, False, 0
