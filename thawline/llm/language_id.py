@@ -5,11 +5,13 @@ knows is scored by the mean over its character n-grams of the greatest length of
 any is known.  What a language lacks costs a penalty.  A text's score is the mean over its words.
 
 The tables are learned from a bounded sample: about ``per_language`` documents of each language, picked
-by a hash of doc_id, for at most ``max_languages`` languages (most frequent first); each keeps at most
-``max_entries`` words and as many n-grams of each length.  Every text is then scored whole.
+by a hash of doc_id, whatever the number of languages.  A word or n-gram enters a language's table if it was seen there at
+least ``least`` times; rarer words are left to their n-grams, as unseen ones are.  Every text is then scored whole.
 
 Defined results: null texts and texts without letters are ``und`` with score 0, and so is every text where
-nothing could be learned.  Ties go to the language name that sorts first.
+nothing could be learned, among them all texts where ``docs`` is empty or no row has a language.  Ties go to the language name that sorts
+first.  Rows with a null doc_id may teach (they are drawn alike) and are predicted like any other; repeated rows are predicted each on its own.
+Columns beyond those to keep and the text are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, steps, strings
@@ -79,18 +81,17 @@ class Model:
         return [self.penalty] * len(self.languages)
 
 
-def learn(docs: DataFrame, per_language: int = 400, max_languages: int = 100, max_entries: int = 20_000) -> Model:
+def learn(docs: DataFrame, per_language: int = 400, least: int = 2) -> Model:
     """From docs (doc_id, text, lang); rows without a language teach nothing."""
     docs = docs.where("lang is not null").select("doc_id", "text", "lang")
-    shares = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    shares = docs.groupBy("lang").count().collect()
     if not shares:
         return Model([], [])
     cut = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in shares], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.join(F.broadcast(cut), "lang").where(draw < F.col("share")).select("lang", "text")
     counted = sample.mapInArrow(_counts, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token"))
-    kept = counted.withColumn("rank", rank).where(F.col("rank") <= max_entries).select("lang", "size", "token", "n").toArrow()
+    kept = counted.where(F.col("n") >= least).select("lang", "size", "token", "n").toArrow()
     rows = list(zip(*(kept.column(c).to_pylist() for c in ("lang", "size", "token", "n"))))
     return Model([r["lang"] for r in shares], rows)
 
