@@ -2,18 +2,20 @@
 
 Voters are words and word pairs of a lexicon, a few patterns (shouting, exclamation marks, masked words), and word
 beginnings that stand in toxic rows of the sample far more often than in its other rows, which covers languages the lexicon
-does not know.  Such a beginning must come from several texts that aren't copies of one another.  The
-label model takes each voter, and the given label, as a noisy sign of a hidden class and
-estimates the voters' rates by expectation maximisation at the prior that the given labels show; what pairs of voters
-share beyond the hidden class (their correlation within the classes) lowers their weight.  A voter that doesn't vote
-abstains, which says nothing: most texts are in a language that most voters don't know.  A
+does not know; every beginning that passes the thresholds votes.  Such a beginning must come from several texts that aren't copies of one
+another.  The label model takes how many voters speak up, which ones do, and the given label as noisy signs of a
+hidden class, and estimates all their rates by expectation maximisation at the prior that the given labels show.  Silence thus says as much
+as the counts of votes in either class tell, and no more: most texts are in a language that most voters don't know.  What pairs of
+voters share beyond the hidden class (their correlation within the classes) lowers the weight of which ones they are.  A
 logistic regression on voters and hashed words is then trained on the model's posterior labels.
 
 The fit uses at most ``max_rows`` labelled rows, taken in hash order of doc_id (a documented bound);
 scores are given to every row and whole texts.  Training data of other rows never enters.
 
 Defined results: null texts count as empty and get the score of a text without any feature.  Rows
-without doc_id are scored and count as not held out.  Without labelled rows of both classes the lexicon alone decides.
+without doc_id are scored and count as not held out.  Without labelled rows of both classes, as where ``docs`` or labels are empty, the
+lexicon alone decides.  Repeated rows, and rows of one doc_id, are scored each on its own; a doc_id labelled twice counts as toxic if any of its
+labels says so.  A score of exactly 0.5 is predicted 1.  Columns beyond those to keep and the text are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +41,16 @@ estúpido estúpida idiota imbécil mierda puta cabrón gilipollas pendejo asque
 PAIRS = ["shut up", "go die", "drop dead", "kill yourself", "you people", "hate you", "so stupid", "total idiot", "piece of", "fuck off", "screw you", "get lost"]
 PATTERNS = ("shouting", "exclaiming", "masked")
 SLOTS = 512
-#: How often a given label says toxic in the hidden class 1 and in class 0.  These two rates are assumed, not estimated: they
-#: hold the hidden class to what the labels mean, while all voters' rates are estimated against it.
-TRUST = (0.95, 0.02)
-#: Beginnings that may become voters: their lengths in bytes, the parts (of 16, by a sketch that copies share) of the toxic
-#: rows that must hold one, the least ratio of its rates in toxic and in other rows, and the most that are taken.
-LENGTHS, PARTS, RATIO, MOST = range(4, 11), 5, 40.0, 256
+#: How often a given label is expected to say toxic in the hidden class 1 and in class 0, and with how many rows' weight, as a share of
+#: the sample: the rates are estimated, but start from here, which holds the hidden class to what the labels mean.
+TRUST, STRENGTH = (0.95, 0.03), 0.25
+#: Turns in which the label's rates stay as expected, while the voters find theirs: else the hidden class could start out as the label itself.
+SETTLED = 20
+#: Numbers of votes that are told apart; more count as this many.
+VOTES = 8
+#: Beginnings that become voters: their lengths in bytes, the parts (of 16, by a sketch that copies share) of the toxic
+#: rows that must hold one, and the least ratio of its rates in toxic and in other rows.
+LENGTHS, PARTS, RATIO = range(4, 11), 5, 40.0
 
 
 @dataclass
@@ -125,26 +131,38 @@ class Features:
         return votes, row, (hashes % np.uint64(SLOTS)).astype(np.int64)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior probability of the hidden class 1 for each row, from voters and the given noisy labels."""
-    v = np.column_stack([votes, given]).astype(np.float64)
-    q = np.clip(given.astype(np.float64), 0.05, 0.95)
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Posterior probability of the hidden class 1 for each row, from voters and the given noisy labels.
+
+    In each class a row draws its number of votes (up to VOTES), then the voters, each by its share of the class's votes, then its label.
+    All of these are estimated with the class of the rows itself, in turns.
+    """
+    v, given = votes.astype(np.float64), given.astype(np.float64)
+    said = v.sum(axis=1)
+    count = np.minimum(said, VOTES).astype(np.int64)
+    q = np.clip(given, 0.05, 0.95)
     prior = np.clip(given.mean(), 1e-3, 1 - 1e-3)
-    for _ in range(rounds):
-        hit = (v.T @ q + 0.1) / (q.sum() + 1.0)
-        false = (v.T @ (1 - q) + 0.1) / ((1 - q).sum() + 10.0)
-        hit[-1], false[-1] = TRUST
-        # correlation within the classes: what is left of each vote after its class rate
-        rest = v - np.outer(q, hit) - np.outer(1 - q, false)
+    trusted = STRENGTH * len(v)
+    for turn in range(rounds):
+        ones, zeros = q.sum(), (1 - q).sum()
+        # how many votes
+        many = [np.bincount(count, w, VOTES + 1) + 0.5 for w in (q, 1 - q)]
+        many = np.log(many[0] / many[0].sum()) - np.log(many[1] / many[1].sum())
+        # which voters, given that they vote
+        hit, false = v.T @ q + 0.5, v.T @ (1 - q) + 0.5
+        rate = (v.T @ q + 0.1) / (ones + 1.0), (v.T @ (1 - q) + 0.1) / (zeros + 1.0)
+        rest = v - np.outer(q, rate[0]) - np.outer(1 - q, rate[1])
         scale = np.sqrt((rest * rest).mean(axis=0)) + 1e-3
-        shared = np.clip((rest.T @ rest) / len(v) / np.outer(scale, scale), 0, 1)
+        shared = np.clip((rest.T @ rest) / max(len(v), 1) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(shared, 0)
         weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
-        gain = weight * np.log(hit / false)
-        denied = weight[-1] * np.log((1 - hit[-1]) / (1 - false[-1]))  # the given label never abstains
-        logit = np.log(prior / (1 - prior)) + v @ gain + (1 - v[:, -1]) * denied
+        gain = weight * (np.log(hit / hit.sum()) - np.log(false / false.sum()))
+        # the given label, which never abstains
+        yes, no = TRUST if turn < SETTLED else ((given @ q + trusted * TRUST[0]) / (ones + trusted), (given @ (1 - q) + trusted * TRUST[1]) / (zeros + trusted))
+        label = np.where(given > 0, np.log(yes / no), np.log((1 - yes) / (1 - no)))
+        logit = np.log(prior / (1 - prior)) + many[count] + v @ gain + label
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
+        if turn > SETTLED and np.abs(new - q).max() < 1e-6:
             break
         q = new
     return q
@@ -226,7 +244,7 @@ def learn_beginnings(rows: DataFrame) -> np.ndarray:
             kept.append(i)
             before = ratio[i]
         best[h] = before
-    return wanted[sorted(kept, key=lambda i: -hits[i])[:MOST]]
+    return wanted[sorted(kept, key=lambda i: -hits[i])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
