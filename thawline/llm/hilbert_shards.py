@@ -1,15 +1,19 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Metadata dimensions are quantised to ``bits`` bits each: the logarithm of the size, the language, the source
-and the doc_id.  The position of the resulting cell on the Hilbert curve orders the rows (ties by doc_id, then by
-the text's checksum), and runs of that order are cut into shards whose counts differ by at most one (law ``rows``).
-Neighbouring cells are near each other in every dimension, so the files of a shard have narrow
-value ranges in all of them, and readers skip files by any.
-
-The order is made by a range partitioning, so no task sees all rows: each partition numbers its own
-rows and adds the count of those before it.
-
-Defined results: a null value has the cell 0 of its dimension; a null text has size 1 and checksum 0.
+Metadata dimensions are quantised to ``bits`` bits each: the size on a logarithmic scale, the language, the source
+and the doc_id.  Every quantisation keeps the order of the values - strings go by their first six bytes; a histogram of BUCKETS even steps
+between the least and the greatest value tells how many rows stand before each step, and cells hold even counts as far as steps allow - so a cell is a range in every dimension.  The position of a row's cell on the Hilbert
+curve orders the rows (ties by doc_id, then by the text's checksum and size), and runs of that order are cut into shards whose counts
+differ by at most one (law ``rows``).  Neighbouring cells are near each other in every dimension, so the files of a shard have
+narrow value ranges in all of them, and readers skip files by any (``pruned`` measures it).
+
+The order is made by a range partitioning over slim rows that are written first, so a text is read once and no task sees
+all rows: each partition numbers its own rows and adds the count of those before it.
+
+Defined results: a null value has the cell 0 of its dimension and stands first; a null text has size 1 and checksum 0.  Repeated rows
+each get a place.  Equal texts have one size and checksum, but the law is about rows: copies with other doc_ids, languages or sources
+lie where their own cells do, so a group of copies of any size fills no shard.  Columns of ``docs`` beyond those named are ignored, or carried along
+by ``keep``.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import stash
 
 
+#: Steps of the histograms that cells are cut by.
+BUCKETS = 4096
+
+
 def gray_tables(dims: int) -> tuple[list[int], list[int], list[int]]:
     """Per corner number w of a cell: its position in the inverse Gray order, and the entry corner and
     direction of the sub-curve there."""
@@ -62,56 +70,72 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*(F.lit(i) for i in range(bits - 1, -1, -1))), start, step, lambda s: s["h"])
 
 
-def _cell(column: Column, bits: int) -> Column:
-    return F.coalesce(column.cast("long"), F.lit(0)).cast("long")
+def _leading(c: str) -> Column:
+    """The first six bytes of a string as a number, in the order of the strings."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c).cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+
 
+def _magnitude(c: str, top: int) -> Column:
+    """Eight steps to each doubling, from the leading bits of a positive number."""
+    exponent = F.length(F.bin(c)) - 1
+    return F.least(exponent * 8 + F.call_function("shiftright", F.col(c) * 8, exponent).bitwiseAND(F.lit(7).cast("long")), F.lit(top)).cast("long")
 
-def shard_rows(docs: DataFrame, shards: int = 16, bits: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs`` (doc_id, text, lang, source)."""
+
+def shard_rows(docs: DataFrame, shards: int = 16, bits: int = 8, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs`` (doc_id, text, lang, source); with ``keep`` also ``row``, those
+    columns of it as a struct."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    ids = docs.agg(F.min(F.col("doc_id").cast("long")).alias("a"), F.max(F.col("doc_id").cast("long")).alias("z")).first()
-    low, span = ids["a"] or 0, max(1, (ids["z"] or 0) - (ids["a"] or 0) + 1)
-    top = (1 << bits) - 1
-    hashed = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(1 << bits))
+    cells, carried = 1 << bits, [F.struct(*keep).alias("row")] if keep else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        _cell(hashed("lang"), bits).alias("lang_cell"),
-        _cell(hashed("source"), bits).alias("source_cell"),
+    slim = stash(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+            _leading("lang").alias("x_lang"), _leading("source").alias("x_source"), F.col("doc_id").cast("long").alias("x_doc"), *carried,
+        )
     )
-    cells = [
-        _cell(F.least(F.floor(F.log2("size") * 8), F.lit(top)), bits),
-        F.col("lang_cell"),
-        F.col("source_cell"),
-        _cell(F.floor((F.col("doc_id") - low) / F.lit(float(span)) * (1 << bits)), bits),
-    ]
+    ends = slim.agg(*(f(c).alias(f"{n}_{c}") for c in ("x_lang", "x_source", "x_doc") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+
+    celled = slim
+    for c in ("x_lang", "x_source", "x_doc"):
+        low, high = ends[f"lo_{c}"] or 0, ends[f"hi_{c}"] or 0
+        celled = celled.withColumn(c, F.expr(f"({c} - {low}L) div {max(1, (high - low + BUCKETS) // BUCKETS)}L"))
+    for c in ("x_lang", "x_source", "x_doc"):
+        steps = celled.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))  # at most BUCKETS rows
+        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        steps = steps.select(c, (before * cells).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+        celled = celled.join(F.broadcast(steps.select(c, F.expr("before div all").alias(f"c_{c}"))), c, "left")
+    cell = lambda c: F.coalesce(f"c_{c}", F.lit(0)).cast("long")
+
+    at = hilbert_index([_magnitude("size", cells - 1), cell("x_lang"), cell("x_source"), cell("x_doc")], bits)
     order = ["h", "doc_id", "text_crc32", "size"]
-    ranged = rows.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("h")).repartitionByRange(*order)
+    row = ["row"] if keep else []
+    ranged = celled.select("doc_id", "size", "text_crc32", at.alias("h"), *row).repartitionByRange(*order)
     ranged = stash(ranged.withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     total = counts.agg(F.sum("n").alias("total"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    ranked = ranged.withColumn("at", at).join(F.broadcast(before), "part").join(F.broadcast(total), F.lit(True))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    ranked = ranged.withColumn("at", inside).join(F.broadcast(before), "part").join(F.broadcast(total), F.lit(True))
     rank = (F.col("before") + F.col("at")).alias("rank")
-    placed = ranked.select("doc_id", "size", "text_crc32", "total", rank).withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
+    placed = ranked.select("doc_id", "size", "text_crc32", "total", rank, *row).withColumn("shard", F.expr(f"cast((rank * {shards}) div total as int)"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        (F.col("rank") - first).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    slot, grown = (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot, grown, *row)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, bits: int = 8) -> None:
+    """One folder a shard under ``path``, the whole rows of ``docs`` in it in slot order; the rows travel with their places, so repeated rows and null
+    ids are written as they are."""
+    placed = shard_rows(docs, shards, bits, docs.columns)
+    ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    folder = "shard" if "shard" not in docs.columns else "shard_folder"
+    ordered.select(F.col("shard").alias(folder), "row.*").write.partitionBy(folder).option("compression", "zstd").parquet(path)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """One folder a shard under ``path``, rows in slot order, the whole rows of ``docs`` in it."""
-    with_shard = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    with_shard.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def pruned(placed: DataFrame, condition: str, columns: list[str]) -> DataFrame:
+    """One row: shards, and those that a reader must open for the rows where ``condition`` holds, going by the ranges of the ``columns`` in each
+    shard.  ``condition`` is about lo_<column> and hi_<column>, ``placed`` rows have shard and row."""
+    ranges = placed.groupBy("shard").agg(*(f(f"row.{c}").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    return ranges.agg(F.count("*").alias("shards"), F.count_if(F.expr(condition)).alias("opened"))

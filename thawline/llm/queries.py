@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,7 +111,7 @@ _OP5_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-t AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p:p + 3], ' ')) AS h
+t AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS h
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
 links AS (SELECT a, b FROM (
@@ -121,7 +122,41 @@ SELECT d.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.com
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
+#: CRC-32 of each byte, by its rule.
+_CRC = [functools.reduce(lambda c, _: (c >> 1) ^ (0xEDB88320 if c & 1 else 0), range(8), i) for i in range(256)]
+
+
+def _op7_sql(shards: int = 16, bits: int = 8) -> str:
+    """Cells by the same integer rules, then one step down the curve a level, then one sort."""
+    from .hilbert_shards import gray_tables
+
+    rank, entry, turn = (f"({t}::BIGINT[])" for t in gray_tables(4))
+    left = lambda x, by: f"((({x}) << (({by}) % 4)) | (({x}) >> (4 - ({by}) % 4))) & 15"
+    leading = lambda c: f"CAST('0x' || rpad(hex(encode({c}))[1:12], 12, '0') AS BIGINT)"
+    step = lambda c: f"({c} - min({c}) OVER ()) // greatest(1, (max({c}) OVER () - min({c}) OVER () + 4096) // 4096)"
+    cell = lambda c: f"CASE WHEN {c} IS NULL THEN 0 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) - 1) * {1 << bits} // count({c}) OVER () END"
+    sql = f"""WITH k AS (SELECT {_CRC}::BIGINT[] AS t), b AS (SELECT doc_id, coalesce(text, '') AS text, {leading('lang')} AS xl, {leading('source')} AS xs FROM documents),
+r AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, xl, xs, coalesce(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+  lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295::BIGINT), 4294967295), 0) AS text_crc32 FROM b, k),
+g AS (SELECT doc_id, size, text_crc32, {step('xl')} AS bl, {step('xs')} AS bs, {step('doc_id')} AS bd FROM r),
+s0 AS (SELECT doc_id, size, text_crc32, least((length(bin(size)) - 1) * 8 + (((size * 8) >> (length(bin(size)) - 1)) & 7), 255)::BIGINT AS c0, {cell('bl')}::BIGINT AS c1, {cell('bs')}::BIGINT AS c2, {cell('bd')}::BIGINT AS c3, 0::BIGINT AS h, 0::BIGINT AS e, 0::BIGINT AS d FROM g)"""
+    for level in range(bits - 1, -1, -1):
+        at = bits - 1 - level
+        corner = " | ".join(f"(((c{i} >> {level}) & 1) << {i})" for i in range(4))
+        sql += f""",
+w{at} AS (SELECT *, {rank}[1 + ({left(f"xor({corner}, e)", "4 - (d + 1) % 4")})] AS w FROM s{at}),
+s{at + 1} AS (SELECT doc_id, size, text_crc32, c0, c1, c2, c3, h * 16 + w AS h, xor(e, {left(f"{entry}[1 + w]", "d + 1")}) AS e, (d + {turn}[1 + w] + 1) % 4 AS d FROM w{at})"""
+    return (
+        sql
+        + f""",
+n AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS p, count(*) OVER () AS total FROM s{bits}),
+z AS (SELECT *, p * {shards} // total AS shard FROM n)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (p - (shard * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INT AS grown_shard FROM z"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": _OP2_SQL,
     "op5_ngram_jaccard_join": _OP5_SQL,
+    "op7_hilbert_sharding": _op7_sql(),
 }
