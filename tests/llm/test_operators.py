@@ -199,7 +199,7 @@ def test_nearest_repeated_ids(spark, block):
     rows = [(i, near(0.2)) for i in range(60)] + [(777, near(0.001)) for _ in range(40)] + [(778, [1.0] * 16)] * 9
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.search(df, "vec_id % 50 = 0", k=5, block=block).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, "vec_id % 50 = 0", k=5, block=block, hashes=1, probes=8).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     best = {}
     for i, v in rows:
@@ -702,3 +702,26 @@ def test_substring_levels(spark, texts, window, base):
     rows = [(i, t) for i, t in texts if i is not None and i != 70]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(frame(spark, rows), window, base=base).collect()}
     assert got == brute_removals(rows, window)
+
+
+def test_nearest_plan():
+    """Near copies are found in fine buckets, rows without near ones in coarse buckets with many probes."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(300, 32))
+    close = np.concatenate([centers + 0.02 * rng.normal(size=centers.shape) for _ in range(8)])
+    assert ann.plan(close, 5, 8, 7)[0] > 1
+    assert ann.plan(rng.normal(size=(2000, 32)), 5, 8, 7)[0] == 1
+
+
+def test_nearest_fine_buckets(spark):
+    """Settings of more than one hash, fitted or given, on rows that have near ones."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(60, 16))
+    rows = [(i, [float(x) for x in centers[i % 60] + 0.05 * rng.normal(size=16)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = cosine_top(rows, 5)
+    for settings in ({}, {"hashes": 2, "probes": 32}):
+        got = {}
+        for r in ann.search(df, "vec_id % 50 = 0", k=5, block=64, **settings).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)

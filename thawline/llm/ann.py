@@ -7,8 +7,10 @@ the signed axis it lies nearest to.  A query looks into the buckets of its ``pro
 Rows and queries meet in blocks (table, bucket, row salt, query salt): a bucket with more rows
 or queries than ``block`` is cut, so a vector that a third of all rows share makes more blocks, not a
 longer one.  Each block returns at most k rows a query.  Queries that met fewer than k candidates are ranked
-against all rows in blocks.  ``hashes`` > 1 takes that many axes together: finer buckets for larger tables,
-for a lower recall at the same number of probes.
+against all rows in blocks.  ``hashes`` > 1 takes that many axes together: finer buckets, which hold a smaller share of the rows but need
+more probes.  Where they aren't given, both numbers are fitted (``plan``) on a bounded sample: of the settings that find the true neighbours
+within the sample often enough, the one whose buckets hold the smallest share of the rows.  The sample is thinner than the table, so its
+neighbours lie farther and are harder to find.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, or whose id is null, take no
 part.  Vectors of different length never meet.  A query meets no row of its own id.  Fewer than k
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-VECTOR = "vec_id long, v binary"
+#: Buckets whose sizes are broadcast; more are joined.
+FEW = 200_000
 
 
 def vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -145,7 +148,7 @@ def _ranked(k: int):
 def _meet(data: DataFrame, queries: DataFrame, sizes: DataFrame, block: int, k: int) -> DataFrame:
     """Blocks of (t, b, d): rows cut by row salt and sent to each query salt, and the other way about."""
     cuts = sizes.select("t", "b", "d", F.ceil(F.col("n") / block).cast("int").alias("row_cuts"), F.ceil(F.col("q") / block).cast("int").alias("query_cuts"))
-    cuts = F.broadcast(cuts)  # at most tables * buckets rows, and those with queries only
+    cuts = F.broadcast(cuts) if sizes.count() <= FEW else cuts  # at most tables * buckets rows, and those with queries only
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     salt = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
     keys = ["t", "b", "d"]
@@ -159,10 +162,52 @@ def _sizes(data: DataFrame, queries: DataFrame) -> DataFrame:
     return data.groupBy(*keys).agg(F.count("*").alias("n")).join(queries.groupBy(*keys).agg(F.count("*").alias("q")), keys)
 
 
-def search(rows: DataFrame, is_query, k: int = 5, tables: int = 8, probes: int = 8, hashes: int = 1, block: int = 4096, seed: int = 7) -> DataFrame:
+def plan(x: np.ndarray, k: int, tables: int, seed: int, target: float = 0.95, asked: int = 128) -> tuple[int, int]:
+    """(hashes, probes) of the least work that finds ``target`` of the k nearest rows of the first ``asked`` rows of the sample ``x`` within it; the finest
+    probing of single hashes where none does."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit[:asked] @ unit.T
+    score[np.arange(len(score)), np.arange(len(score))] = -np.inf
+    near = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    best, width = None, 2 << max(0, (x.shape[1] - 1).bit_length())
+    for hashes, most in ((1, min(width, 64)), (2, 256), (3, 256)):
+        held = buckets(x, tables, hashes, 1, seed)[:, :, 0]
+        wanted = buckets(x[:asked], tables, hashes, most, seed)
+        place = np.full((len(score), len(x)), most)  # the first probe of any table that meets the row
+        for t in range(tables):
+            code, of = wanted[:, t], held[:, t]
+            names, at = np.unique(of, return_inverse=True)
+            first = np.full((len(score), len(names)), most)
+            to = np.minimum(np.searchsorted(names, code), len(names) - 1)
+            row, probe = np.nonzero(names[to] == code)
+            np.minimum.at(first, (row, to[row, probe]), probe)
+            place = np.minimum(place, first[:, at])
+        probes = 1
+        while probes <= most:
+            recall, share = (np.take_along_axis(place, near, 1) < probes).mean(), (place < probes).mean()
+            if recall >= target and (best is None or share < best[0]):
+                best = share, hashes, probes
+            probes *= 2
+    return best[1:] if best else (1, min(width, 64))
+
+
+def sample_of(rows: DataFrame, most: int, seed: int) -> np.ndarray:
+    """At most ``most`` valid vectors of the commonest length among the sampled rows, drawn by a hash of the id."""
+    n = max(1, rows.count())
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(min(1.0, 1.2 * most / n) * (1 << 20))
+    found = [v for v in vectors(rows.where(drawn).orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(most).toArrow().column("embedding").combine_chunks()) if v is not None]
+    widths = [len(v) for v in found]
+    common = max(set(widths), key=widths.count, default=0)
+    return np.array([v for v in found if len(v) == common])
+
+
+def search(rows: DataFrame, is_query, k: int = 5, tables: int = 8, probes: int | None = None, hashes: int | None = None, block: int = 4096, seed: int = 7, sample: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of ``rows`` (vec_id, embedding) for each row where the
-    column ``is_query`` holds."""
+    column ``is_query`` holds.  ``probes`` and ``hashes`` are fitted on at most ``sample`` rows unless both are given."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if probes is None or hashes is None:
+        x = sample_of(rows, sample, seed)
+        hashes, probes = plan(x, k, tables, seed) if len(x) > 1 else (1, 8)
     fields = "t int, b long, d int, vec_id long, v binary"
     asked = rows.where(is_query)
     data = rows.mapInArrow(_hashed(tables, hashes, 1, seed), fields)
@@ -184,5 +229,5 @@ def search(rows: DataFrame, is_query, k: int = 5, tables: int = 8, probes: int =
     if not short.limit(1).count():
         return first
     every = rows.mapInArrow(_hashed(1, 1, 1, seed), fields).select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("b"), "d", "vec_id", "v")
-    rest = top(_meet(every, short, _sizes(every, short), block, k))
+    rest = top(_meet(every, short, stash(_sizes(every, short)), block, k))
     return first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
