@@ -44,6 +44,17 @@ class Vocabulary:
     cuts: bool
 
 
+def merges(path: str) -> bool:
+    """Whether the file says of itself that it is a merge-based model: its trainer settings have the type 2 (1, a unigram model, where nothing
+    is said)."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type == proto.TrainerSpec.BPE
+
+
 def read_model(path: str = MODEL) -> Vocabulary:
     import sentencepiece
 
@@ -64,8 +75,7 @@ def read_model(path: str = MODEL) -> Vocabulary:
     if (byte_ids < 0).any():
         raise ValueError("the model has no byte pieces")
     own = np.array([model.get_score(i) for i in normal], np.float64)
-    ranked = bool(len(own)) and bool(np.all(own == np.round(own))) and own.min() < -1000
-    if ranked:
+    if merges(path):
         order = np.empty(len(own))
         order[np.argsort(-own, kind="stable")] = np.arange(len(own))
         own = -np.log(order + 1) - math.log((1 / np.arange(1, len(own) + 1)).sum())
