@@ -155,7 +155,7 @@ def neighbour_overlap(spark, sf):
     return ct.neighbour_overlap(ct.neighbours(rows, s.cold_ids, 10), ct.neighbours(titles, s.cold_ids, 10))
 
 
-@query("SELECT p_partkey AS item_id, e IS NULL AS missing, list_transform(coalesce(e, list_transform(range(64), lambda i: 0.0::DOUBLE)), lambda x: round(x, 6)) AS v FROM part LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 3 <> 0) ON vec_id = p_partkey".replace("list_transform(coalesce", "array_to_string(list_transform(coalesce").replace("round(x, 6)) AS v", "CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS v"))
+@query("SELECT p_partkey AS item_id, e IS NULL AS missing, array_to_string(list_transform(coalesce(e, list_transform(range(64), lambda i: 0.0::DOUBLE)), lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',') AS v FROM part LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 3 <> 0) ON vec_id = p_partkey")
 def aligned_vectors(spark, sf):
     """SRC-11: a third of the vectors lack, and items beyond their number"""
     stored = table(spark, sf, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
@@ -189,7 +189,8 @@ def parsed_answers(spark, sf):
 
 
 @query("""WITH t AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, text) AS h FROM conversations WHERE conv_id % 4 <> 0 GROUP BY 1), c AS (SELECT DISTINCT conv_id FROM conversations)
-SELECT conv_id, 'A reader liked these items:\n' || coalesce(array_to_string(list_transform(h[1:10], lambda x: '- ' || x), '\n'), '(no prior history)') || '\nWould the reader like this one?\n- item ' || conv_id::VARCHAR || '\nReply with yes or no.' AS prompt FROM c LEFT JOIN t USING (conv_id)""".replace("'\n'", "chr(10)").replace("items:\n'", "items:' || chr(10)").replace("'\nWould the reader like this one?\n- item '", "chr(10) || 'Would the reader like this one?' || chr(10) || '- item '").replace("'\nReply", "chr(10) || 'Reply"))
+SELECT conv_id, 'A reader liked these items:' || chr(10) || coalesce(array_to_string(list_transform(h[1:10], lambda x: '- ' || x), chr(10)), '(no prior history)') || chr(10)
+  || 'Would the reader like this one?' || chr(10) || '- item ' || conv_id::VARCHAR || chr(10) || 'Reply with yes or no.' AS prompt FROM c LEFT JOIN t USING (conv_id)""")
 def prompts(spark, sf):
     """FN-16: ten titles at most, and an empty history"""
     rows = table(spark, sf, "conversations")
@@ -201,8 +202,8 @@ def prompts(spark, sf):
 SECTIONED = "SELECT doc_id, trim(coalesce(text, '')[1:200]) AS a, trim(coalesce(text, '')[201:600]) AS b, trim(coalesce(text, '')[601:]) AS c FROM documents"
 
 
-@query(f"""SELECT doc_id, 'jacket_copy' AS section, md5(trim(CASE doc_id % 3 WHEN 0 THEN a || ' ' || 'Excerpt.. ' || c ELSE a END)) AS digest FROM ({SECTIONED}) WHERE doc_id % 3 = 0 OR a <> ''
-UNION ALL SELECT doc_id, 'author_bio', md5(trim('About the Author. ' || b)) FROM ({SECTIONED}) UNION ALL SELECT doc_id, 'editorial_review', md5(trim('Review. ' || c)) FROM ({SECTIONED}) WHERE doc_id % 3 <> 0""".replace("THEN a || ' ' || 'Excerpt.. ' || c", "THEN trim(a || ' Excerpt.. ' || c)"))
+@query(f"""SELECT doc_id, 'jacket_copy' AS section, md5(CASE doc_id % 3 WHEN 0 THEN trim(a || ' Excerpt.. ' || c) ELSE a END) AS digest FROM ({SECTIONED}) WHERE doc_id % 3 = 0 OR a <> ''
+UNION ALL SELECT doc_id, 'author_bio', md5(trim('About the Author. ' || b)) FROM ({SECTIONED}) UNION ALL SELECT doc_id, 'editorial_review', md5(trim('Review. ' || c)) FROM ({SECTIONED}) WHERE doc_id % 3 <> 0""")
 def section_groups(spark, sf):
     """FN-09: headings of three groups in each text; every part stays, under its group"""
     t = F.coalesce("text", F.lit(""))
@@ -260,7 +261,7 @@ def encoded_texts(spark, sf):
     return out.select("item_id", "slot", F.round("x", 6).alias("x"))
 
 
-@query("WITH tx AS (SELECT p_partkey AS id, p_name AS text FROM part WHERE p_partkey % 4 <> 0), " + _slots("text") + " SELECT p_partkey AS item_id, p_partkey % 4 = 0 AS missing, round(coalesce(norm, 0) * 0 + coalesce(s, 0), 6) AS moment, 'hashing64' AS encoder, 1::BIGINT AS n_writes FROM part LEFT JOIN (SELECT id, any_value(norm) AS norm, sum(x / norm * (slot + 1)) AS s FROM hs JOIN hn USING (id) GROUP BY 1) ON id = p_partkey")
+@query("WITH tx AS (SELECT p_partkey AS id, p_name AS text FROM part WHERE p_partkey % 4 <> 0), " + _slots("text") + " SELECT p_partkey AS item_id, p_partkey % 4 = 0 AS missing, round(coalesce(s, 0), 6) AS moment, 'hashing64' AS encoder, 1::BIGINT AS n_writes FROM part LEFT JOIN (SELECT id, sum(x / norm * (slot + 1)) AS s FROM hs JOIN hn USING (id) GROUP BY 1) ON id = p_partkey")
 def embedding_store(spark, sf):
     """SRC-13, SRC-11: written once with what made it, read back beside the item list"""
     text = items(spark, sf).where("item_id % 4 <> 0").select("item_id", F.col("p_name").alias("text"))
@@ -296,7 +297,7 @@ def section_vectors(spark, sf):
 SPACES_SQL = S + TERMS + """, sp AS (SELECT item_id, role, CASE role WHEN 'taxonomy' THEN 0.25 ELSE 1.0 END AS q FROM (SELECT DISTINCT item_id, role FROM terms JOIN space USING (role, term)) WHERE role <> 'title'),
 sq AS (SELECT item_id, sum(q) AS s FROM sp GROUP BY 1), m AS (SELECT unnest(['tfidf', 'chunked', 'pooled', 'sections']) AS mode)
 SELECT mode, count(*) AS n, round(sum(CASE WHEN t > 0 THEN dq / t ELSE 0 END), 3) AS dense_mass, max(width)::INT AS width, count(*) FILTER (t > 0) AS n_filled FROM (
-  SELECT mode, p_partkey, CASE WHEN mode = 'tfidf' THEN 2.0 ELSE 2.0 + CASE WHEN p_partkey % 5 <> 0 THEN 0.25 ELSE 0 END END AS dq, dq + coalesce(s, 0) + CASE WHEN mode = 'tfidf' AND p_partkey % 5 <> 0 THEN 0.0 ELSE 0 END AS t,
+  SELECT mode, p_partkey, CASE WHEN mode = 'tfidf' THEN 2.0 ELSE 2.0 + CASE WHEN p_partkey % 5 <> 0 THEN 0.25 ELSE 0 END END AS dq, dq + coalesce(s, 0) AS t,
   CASE mode WHEN 'tfidf' THEN 64 WHEN 'sections' THEN 256 ELSE 128 END AS width FROM m CROSS JOIN part LEFT JOIN sq ON item_id = p_partkey) GROUP BY 1"""
 
 
