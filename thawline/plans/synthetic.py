@@ -222,11 +222,11 @@ def _grid(spark, sf):
 
 @query(GRID + "SELECT arm, p, objective FROM o")
 def sweep_objective(spark, sf):
-    """TUNE-01, TUNE-02, TUNE-07: the mean over the levels of each point, kept point by point, so that a stopped sweep goes on"""
+    """TUNE-02, TUNE-07: the mean over the levels of each point, kept by parts of the grid, so that a stopped sweep goes on"""
     curve, kept = _grid(spark, sf), Checkpoint(spark, scratch_path(spark), {"grid": "p_size"})
     out = None
-    for arm in [r.arm for r in curve.select("arm").distinct().orderBy("arm").collect()]:
-        one = kept.get(arm, lambda arm=arm: tn.objective(curve.where(F.col("arm") == arm), ["arm", "p"]))
+    for part in range(4):
+        one = kept.get(f"p mod 4 = {part}", lambda part=part: tn.objective(curve.where(F.col("p") % 4 == part), ["arm", "p"]))
         out = one if out is None else out.unionByName(one)
     return out.withColumn("objective", F.round("objective", 9))
 
