@@ -85,18 +85,26 @@ def ratios(shares: DataFrame, reference: DataFrame, by: list[str], c: str) -> Da
     return shares.join(reference, "provider").select(*by, "provider", F.col(c).alias("share"), "ref", (F.col(c) / F.nullif("ref", F.lit(0.0))).alias("ratio"))
 
 
+QUANTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
+
+
 def ratio_stats(r: DataFrame, by: list[str]) -> DataFrame:
-    """Ten summaries of the defined ratios of each group."""
+    """Ten summaries of the defined ratios of each group; percentiles interpolate linearly between neighbours, which are found by their ranks, so no
+    group is gathered."""
     defined = F.col("ratio").isNotNull()
     mass = F.when(defined, F.col("share"))
-    q = F.percentile("ratio", F.array(*map(F.lit, (0.10, 0.25, 0.50, 0.75, 0.90))))
     out = r.groupBy(*by).agg(
         (F.sum(F.col("share") * F.col("ratio")) / F.nullif(F.sum(mass), F.lit(0.0))).alias("exposure_weighted_mean"), F.avg("ratio").alias("unweighted_mean"),
-        F.exp(F.avg(F.when(F.col("ratio") > 0, F.log("ratio")))).alias("geometric_mean"), q.alias("q"),
+        F.exp(F.avg(F.when(F.col("ratio") > 0, F.log("ratio")))).alias("geometric_mean"),
         F.avg((F.col("ratio") < 1).cast("double")).alias("frac_below_1"), F.count("ratio").alias("n_scored"),
     )
-    names = ("p10", "p25", "median", "p75", "p90")
-    return out.select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names))).drop("q")
+    placed = running(r.where(defined).select(*by, "ratio"), ["ratio"], by)
+    place = lambda q: F.lit(q) * (F.col("total") - 1)
+    at = lambda rank: F.max(F.when(F.col("before") == rank, F.col("ratio")))
+    ends = [x for n, q in QUANTILES.items() for x in (at(F.floor(place(q))).alias(f"{n}_lo"), at(F.ceil(place(q))).alias(f"{n}_hi"), F.max(place(q) - F.floor(place(q))).alias(f"{n}_part"))]
+    cut = placed.groupBy(*by).agg(*ends)
+    values = [(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n) for n in QUANTILES]
+    return out.join(cut.select(*by, *values), by, "left")
 
 
 def merit_guarded(stats: DataFrame, scored_users: DataFrame, held: DataFrame) -> DataFrame:
