@@ -726,3 +726,63 @@ def test_nearest_fine_buckets(spark):
         for r in ann.search(df, "vec_id % 50 = 0", k=5, block=64, **settings).collect():
             got.setdefault(r.query_id, set()).add(r.vec_id)
         assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def naive_spans(text):
+    """The three patterns spelled out character by character, leftmost and without overlap, each kind on its own."""
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    out = []
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    def assigned(at):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[at : at + 8])
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(name):
+                for quotes in (1, 0):  # an optional sign is taken where it can be
+                    i = at + len(name)
+                    if quotes and text[i : i + 1] not in ('"', "'"):
+                        continue
+                    i = run(i + quotes, " ")
+                    if text[i : i + 1] in (":", "="):
+                        i = run(i + 1, " ")
+                        i += text[i : i + 1] in ('"', "'") and i < len(text)
+                        if (end := run(i, plain)) > i:
+                            return end, end - i
+        return None
+
+    at = 0
+    while at < len(text):
+        if found := assigned(at):
+            if found[1] >= 8:
+                out.append((at, found[0], "assign"))
+            at = found[0]
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        if text.startswith("AKIA", at) and (end := run(at + 4, plain[:26] + "0123456789")) > at + 4:
+            if end - at >= 16:
+                out.append((at, end, "access"))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, "0123456789abcdef")
+        if end - at >= 32:
+            out.append((at, end, "hex"))
+        at = max(end, at + 1)
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2])))
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(12)
+    bits = ["password", "PassWd", "secret", "ToKeN", "api_key", "apikey", "APIKEY", ":", "=", " ", "  ", '"', "'", "abcdefgh", "short", "é", "AKIA", "ABCDEFGHIJKL", "0f" * 16, "deadbeef" * 5, "\n", "ſ", "K", "-x_y.z/+="]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        assert [(a, b, k) for a, b, k, _ in secret_scan.base_spans(text)] == naive_spans(text), text
