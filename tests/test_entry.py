@@ -52,3 +52,10 @@ def test_changed_data_is_read_anew(spark, tmp_path):
         for _ in range(2):
             fixtures.kept(spark, ("probe", str(tmp_path)), lambda n=n: asked.append(n))
     assert asked == [1, 2]
+
+
+def test_sweep_tells_its_times(spark):
+    from thawline.plans import fixtures, modelling
+
+    curve, took = modelling.sweep([modelling._als(spark, SF)], fixtures.split(spark, SF), [0], on_lists=lambda k, seed, recs: None)
+    assert set(took) == {"fold", "rank", "hook"} and min(took.values()) >= 0 and took["rank"] > 0 and curve.count() == 4

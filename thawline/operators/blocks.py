@@ -119,10 +119,11 @@ def top_columns(score: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.n
     return row[on], column[on]
 
 
-def scored(left: DataFrame, right: DataFrame, reduce, schema: str, rows: int = ROWS, carry: dict[str, str] | None = None) -> DataFrame:
+def scored(left: DataFrame, right: DataFrame, reduce, schema: str, rows: int = ROWS, carry: dict[str, str] | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``reduce(left side, right side, scores)`` of every pair of blocks, in one relation.  Both sides have (id, v, k, w) and, if they
-    like, a number ``extra`` a row; ``carry`` names further array columns of the left side and their types."""
-    n_left, n_right = (max(1, -(-df.count() // rows)) for df in (left, right))
+    like, a number ``extra`` a row; ``carry`` names further array columns of the left side and their types.  ``sizes`` spares counting rows whose
+    numbers are known."""
+    n_left, n_right = (max(1, -(-n // rows)) for n in sizes or (left.count(), right.count()))
 
     def take(group):
         side = group.column("side").to_numpy()

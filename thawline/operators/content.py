@@ -52,6 +52,14 @@ def transform(terms: DataFrame, space: DataFrame, weights: dict[str, float] = DE
     return raw.select("item_id", "role", "term", "w")
 
 
+def reweighted(blocks: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(item_id, role, term, w) from role blocks of length one (``transform`` with weights 1, not normalised): each times its weight, the whole row at
+    length one.  Terms and frequencies needn't be read again for other weights."""
+    by_role = F.create_map(*(F.lit(x) for r, w in weights.items() for x in (r, float(w))))
+    rows = blocks.withColumn("w", F.col("w") * F.coalesce(F.element_at(by_role, F.col("role")), F.lit(0.0))).where("w <> 0")
+    return rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id")))).select("item_id", "role", "term", "w")
+
+
 def profiles(history: DataFrame, rows: DataFrame) -> DataFrame:
     """(user_id, role, term, w): mean of the user's item rows.  ``history`` is (user_id, item_id)."""
     share = history.join(history.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
@@ -86,10 +94,10 @@ def filter_candidates(users: DataFrame, cold: DataFrame, n: int = 50) -> DataFra
     return top_per_key(rows, ["item_id"], [F.desc(F.round("score", 9)), "user_id"], n)
 
 
-def neighbours(rows: DataFrame, of: DataFrame, n: int = 10) -> DataFrame:
+def neighbours(rows: DataFrame, of: DataFrame, n: int = 10, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(source_id, rank, item_id, score): the n items nearest to each of ``of`` that share anything with it.  ``rows`` are packed."""
     left = rows.join(of.select(F.col("item_id").alias("id")), "id", "left_semi")
-    found = bl.scored(left, rows, bl.best_right(n, others_only=True, digits=9), bl.PAIRS)
+    found = bl.scored(left, rows, bl.best_right(n, others_only=True, digits=9), bl.PAIRS, sizes=sizes)
     near = found.where("score > 0").select(F.col("left_id").alias("source_id"), F.col("right_id").alias("item_id"), "score")
     return top_per_key(near, ["source_id"], [F.desc(F.round("score", 9)), "item_id"], n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
@@ -9,7 +10,7 @@ from ..operators import blocks as bl
 from ..operators import content as ct
 from ..operators import models as md
 from ..sources import schemas
-from ..sources.readers import materialise, read_stats, scratch_path
+from ..sources.readers import Checkpoint, materialise, read_stats, scratch_path
 from .base import query
 from .fixtures import SPLIT_SQL, items, kept, split, table, vectors
 
@@ -323,3 +324,34 @@ def analyzer_terms(spark, sf):
     cut = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.lower(c), i, 3))
     docs = items(spark, sf).select("item_id", F.col("p_name").alias("title"), F.lower("p_brand").alias("creator"), F.col("p_type").alias("taxonomy"))
     return ct.role_terms(docs, ROLES, {"title": cut})
+
+
+GRID = ", g AS (SELECT p, r FROM (SELECT unnest([0.5, 1.0, 1.5, 2.0]) AS p) CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 1.0]) AS r))"
+
+
+@query(S + TERMS + ROWS + GRID + """, one AS (SELECT item_id, role, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id, role)) AS u FROM raw),
+y AS (SELECT p, r, item_id, role, term, u * CASE role WHEN 'title' THEN p WHEN 'taxonomy' THEN r ELSE 1 END AS y FROM one CROSS JOIN g), z AS (SELECT p, r, item_id, role, term, y / sqrt(sum(y * y) OVER (PARTITION BY p, r, item_id)) AS w FROM y WHERE y <> 0),
+near AS (SELECT a.p, a.r, a.item_id AS source_id, b.item_id, sum(a.w * b.w) AS score FROM z a JOIN z b ON a.p = b.p AND a.r = b.r AND a.role = b.role AND a.term = b.term AND a.item_id <> b.item_id WHERE a.item_id IN (FROM cold_test) GROUP BY 1, 2, 3, 4),
+best AS (SELECT p, r, source_id, max(score) AS score FROM near GROUP BY 1, 2, 3) SELECT p, r, round(avg(score), 6) AS objective, row_number() OVER (ORDER BY round(avg(score), 6) DESC, p, r) <= 2 AS verified FROM best GROUP BY 1, 2""")
+def weight_grid(spark, sf):
+    """TUNE-04, TUNE-07: four by four weights of prose and taxonomy over role blocks that are written once; each line of the grid is kept, and the two best points are marked.
+    A point's objective is the mean score of the cold items' nearest neighbours"""
+    s = split(spark, sf)
+    terms, space = _space(spark, sf, s)
+    one = materialise(ct.transform(terms, space, dict.fromkeys(ROLES, 1.0), normalise=False))
+    held, out = Checkpoint(spark, scratch_path(spark), {"blocks": "title, creator, taxonomy"}), None
+    sizes = s.cold_ids.count(), one.select("item_id").distinct().count()
+
+    def objectives(p):
+        line = None
+        for r in (0.0, 0.25, 0.5, 1.0):
+            rows = bl.packed(ct.reweighted(one, {"title": p, "creator": 1.0, "taxonomy": r}), "item_id")
+            point = ct.neighbours(rows, s.cold_ids, 1, sizes).agg(F.lit(p).alias("p"), F.lit(r).alias("r"), F.round(F.avg("score"), 6).alias("objective"))
+            line = point if line is None else line.unionByName(point)
+        return line
+
+    for p in (0.5, 1.0, 1.5, 2.0):
+        line = held.get(f"p={p}", lambda p=p: objectives(p))
+        out = line if out is None else out.unionByName(line)
+    best = F.row_number().over(Window.orderBy(F.desc("objective"), "p", "r")) <= 2  # over the points of the grid
+    return out.withColumn("verified", best)

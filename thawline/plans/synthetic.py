@@ -201,7 +201,7 @@ def constrained_argmax(spark, sf):
 
 @query(POINTS + "SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY objective DESC, point) AS place, point, objective FROM pt QUALIFY place <= 2")
 def grid_top2(spark, sf):
-    """TUNE-04, TUNE-02"""
+    """TUNE-04: the two best points of each arm"""
     return tn.best_points(_points(spark, sf), ["arm"], 2)
 
 
