@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thawline.functions import text as fx
+from thawline.operators import blocks as bl
 from thawline.operators import content as ct
 from thawline.operators import equity as eq
 from thawline.operators import metrics as mt
@@ -169,6 +170,24 @@ def test_blocked_top(spark, rows):
         assert got.get(a, []) == want
 
 
+def test_products_of_unequal_rows(spark):
+    """A row without a dense part, or with a shorter one, lacks zeros; keys that come twice add up; many terms go the sparse way."""
+    fields = "id long, v array<double>, k array<long>, w array<double>"
+    left = [(1, [1.0, 2.0], [7, 7, 9], [1.0, 2.0, 5.0]), (2, [], [9], [1.0]), (3, [3.0], [], [])]
+    right = [(5, [10.0, 20.0], [7], [2.0]), (6, [1.0], [9, 8], [4.0, 1.0]), (7, [], list(range(100, 1100)), [1.0] * 1000)]
+    got = bl.scored(spark.createDataFrame(left, fields), spark.createDataFrame(right, fields), bl.all_pairs, bl.PAIRS).collect()
+    want = {(1, 5): 56.0, (1, 6): 21.0, (1, 7): 0.0, (2, 5): 0.0, (2, 6): 4.0, (2, 7): 0.0, (3, 5): 30.0, (3, 6): 3.0, (3, 7): 0.0}
+    assert {(r.left_id, r.right_id): r.score for r in got} == want
+    rng = np.random.default_rng(1)
+    many = lambda n, at: [(at + i, [], [int(x) for x in rng.integers(0, 9000, 40)], [float(x) for x in rng.normal(size=40)]) for i in range(n)]
+    x, y = many(30, 0), many(2500, 100)
+    sums = bl.scored(spark.createDataFrame(x, fields), spark.createDataFrame(y, fields), bl.all_pairs, bl.PAIRS).groupBy("left_id").agg(F.sum("score").alias("s")).collect()
+    total = np.zeros(9000)
+    for _, _, k, w in y:
+        np.add.at(total, k, w)
+    assert all(abs(r.s - sum(total[k] * w for k, w in zip(x[r.left_id][2], x[r.left_id][3]))) < 1e-9 for r in sums)
+
+
 @pytest.fixture(scope="module")
 def small_split(spark):
     rng = np.random.default_rng(3)

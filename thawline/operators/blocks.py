@@ -47,9 +47,11 @@ class Side:
         k, w, v = (table.column(c).combine_chunks() for c in ("k", "w", "v"))
         sizes = np.diff(k.offsets.to_numpy())
         self.key, self.weight, self.of = k.flatten().to_numpy(), w.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
-        width = np.diff(v.offsets.to_numpy())
+        width, values = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy()
         self.table = table
-        self.dense = v.flatten().to_numpy().reshape(len(width), -1) if len(width) and width.min() == width.max() and width[0] else None
+        self.dense = np.zeros((len(width), int(width.max(initial=0))))
+        row = np.repeat(np.arange(len(width)), width)  # what a shorter row lacks is zero
+        self.dense[row, np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)] = values
 
     def listed(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         """Values of a carried array column and the row of each."""
@@ -60,7 +62,7 @@ class Side:
 
     def norms(self) -> np.ndarray:
         """Length of each row; weights of one key are added first."""
-        total = np.zeros(len(self.ids)) if self.dense is None else (self.dense * self.dense).sum(axis=1)
+        total = (self.dense * self.dense).sum(axis=1)
         order = np.lexsort((self.key, self.of))
         if len(order):
             key, of = self.key[order], self.of[order]
@@ -73,7 +75,8 @@ class Side:
 
 def products(a: Side, b: Side) -> np.ndarray:
     """All inner products of the rows of two sides."""
-    out = a.dense @ b.dense.T if a.dense is not None and b.dense is not None else np.zeros((len(a.ids), len(b.ids)))
+    both = min(a.dense.shape[1], b.dense.shape[1])
+    out = a.dense[:, :both] @ b.dense[:, :both].T
     if len(a.key) and len(b.key):
         names, term = np.unique(b.key, return_inverse=True)
         at = np.minimum(np.searchsorted(names, a.key), len(names) - 1)
