@@ -16,6 +16,7 @@ Defined results: null and empty texts have no pieces.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from dataclasses import dataclass
@@ -138,24 +139,34 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def viterbi(vocabulary: Vocabulary, segments: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The best piece ids of every segment, and the scores; all segments advance together."""
+    """The best piece ids of every segment, and the scores."""
+    flat, first, size, scores = paths(vocabulary, segments)
+    return [flat[a : a + n] for a, n in zip(first.tolist(), size.tolist())], scores
+
+
+def paths(vocabulary: Vocabulary, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Piece ids of all segments in one array, and where in it each one's path starts, how long it is, and its score; all segments advance
+    together."""
     v = vocabulary
     lengths = np.array([len(s) for s in segments], np.int64)
-    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(segments)
-    scores = np.zeros(len(segments))
+    flat, done = [np.zeros(0, np.int32)], 0
+    first, size, scores = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64), np.zeros(len(segments))
     order = np.argsort(lengths, kind="stable")
     at = int(np.searchsorted(lengths[order], 1))
     while at < len(order):  # segments of up to twice the shortest's length at once
         stop = int(np.searchsorted(lengths[order], 2 * lengths[order[at]] + 8, side="right"))
         stop = min(stop, at + 200_000)
         group = order[at:stop]
-        for i, found, score in zip(group.tolist(), *_viterbi(v, [segments[i] for i in group.tolist()])):
-            ids[i], scores[i] = found, score
+        got, cuts, score = _viterbi(v, [segments[i] for i in group.tolist()])
+        flat.append(got)
+        first[group], size[group], scores[group] = done + cuts[:-1], np.diff(cuts), score
+        done += len(got)
         at = stop
-    return ids, scores
+    return np.concatenate(flat), first, size, scores
 
 
-def _viterbi(v: Vocabulary, segments: list[bytes]) -> tuple[list[np.ndarray], list[float]]:
+def _viterbi(v: Vocabulary, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, the first of each segment (n + 1 offsets), and the scores."""
     lengths = np.array([len(s) for s in segments], np.int64)
     node0 = np.concatenate([[0], np.cumsum(lengths + 1)])  # one node before each byte and one at the end
     raw = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.int64)
@@ -227,8 +238,7 @@ def _viterbi(v: Vocabulary, segments: list[bytes]) -> tuple[list[np.ndarray], li
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         start, got, of = np.repeat(start, times) + step, np.repeat(got, times), np.repeat(of, times)
         got = np.where(got < 0, v.byte_ids[raw[start]], got)
-    cuts = np.searchsorted(of, np.arange(1, len(segments)))
-    return np.split(got.astype(np.int32), cuts), best[last].tolist()
+    return got.astype(np.int32), np.searchsorted(of, np.arange(len(segments) + 1)), best[last]
 
 
 class Codec:
@@ -239,7 +249,7 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.scores = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)
+        self.flat, self.first, self.size, self.scores = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the first of each text (n + 1 offsets), and the log score of each text."""
@@ -247,17 +257,16 @@ class Codec:
             self.forget()
         cut, known = self.cut.findall, self.known
         parts = [(cut(" " + t) if self.v.cuts else [" " + t]) if t else [] for t in texts]
-        new = list({s for p in parts for s in p if s not in known})
+        new = list(set(itertools.chain.from_iterable(parts)).difference(known))
         if new:
-            found, scores = viterbi(self.v, [s.encode("utf-8") for s in new])
+            flat, first, size, scores = paths(self.v, [s.encode("utf-8") for s in new])
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(f) for f in found])])
-            self.flat = np.concatenate([self.flat, *found])
-            self.scores = np.concatenate([self.scores, scores])
-        which = np.array([known[s] for p in parts for s in p], np.int64)
-        sizes = self.starts[which + 1] - self.starts[which]
+            self.first = np.concatenate([self.first, first + len(self.flat)])
+            self.flat, self.size, self.scores = (np.concatenate(x) for x in ((self.flat, flat), (self.size, size), (self.scores, scores)))
+        which = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, p) for p in parts), np.int64)
+        sizes = self.size[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[which] - total[:-1], sizes) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(self.first[which] - total[:-1], sizes) + np.arange(total[-1])]
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         score = np.concatenate([[0.0], np.cumsum(self.scores[which])])
         return ids, total[ends], score[ends[1:]] - score[ends[:-1]]
