@@ -110,8 +110,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, bits: int = 8, keep: list[str]
     at = hilbert_index([_magnitude("size", cells - 1), cell("x_lang"), cell("x_source"), cell("x_doc")], bits)
     order = ["h", "doc_id", "text_crc32", "size"]
     row = ["row"] if keep else []
-    ranged = celled.select("doc_id", "size", "text_crc32", at.alias("h"), *row).repartitionByRange(*order)
-    ranged = stash(ranged.withColumn("part", F.spark_partition_id()))
+    # the range partitioning samples its input first, so the curve's index is written before
+    indexed = stash(celled.select("doc_id", "size", "text_crc32", at.alias("h"), *row))
+    ranged = stash(indexed.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
