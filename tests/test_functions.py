@@ -229,6 +229,44 @@ def test_hybrid(spark, small_split):
     assert models[0].content is models[1].content and models[0].cf_scale != models[1].cf_scale
 
 
+def test_nearest_keeps_n_rows_a_slice(spark):
+    """Many blocks and slices against brute force: ties to the smaller id, nothing at or below ``above``, and few rows that leave the tasks."""
+    rng = np.random.default_rng(2)
+    u, i = rng.integers(-2, 3, (20, 3)), rng.integers(-2, 3, (90, 3))
+    side = lambda x: ct.as_space(factors(spark, enumerate(x), "item_id"))
+    found = bl.nearest(side(u), side(i), 4, others_only=True, digits=9, above=0.0, rows=2).collect()
+    slices = -(-3 * spark.sparkContext.defaultParallelism // 2)
+    assert len(found) <= 20 * 4 * slices < 20 * 4 * 45  # 45 blocks of right rows
+    score = u @ i.T
+    for a in range(20):
+        got = sorted(((r.right_id, r.score) for r in found if r.left_id == a), key=lambda x: (-x[1], x[0]))[:4]
+        assert got == sorted(((b, float(score[a, b])) for b in range(90) if b != a and score[a, b] > 0), key=lambda x: (-x[1], x[0]))[:4]
+
+
+@pytest.mark.parametrize("most", [400, 0])
+def test_moments_without_cells(spark, most, monkeypatch):
+    """Sums and Gram matrices give the moments of all cells; so do the blocks."""
+    monkeypatch.setattr(md, "MOMENTS", most)
+    fields = "id long, v array<double>, k array<long>, w array<double>"
+    x = [(1, [1.0, 2.0], [7, 7, 9], [1.0, 2.0, 5.0]), (2, [], [9], [1.0]), (3, [3.0], [], [])]
+    y = [(5, [10.0, 20.0], [7], [2.0]), (6, [1.0], [9, 8], [4.0, 1.0])]
+    got = md.score_moments(spark.createDataFrame(x, fields), spark.createDataFrame(y, fields)).first()
+    cells = np.array([56.0, 21.0, 0.0, 4.0, 30.0, 3.0])
+    assert got.n == 6 and abs(got.mean - cells.mean()) < 1e-9 and abs(got["std"] - cells.std()) < 1e-9
+
+
+def test_sweep_merges_cold_lists_into_warm_ones(spark, small_split):
+    """The lists of a level are those over all candidates at once."""
+    from thawline.plans import modelling
+
+    s, als = small_split
+    seen, users = {}, s.reserved.select("user_id").distinct()
+    modelling.sweep([als], s, [0, 5], n=6, on_lists=lambda k, seed, recs: seen.setdefault(k, recs))
+    order = lambda df: [(r.user_id, r.rank, r.item_id) for r in df.orderBy("user_id", "rank").collect()]
+    for k in (0, 5):
+        assert order(seen[k]) == order(als.fold_in(s, k).top(users, s.pool_items, s.train.unionByName(s.revealed_at(k)), 6))
+
+
 def test_augmented_folds_are_apart(spark, small_split):
     s, als = small_split
     made = s.cold_ids.select(F.lit(1).cast("long").alias("user_id"), "item_id")
