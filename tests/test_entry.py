@@ -59,3 +59,16 @@ def test_sweep_tells_its_times(spark):
 
     curve, took = modelling.sweep([modelling._als(spark, SF)], fixtures.split(spark, SF), [0], on_lists=lambda k, seed, recs: None)
     assert set(took) == {"fold", "rank", "hook"} and min(took.values()) >= 0 and took["rank"] > 0 and curve.count() == 4
+
+
+def test_warm_guard_is_measured(spark):
+    """The validation's users have profiles of their own, and the warm rows held out for them are what the guard reads."""
+    from thawline.plans import fixtures, modelling
+
+    s = fixtures.split(spark, SF).validation()
+    users = s.reserved.select("user_id").distinct()
+    profiled = modelling._content(spark, SF, s.population).users.select("id")
+    assert users.join(s.train, "user_id", "left_semi").subtract(profiled).count() == 0
+    held = s.part("val").join(users, "user_id", "left_semi")
+    assert modelling.warm_ndcg(held.selectExpr("user_id", "item_id", "1 as rank"), s).first().warm == 1.0
+    assert modelling.warm_ndcg(held.selectExpr("user_id", "item_id", "3 as rank"), s).first().warm == 0.5
