@@ -267,6 +267,25 @@ def test_sweep_merges_cold_lists_into_warm_ones(spark, small_split):
         assert order(seen[k]) == order(als.fold_in(s, k).top(users, s.pool_items, s.train.unionByName(s.revealed_at(k)), 6))
 
 
+def test_pooled_vectors_travel_whole(spark):
+    """Two keys, one of them null at times, over batches of three rows; a zero sum stays zero, and no row a component is made."""
+    rng = np.random.default_rng(4)
+    data = [(int(a), "xyz"[b] if b < 3 else None, [float(x) for x in v], float(w)) for a, b, v, w in zip(rng.integers(0, 3, 60), rng.integers(0, 4, 60), rng.normal(size=(60, 4)), rng.integers(1, 5, 60))]
+    data += [(9, "x", [1.0, 0.0, 0.0, 0.0], 2.0), (9, "x", [-2.0, 0.0, 0.0, 0.0], 1.0)]
+    want = {}
+    for a, b, v, w in data:
+        want[a, b] = want.get((a, b), 0) + np.array(v) * w
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pooled = ct.pool_windows(spark.createDataFrame(data, "item_id long, section string, v array<double>, weight double"), ["item_id", "section"])
+        got = pooled.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert len(got) == len(want) and "Generate" not in pooled._jdf.queryExecution().toString()
+    assert all(np.abs(np.array(r.v) - want[r.item_id, r.section] / max(np.linalg.norm(want[r.item_id, r.section]), 1e-300)).max() < 1e-12 for r in got)
+
+
 def test_augmented_folds_are_apart(spark, small_split):
     s, als = small_split
     made = s.cold_ids.select(F.lit(1).cast("long").alias("user_id"), "item_id")
