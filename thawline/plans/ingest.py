@@ -226,8 +226,7 @@ def candidate_pools(spark, sf):
 )
 def split_summary(spark, sf):
     """AGG-22, AGG-02"""
-    rows = interactions(spark, sf)
-    return sp.summary(rows, sp.make_split(rows))
+    return sp.summary(interactions(spark, sf), split(spark, sf))
 
 
 @query(

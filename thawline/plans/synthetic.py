@@ -15,7 +15,7 @@ SCORED = "WITH sc AS (SELECT l_partkey AS item_id, o_custkey AS user_id, (sum(CA
 
 
 def _scored(spark, sf):
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     by = rows.groupBy(F.col("l_partkey").alias("item_id"), F.col("o_custkey").alias("user_id"))
     return by.agg((F.expr("sum(cast(round(l_extendedprice * 100) as bigint)) div (count(*) * 1000)") / 1000 - 3).alias("score"))
 
